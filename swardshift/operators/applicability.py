@@ -201,10 +201,12 @@ def nearest_train_distance(
     left = wide.withColumn("tb", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
     right = train_rows.join(needed, "ts")
     key = ["ns", "nb", "ts", "tb"]
+    # Both sides hold columns of the new rows: the right side's get names of their own.
+    theirs = right.select(*[F.col(c).alias(f"t_{c}") for c in key], "id", "vec")
     second = (
         left.select(*key, "id", "vec")
         .groupBy(*key)
-        .cogroup(right.select(*key, "id", "vec").groupBy(*key))
+        .cogroup(theirs.groupBy(*[f"t_{c}" for c in key]))
         .applyInArrow(_nearest_block, out_schema)
     )
     return second.groupBy("id").agg(F.min("d").alias("min_dist"))

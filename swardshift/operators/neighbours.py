@@ -135,7 +135,12 @@ def nearest_other_class(
         )
     )
 
-    classes = [r[0] for r in tree.where("lev = 0").select("cls").distinct().limit(1001).collect()]
+    # The number of refined levels and the class list: a few values.
+    facts = tree.agg(
+        F.max(F.when(~F.col("leaf"), F.col("lev"))).alias("deepest"),
+        F.collect_set(F.when(F.col("lev") == 0, F.col("cls"))).alias("classes"),
+    ).first()
+    classes, deepest = facts["classes"], facts["deepest"]
     if len(classes) > 1000:
         raise ValueError("more than 1000 classes: not a land-use column")
     others = F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c != F.col("qcls"))
@@ -150,16 +155,15 @@ def nearest_other_class(
         F.struct(*CUBE, *BOX, "n_ids", "leaf").alias("child"),
     ).where("rlev >= 0")
     keep = ["qcls", *["q" + c for c in CUBE + BOX], "rcls"]
-    deepest = tree.where(~F.col("leaf")).agg(F.max("lev")).first()[0]
-    for level in range(0, -1 if deepest is None else deepest + 1, STEP):
-        opened = (
-            pairs.where(~F.col("rleaf"))
-            .select(*keep, "rlev", "rcx", "rcy", "rcz")
-            .join(children.where(F.col("rlev") == level), ["rcls", "rlev", "rcx", "rcy", "rcz"])
-            .select(*keep, *[F.col(f"child.{c}").alias("r" + c) for c in node_cols[1:]])
+    at = ["rcls", "rlev", "rcx", "rcy", "rcz"]
+    for step, level in enumerate(range(0, -1 if deepest is None else deepest + 1, STEP)):
+        # Cubes with children give way to them, leaves stay as they are.
+        opened = pairs.join(children.where(F.col("rlev") == level), at, "left").select(
+            *keep, *[F.coalesce(F.col(f"child.{c}"), F.col("r" + c)).alias("r" + c) for c in node_cols[1:]]
         )
-        done = pairs.where("rleaf").select(*opened.columns)
-        pairs = cut_lineage(_prune(done.unionByName(opened), k))
+        pairs = _prune(opened, k)
+        if step % 4 == 3:
+            pairs = cut_lineage(pairs)
 
     q = _prefixed(placed, "q", ["cls", *CUBE, "lon", "lat"])
     r = _prefixed(placed, "r", ["cls", *CUBE, "lon", "lat", "ids"])

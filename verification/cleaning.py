@@ -135,14 +135,14 @@ def site_filter(spark, sf):
     """select case l_linenumber when 1 then 'Irrigation' when 2 then 'Potential irrigation'
          when 3 then 'Drainage' when 4 then 'Irrigation and drainage' when 5 then 'not visible'
          else 'not relevant' end as water, count(*)::bigint as n,
-         round(sum(l_extendedprice), 0) as price
+         round(sum(l_extendedprice), 2) as price
        from lineitem group by 1""",
 )
 def code_recode(spark, sf):
     li = table(spark, sf, "lineitem")
     label = m.recode("l_linenumber", m.WATER_MANAGEMENT, m.WATER_MANAGEMENT_DEFAULT)
     return li.groupBy(label.alias("water")).agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("l_extendedprice"), 0).alias("price")
+        F.count(F.lit(1)).alias("n"), r(F.sum("l_extendedprice"), 2).alias("price")
     )
 
 
@@ -322,8 +322,8 @@ def tally(spark, sf):
     "strict_aggregates",
     """with v as (select l_suppkey, l_returnflag, case when l_quantity = 50 and l_tax = 0.08 then null
          else l_extendedprice end as x from lineitem)
-    select l_suppkey, l_returnflag, case when count(x) = count(*) then round(sum(x), 1) end as strict_total,
-      round(sum(x), 1) as total, round(avg(x), 4) as mean from v group by all""",
+    select l_suppkey, l_returnflag, case when count(x) = count(*) then round(sum(x), 2) end as strict_total,
+      round(sum(x), 2) as total, round(avg(x), 4) as mean from v group by all""",
 )
 def strict_aggregates(spark, sf):
     li = table(spark, sf, "lineitem").select(
@@ -331,7 +331,7 @@ def strict_aggregates(spark, sf):
         F.when(~((F.col("l_quantity") == 50) & (F.col("l_tax") == 0.08)), F.col("l_extendedprice")).alias("x"),
     )
     return li.groupBy("l_suppkey", "l_returnflag").agg(
-        r(strict_sum("x"), 1).alias("strict_total"), r(F.sum("x"), 1).alias("total"), r(F.avg("x"), 4).alias("mean")
+        r(strict_sum("x"), 2).alias("strict_total"), r(F.sum("x"), 2).alias("total"), r(F.avg("x"), 4).alias("mean")
     )
 
 

@@ -1,0 +1,106 @@
+"""Forests and the transfer between classes. Trees differ between libraries, so these carry no SQL."""
+
+from pyspark.sql import functions as F
+
+from swardshift.operators.density import kde_table
+from swardshift.operators.forests import (
+    fit_forest,
+    kfold_metrics,
+    out_of_bag_predictions,
+    partial_dependence,
+    permutation_importance,
+)
+from swardshift.operators.profile import regression_metrics
+from swardshift.plans.transfer import effect_rows, explain_effects, transfer_effects
+from swardshift.operators.bootstrap import bootstrap_mean_ci
+
+from .registry import query, r, table
+
+NUMERIC = ["quantity", "discount", "tax", "lines"]
+TEXT = ["priority"]
+# Small forests keep the check short; every row of the tables takes part.
+SIZE = {"trees": 12, "depth": 8}
+
+
+def order_table(spark, sf):
+    """One row per order: its price, what drives it, and a class to transfer between."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum("l_extendedprice").alias("price"),
+        F.sum("l_quantity").alias("quantity"),
+        F.avg("l_discount").alias("discount"),
+        F.avg("l_tax").alias("tax"),
+        F.count(F.lit(1)).cast("double").alias("lines"),
+    )
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("priority"),
+        F.when(F.col("o_orderstatus") == "F", "Grassland").otherwise("Cropland").alias("use"),
+    )
+    return lines.join(orders, "o_orderkey")
+
+
+@query("rf_predict")
+def rf_predict(spark, sf):
+    rows = order_table(spark, sf)
+    forest = fit_forest(rows, "price", NUMERIC, TEXT, **SIZE)
+    return forest.predict(rows).select("o_orderkey", "price", "pred")
+
+
+@query("kfold")
+def kfold(spark, sf):
+    return kfold_metrics(order_table(spark, sf), "price", NUMERIC, TEXT, "o_orderkey", folds=3, **SIZE)
+
+
+@query("out_of_bag")
+def out_of_bag(spark, sf):
+    oob = out_of_bag_predictions(
+        order_table(spark, sf), "price", NUMERIC, TEXT, "o_orderkey", bags=4, trees=12, depth=8
+    )
+    return regression_metrics(oob, "obs", "pred")
+
+
+@query("perm_importance")
+def perm_importance(spark, sf):
+    rows = order_table(spark, sf)
+    return permutation_importance(fit_forest(rows, "price", NUMERIC, TEXT, **SIZE), rows, "o_orderkey")
+
+
+@query("partial_dependence")
+def pdp(spark, sf):
+    rows = order_table(spark, sf)
+    return partial_dependence(fit_forest(rows, "price", NUMERIC, TEXT, **SIZE), rows, ["quantity", "priority"], 21)
+
+
+def _transfer(spark, sf):
+    return transfer_effects(
+        order_table(spark, sf), "price", "use", "Grassland", "Cropland", NUMERIC, TEXT, "o_orderkey", **SIZE
+    )
+
+
+@query("transfer_effects")
+def transfer(spark, sf):
+    return _transfer(spark, sf).pred
+
+
+@query("transfer_inside_share")
+def inside_share(spark, sf):
+    return _transfer(spark, sf).inside
+
+
+@query("transfer_mean_effect")
+def mean_effect(spark, sf):
+    return bootstrap_mean_ci(effect_rows(_transfer(spark, sf).pred), "effect", "o_orderkey", replicates=500)
+
+
+@query("explain_effects")
+def explain(spark, sf):
+    rows = order_table(spark, sf)
+    pred = _transfer(spark, sf).pred
+    forest, train = explain_effects(pred, rows.withColumnRenamed("price", "obs"), [*NUMERIC, "obs"], TEXT,
+                                    "o_orderkey", **SIZE)
+    return permutation_importance(forest, train, "o_orderkey")
+
+
+@query("effect_density")
+def effect_density(spark, sf):
+    pred = _transfer(spark, sf).pred.where("aoa is not null")
+    return kde_table(pred, "effect", ["aoa"], 64)
