@@ -15,21 +15,31 @@ from ..functions.strict import nan_to_null
 NORMAL = NormalDist()
 # P(X <= k) of a Poisson(1) count; beyond 18 the probability is below 1e-17.
 POISSON_ONE = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+# Three draws share one 64-bit hash; the table turns 21 random bits into a count.
+LANES, LANE_BITS = 3, 21
+COUNT_OF_BITS = np.searchsorted(POISSON_ONE, (np.arange(2**LANE_BITS) + 0.5) / 2**LANE_BITS).astype(np.int8)
 # Replicates held at once per batch, and groups held per task before handing sums on.
-CHUNK = 128
+CHUNK = 126
 HELD_GROUPS = 64
 
 
-def _uniform(row_hash: np.ndarray, replicate: np.ndarray, seed: int) -> np.ndarray:
-    """Uniform numbers fixed by (row, replicate, seed): SplitMix64 finalizer (Steele et al. 2014)."""
+def _counts(row_hash: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """Poisson(1) counts for rows x replicates [first, last), fixed by (row, replicate, seed).
+
+    The mixing is the SplitMix64 finalizer (Steele et al. 2014); ``first`` is a multiple of the lanes.
+    """
+    words = np.arange(first // LANES, -(-last // LANES), dtype=np.uint64)
     with np.errstate(over="ignore"):
         step = np.uint64(0x9E3779B97F4A7C15)
-        lane = (replicate.astype(np.uint64) + np.uint64(1)) * step
-        x = row_hash[:, None] ^ (lane[None, :] + np.uint64(seed) * step)
+        x = row_hash[:, None] ^ ((words + np.uint64(1)) * step + np.uint64(seed) * step)[None, :]
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)) * 2.0**-53
+    out = np.empty((len(row_hash), len(words), LANES), dtype=np.int8)
+    mask = np.uint64(2**LANE_BITS - 1)
+    for lane in range(LANES):
+        out[:, :, lane] = COUNT_OF_BITS[(x >> np.uint64(lane * LANE_BITS)) & mask]
+    return out.reshape(len(row_hash), -1)[:, : last - first]
 
 
 def _accumulator(replicates: int, seed: int):
@@ -57,11 +67,18 @@ def _accumulator(replicates: int, seed: int):
             h = batch["h"].to_numpy().astype(np.int64).view(np.uint64)
             w_all = np.empty((len(starts), replicates))
             wx_all = np.empty((len(starts), replicates))
+            ends = np.r_[starts[1:], len(labels)]
+            few = len(starts) <= HELD_GROUPS
             for lo in range(0, replicates, CHUNK):
-                reps = np.arange(lo, min(lo + CHUNK, replicates))
-                w = np.searchsorted(POISSON_ONE, _uniform(h, reps, seed), side="right").astype(float)
-                w_all[:, reps] = np.add.reduceat(w, starts, axis=0)
-                wx_all[:, reps] = np.add.reduceat(w * x[:, None], starts, axis=0)
+                hi = min(lo + CHUNK, replicates)
+                w = _counts(h, lo, hi, seed).astype(float)
+                if few:
+                    for g, (a, b) in enumerate(zip(starts, ends)):
+                        w_all[g, lo:hi] = w[a:b].sum(axis=0)
+                        wx_all[g, lo:hi] = x[a:b] @ w[a:b]
+                else:
+                    w_all[:, lo:hi] = np.add.reduceat(w, starts, axis=0)
+                    wx_all[:, lo:hi] = np.add.reduceat(w * x[:, None], starts, axis=0)
             for i, g in enumerate(labels[starts]):
                 if g in held:
                     held[g] = (held[g][0] + w_all[i], held[g][1] + wx_all[i])
@@ -114,6 +131,8 @@ def replicate_means(
     rows = df.select(
         g.alias("grp"), F.xxhash64(F.col(id)).alias("h"), nan_to_null(F.col(value).cast("double")).alias("x")
     ).where("x is not null")
+    # Thousands of draws per row outweigh moving its three numbers: use every core.
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
     sums = rows.mapInPandas(
         _accumulator(replicates, seed), "grp string, w array<double>, wx array<double>"
     )

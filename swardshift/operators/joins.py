@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def natural_join(left: DataFrame, right: DataFrame, expect: Sequence[str], how: str = "left") -> DataFrame:
     """Join on all common columns, which must be exactly the ones expected."""
@@ -81,7 +83,8 @@ def resolve_ambiguous_regions(
     of points that have a conflict, at levels that have one among those points,
     an assignment seen in a single row loses against its rivals.
     """
-    distinct = key.distinct()
+    # Looked at from several sides below, so worked out once.
+    distinct = cut_lineage(key.distinct())
     place = [point, year, level]
     sizes = distinct.groupBy(*place).agg(F.count(F.lit(1)).alias("n0"))
     conflicts = sizes.where("n0 > 1")

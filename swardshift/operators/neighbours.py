@@ -16,10 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import EARTH_RADIUS_M, haversine_m, unit_sphere
+from ..functions.geometry import EARTH_RADIUS_M, unit_sphere
 from ..functions.measures import difference
 from ..functions.strict import strict_median
 from ..session import cut_lineage
@@ -27,13 +30,15 @@ from .ordering import top_k
 
 DEPTH = 24
 STEP = 2
-LEAF_LOCATIONS = 32
+LEAF_LOCATIONS = 64
 CUBE = ["lev", "cx", "cy", "cz"]
 BOX = ["x0", "x1", "y0", "y1", "z0", "z1"]
 # Neighbours are ordered by distance in whole millimetres, then by id; boxes
 # are kept with more slack than that (chord of the unit sphere).
 DISTANCE_DIGITS = 3
 SLACK = 4e-3 / EARTH_RADIUS_M
+# Slack of a cosine that covers two millimetres at any distance.
+COSINE_SLACK = 2e-9
 
 
 def _locations(points: DataFrame, k: int, id: str, lon: str, lat: str, cls: str) -> DataFrame:
@@ -101,13 +106,15 @@ def _prune(pairs: DataFrame, k: int) -> DataFrame:
     near, far = _box_distances()
     of_leaf = Window.partitionBy("qcls", *["q" + c for c in CUBE], "rcls")
     by_reach = of_leaf.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Few bytes per leaf but much work: a stated number of partitions is not merged for its size.
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        pairs.withColumn("near", near)
-        .withColumn("far", far)
+        pairs.repartition(partitions, "qcls", *["q" + c for c in CUBE])
+        .withColumns({"near": near, "far": far})
         .withColumn("sure", F.sum("rn_ids").over(by_reach))
         .withColumn("bound", F.min(F.when(F.col("sure") >= k, F.col("far"))).over(of_leaf))
         .where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") + SLACK))
-        .drop("near", "far", "sure", "bound")
+        .select(*pairs.columns)
     )
 
 
@@ -165,25 +172,85 @@ def nearest_other_class(
         if step % 4 == 3:
             pairs = cut_lineage(pairs)
 
-    q = _prefixed(placed, "q", ["cls", *CUBE, "lon", "lat"])
-    r = _prefixed(placed, "r", ["cls", *CUBE, "lon", "lat", "ids"])
-    q_key, r_key = (["cls"] + CUBE for _ in range(2))
-    candidates = (
-        pairs.select(*["q" + c for c in q_key], *["r" + c for c in r_key])
-        .join(q, ["q" + c for c in q_key])
-        .join(r, ["r" + c for c in r_key])
-        .select(
-            F.col("qcls").alias("cls"), F.col("qlon").alias("lon"), F.col("qlat").alias("lat"),
-            F.col("rcls").alias("partner_cls"),
-            F.round(haversine_m("qlon", "qlat", "rlon", "rlat"), DISTANCE_DIGITS).alias("dist_m"),
-            F.explode("rids").alias("partner_id"),
-        )
+    leaf = ["cls", *CUBE]
+    queries_at = placed.select(*[F.col(c).alias("q" + c) for c in leaf], "lon", "lat")
+    refs_at = placed.select(
+        *[F.col(c).alias("r" + c) for c in leaf], "lon", "lat", F.explode("ids").alias("id")
     )
-    return top_k(
-        candidates, ["cls", "lon", "lat", "partner_cls"], ["dist_m", "partner_id"], k, rank="rank"
+    # One copy of the partners per query leaf, not per query point.
+    partners = pairs.select(*["q" + c for c in leaf], *["r" + c for c in leaf]).join(
+        refs_at, ["r" + c for c in leaf]
+    ).select(*[F.col("q" + c).alias("p" + c) for c in leaf], "rcls", "lon", "lat", "id")
+    types = {f: points.schema[c].dataType.simpleString() for f, c in (("cls", cls), ("id", id))}
+    return (
+        queries_at.groupBy(*["q" + c for c in leaf])
+        .cogroup(partners.groupBy(*["p" + c for c in leaf]))
+        .applyInArrow(
+            _nearest_in_leaf(k),
+            f"cls {types['cls']}, lon double, lat double, partner_cls {types['cls']}, "
+            f"partner_id {types['id']}, dist_m double, rank int",
+        )
     )
 
 
+def _nearest_in_leaf(k: int):
+    """The k nearest per class among the partners that came with one leaf's locations.
+
+    A product of unit vectors finds all partners up to the k-th nearest plus
+    more than a millimetre; only those get the great-circle formula.
+    """
+
+    def vectors(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lon, lat = (np.radians(left.column(c).to_numpy()) for c in ("lon", "lat"))
+        ids = right.column("id").combine_chunks()
+        # Position of each partner in id order: the tie-break, whatever type ids have.
+        place = np.empty(len(ids), dtype=np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        rlon, rlat = (np.radians(right.column(c).to_numpy()) for c in ("lon", "lat"))
+        codes = pc.dictionary_encode(right.column("rcls").combine_chunks())
+        of_class = codes.indices.to_numpy(zero_copy_only=False)
+        own, other = vectors(lon, lat), vectors(rlon, rlat)
+        found = []
+        for c in range(len(codes.dictionary)):
+            members = np.flatnonzero(of_class == c)
+            cosine = own @ other[members].T
+            if len(members) > k:
+                reach = np.partition(cosine, len(members) - k, axis=1)[:, len(members) - k]
+                q, m = np.nonzero(cosine >= reach[:, None] - COSINE_SLACK)
+            else:
+                q, m = np.nonzero(np.ones_like(cosine, dtype=bool))
+            p = members[m]
+            a = (
+                np.sin((rlat[p] - lat[q]) / 2) ** 2
+                + np.cos(lat[q]) * np.cos(rlat[p]) * np.sin((rlon[p] - lon[q]) / 2) ** 2
+            )
+            d = np.round(2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, a))), DISTANCE_DIGITS)
+            order = np.lexsort((place[p], d, q))
+            q, p, d = q[order], p[order], d[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+            kept = rank <= k
+            found.append((q[kept], p[kept], d[kept], rank[kept].astype(np.int32)))
+        if not found:
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32))]
+        q, p, d, rank = (pa.array(np.concatenate(column)) for column in zip(*found))
+        return pa.table(
+            {
+                "cls": left.column("qcls").take(q),
+                "lon": left.column("lon").take(q),
+                "lat": left.column("lat").take(q),
+                "partner_cls": right.column("rcls").take(p),
+                "partner_id": right.column("id").take(p),
+                "dist_m": d,
+                "rank": rank,
+            }
+        )
+
+    return run
+
+
 def neighbour_pairs(
     points: DataFrame, k: int, id: str = "point_id", lon: str = "lon", lat: str = "lat", cls: str = "LC0_Desc"
 ) -> DataFrame:
