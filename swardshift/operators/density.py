@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import interval_index
 from ..functions.strict import nan_to_null
+from ..session import cut_lineage
 from .quantiles import exact_quantiles
 
 
@@ -125,8 +126,8 @@ def natural_breaks(df: DataFrame, value: str, classes: int = 5, max_bins: int =
     sums reach the driver, never the values.
     """
     v = nan_to_null(F.col(value).cast("double"))
-    counts = df.select(v.alias("v")).where("v is not null").groupBy("v").agg(
-        F.count(F.lit(1)).cast("double").alias("n")
+    counts = cut_lineage(
+        df.select(v.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
     head = counts.agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"),
                       F.avg("v").alias("c")).first()

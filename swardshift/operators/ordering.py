@@ -22,27 +22,27 @@ def running_total(
     """
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     placed = (
-        df.withColumn("__v", value)
+        df.withColumn("__rt_value", value)
         .repartitionByRange(*[F.col(g) for g in groups], *order_cols)
-        .withColumn("__part", F.spark_partition_id())
+        .withColumn("__rt_part", F.spark_partition_id())
     )
     placed = cut_lineage(placed)
-    pieces = placed.groupBy(*groups, "__part").agg(F.sum("__v").alias("__piece"))
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__part").rowsBetween(
+    pieces = placed.groupBy(*groups, "__rt_part").agg(F.sum("__rt_value").alias("__rt_piece"))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__rt_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = pieces.select(
-        *groups, "__part", F.coalesce(F.sum("__piece").over(before), F.lit(0)).alias("__offset")
+        *groups, "__rt_part", F.coalesce(F.sum("__rt_piece").over(before), F.lit(0)).alias("__rt_offset")
     )
-    here = Window.partitionBy(*groups, "__part").orderBy(*order_cols).rowsBetween(
+    here = Window.partitionBy(*groups, "__rt_part").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    summed = placed.withColumn("__within", F.sum("__v").over(here))
-    keys = [*groups, "__part"]
+    summed = placed.withColumn("__rt_within", F.sum("__rt_value").over(here))
+    keys = [*groups, "__rt_part"]
     return (
         summed.join(offsets, keys)
-        .withColumn(out, F.col("__within") + F.col("__offset"))
-        .drop("__v", "__part", "__within", "__offset")
+        .withColumn(out, F.col("__rt_within") + F.col("__rt_offset"))
+        .drop("__rt_value", "__rt_part", "__rt_within", "__rt_offset")
     )
 
 
@@ -79,10 +79,10 @@ def top_k(
 
 def top_n_with_ties(df: DataFrame, value: str, n: int) -> DataFrame:
     """Rows whose value is at least the n-th largest; rows tied with it are all kept."""
-    nth = df.where(F.col(value).isNotNull()).select(value).orderBy(F.desc(value)).limit(n)
-    # A single row, so it is sent to every task.
-    floor = nth.agg(F.min(value).alias("__floor"))
-    return df.join(F.broadcast(floor), F.col(value) >= F.col("__floor")).drop("__floor")
+    largest = df.where(F.col(value).isNotNull()).select(value).orderBy(F.desc(value)).limit(n)
+    # The n-th largest value alone comes to the driver, as a filter the scan can use.
+    floor = largest.agg(F.min(value)).first()[0]
+    return df.where(F.lit(False)) if floor is None else df.where(F.col(value) >= F.lit(floor))
 
 
 def sort_missing_last(df: DataFrame, *order: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_rings_are_closed_and_cleaned(spark):
     v += [("b", 0, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)])]
     fixed = sp.normalise_rings(spark.createDataFrame(v, "poly string, ring int, seq int, x double, y double"), ["poly"])
     assert rows(fixed.groupBy("poly", "usable").agg(F.count("*"))) == [("a", True, 5), ("b", False, 3)]
-    edges = sp.ring_edges(fixed, ["poly"])
+    edges = sp.ring_edges(spark.createDataFrame(v, "poly string, ring int, seq int, x double, y double"), ["poly"])
     assert edges.count() == 4 and edges.where("x2 = 0 and y2 = 0").count() == 1
 
 
@@ -160,7 +160,7 @@ def test_geojson(spark, tmp_path):
     got = ft.read_yearly_polygons(spark, {2003: str(tmp_path / "r.json"), 2006: str(tmp_path / "r.json")})
     assert rows(got.groupBy("region_id", "year", "ring").count()) == [
         (p, y, r, n) for p in ("AA", "BB") for y in (2003, 2006) for r, n in ((0, 5), (1, 4))]
-    edges = sp.ring_edges(sp.normalise_rings(got, ["region_id", "year"]), ["region_id", "year"])
+    edges = sp.ring_edges(got, ["region_id", "year"])
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.3, 1.6)], "id long, lon double, lat double")
     found = sp.points_in_polygons(points, edges, ["id"], ["region_id", "year"])
     assert rows(found) == [(1, p, y) for p in ("AA", "BB") for y in (2003, 2006)]

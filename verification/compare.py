@@ -22,6 +22,9 @@ TABLES = (
 ).split()
 
 
+SQL_TYPES = {"integer": "int", "varchar": "string", "number": "double"}
+
+
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("set TimeZone='UTC'")
@@ -57,6 +60,10 @@ def compare(name: str, spark, con, sf: str) -> tuple[bool, str]:
     want = canonical(cols, res.fetchall())
     t2 = time.time()
     note = f"{len(got)} rows, spark {t1 - t0:.1f}s, sql {t2 - t1:.1f}s"
+    theirs = {d[0]: SQL_TYPES.get(str(d[1]).lower(), str(d[1]).lower()) for d in res.description}
+    differ = {c: (t, theirs.get(c)) for c, t in df.dtypes if t != theirs.get(c)}
+    if differ:
+        note += f", types differ {differ}"
     if sorted(cols) != sorted(df.columns):
         return False, f"{note}: columns {sorted(df.columns)} vs {sorted(cols)}"
     if not got:
