@@ -104,3 +104,75 @@ def explain(spark, sf):
 def effect_density(spark, sf):
     pred = _transfer(spark, sf).pred.where("aoa is not null")
     return kde_table(pred, "effect", ["aoa"], 64)
+
+
+# Rows, split and bounds of a transfer are fixed whatever the trees look like.
+TRANSFER_SQL = """
+lines as (select l_orderkey as o_orderkey, sum(l_extendedprice) as price from lineitem group by 1),
+t as (select o_orderkey, price, case when o_orderstatus = 'F' then 'ref' else 'treat' end as split
+      from lines join orders using (o_orderkey))
+"""
+
+
+@query(
+    "transfer_rows",
+    f"""with {TRANSFER_SQL} select o_orderkey, split, round(price, 2) as obs, true as within_reference,
+        true as effect_is_difference, split = 'treat' as judged from t""",
+)
+def transfer_rows(spark, sf):
+    """Forest predictions average reference values, so they never leave their range."""
+    pred = _transfer(spark, sf).pred
+    span = pred.where("split = 'ref'").agg(F.min("obs").alias("lo"), F.max("obs").alias("hi")).first()
+    return pred.select(
+        "o_orderkey", "split", r("obs", 2).alias("obs"),
+        F.col("pred").between(span["lo"] - 1e-6, span["hi"] + 1e-6).alias("within_reference"),
+        (F.abs(F.col("effect") - (F.col("pred") - F.col("obs"))) < 1e-9).alias("effect_is_difference"),
+        F.col("aoa").isNotNull().alias("judged"),
+    )
+
+
+@query(
+    "kfold_rows",
+    f"""with {TRANSFER_SQL} select o_orderkey, round(price, 2) as obs, true as predicted from t""",
+)
+def kfold_rows(spark, sf):
+    """Every row is held out exactly once."""
+    from swardshift.operators.forests import kfold_predictions
+
+    cv = kfold_predictions(order_table(spark, sf), "price", NUMERIC, TEXT, "o_orderkey", folds=3, **SIZE)
+    return cv.select("o_orderkey", r("obs", 2).alias("obs"), F.col("pred").isNotNull().alias("predicted"))
+
+
+@query(
+    "model_quality",
+    """select 'fit' as what, true as explains, true as quantity_first
+       union all select 'held out', true, true""",
+)
+def model_quality(spark, sf):
+    """Price follows quantity: the forest explains most of it and ranks quantity first."""
+    rows = order_table(spark, sf)
+    forest = fit_forest(rows, "price", NUMERIC, TEXT, **SIZE)
+    top = permutation_importance(forest, rows, "o_orderkey").orderBy(F.desc("value")).first()["name"]
+    fit = regression_metrics(forest.predict(rows), "price", "pred").select(F.lit("fit").alias("what"), "r2")
+    held = kfold_metrics(rows, "price", NUMERIC, TEXT, "o_orderkey", folds=3, **SIZE).select(
+        F.lit("held out").alias("what"), "r2"
+    )
+    return fit.unionByName(held).select(
+        "what", (F.col("r2") > 0.5).alias("explains"), F.lit(top in ("quantity", "lines")).alias("quantity_first")
+    )
+
+
+@query(
+    "partial_dependence_grid",
+    """with lines as (select l_orderkey, sum(l_quantity) as q from lineitem join orders on l_orderkey = o_orderkey
+         group by 1),
+       s as (select min(q) as lo, max(q) as hi from lines)
+    select 'quantity' as name, point::integer as point, round(lo + (hi - lo) * point / 20, 6) as value,
+      cast(null as varchar) as level from s, range(21) g(point)
+    union all select 'priority', null, null, o_orderpriority from orders
+      where o_orderkey in (select l_orderkey from lineitem) group by o_orderpriority""",
+)
+def partial_dependence_grid(spark, sf):
+    table_ = pdp(spark, sf)
+    numbered = F.when(F.col("level").isNull(), F.col("point"))
+    return table_.select("name", numbered.alias("point"), r("value").alias("value"), "level")

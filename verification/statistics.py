@@ -230,6 +230,30 @@ def pca_varimax(spark, sf):
     return rotated_loadings(order_measures(spark, sf), MEASURES, 2)
 
 
+@query(
+    "loading_communalities",
+    """select 'quantity' as variable, 1.0::double as communality union all select 'price', 1.0
+       union all select 'discount', 1.0 union all select 'lines', 1.0""",
+)
+def communalities(spark, sf):
+    """Rotating all components leaves each variable's variance whole."""
+    load = rotated_loadings(order_measures(spark, sf), MEASURES, len(MEASURES), cutoff=0.0)
+    return load.groupBy("variable").agg(r(F.sum(F.col("loading") * F.col("loading"))).alias("communality"))
+
+
+@query(
+    "natural_break_ends",
+    """select min(p_retailprice) as lowest, max(p_retailprice) as highest, count(*)::bigint as n, 5::bigint as classes
+       from part""",
+)
+def break_ends(spark, sf):
+    """The classes cover all rows between the smallest and the largest value."""
+    return jenks(spark, sf).agg(
+        F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("classes"),
+    )
+
+
 AOA_DIMS = 64
 
 
