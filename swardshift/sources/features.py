@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Layers of one raster catalogue: some hundred months in practice.
+MAX_LAYERS = 10_000
+
+
 def _features(spark: SparkSession, path: str, properties: str, coordinates: str) -> DataFrame:
     """Features of GeoJSON files: one per line, or one collection per file."""
     feature = (
@@ -93,19 +97,26 @@ def raster_sample(
     """Value of the pixel each point falls in, per layer, NULL outside or without data.
 
     ``layers`` holds each layer's geotransform ``(layer, x0, y0, dx, dy)`` with
-    the upper-left corner and positive pixel sizes. Pixel indices are computed
-    once per *grid* rather than per layer: layers on the same grid share them,
-    so points fan out to layers only in the join on their pixel. Points that
-    fall in one pixel are looked up once.
+    the upper-left corner and positive pixel sizes; it is a catalogue, so it is
+    read to the driver and layers on the same grid are put together. Pixel
+    indices are computed once per grid, and points that fall in one pixel look
+    it up once; points fan out to layers only in the last join.
     """
     grid = ["x0", "y0", "dx", "dy"]
-    grids = layers.groupBy(*grid).agg(F.collect_set("layer").alias("layers"))
-    gridded = pixels.join(layers.select("layer", *grid), "layer")
-    known = [r.asDict() for r in grids.drop("layers").limit(1001).collect()]
-    if len(known) > 1000:
-        raise ValueError("more than 1000 distinct grids; split the catalogue")
+    by_grid: dict[tuple, list[str]] = {}
+    catalogue = layers.select("layer", *grid).distinct().limit(MAX_LAYERS + 1).collect()
+    if len(catalogue) > MAX_LAYERS:
+        raise ValueError(f"more than {MAX_LAYERS} layers; sample them in parts")
+    for r in catalogue:
+        by_grid.setdefault(tuple(float(r[k]) for k in grid), []).append(r["layer"])
     structs = F.array(
-        *[F.struct(*[F.lit(float(g[k])).alias(k) for k in grid]) for g in known]
+        *[
+            F.struct(
+                *[F.lit(v).alias(k) for k, v in zip(grid, g)],
+                F.array(*[F.lit(name) for name in sorted(names)]).alias("layers"),
+            )
+            for g, names in sorted(by_grid.items())
+        ]
     )
     placed = (
         points.select(*ids, x, y, F.explode(structs).alias("g"))
@@ -113,7 +124,7 @@ def raster_sample(
         .withColumn("col", F.floor((F.col(x) - F.col("x0")) / F.col("dx")).cast("int"))
         .withColumn("row", F.floor((F.col("y0") - F.col(y)) / F.col("dy")).cast("int"))
     )
-    cells = placed.select(*grid, "row", "col").distinct()
-    hits = cells.join(gridded, [*grid, "row", "col"])
-    wanted = placed.join(grids, grid).select(*ids, *grid, "row", "col", F.explode("layers").alias("layer"))
-    return wanted.join(hits, [*grid, "row", "col", "layer"], "left").select(*ids, "layer", "value")
+    cells = placed.select("row", "col", F.explode("layers").alias("layer")).distinct()
+    hits = pixels.select("layer", "row", "col", "value").join(cells, ["layer", "row", "col"], "left_semi")
+    wanted = placed.select(*ids, "row", "col", F.explode("layers").alias("layer"))
+    return wanted.join(hits, ["layer", "row", "col"], "left").select(*ids, "layer", "value")

@@ -323,7 +323,7 @@ def tally(spark, sf):
     """with v as (select l_suppkey, l_returnflag, case when l_quantity = 50 and l_tax = 0.08 then null
          else l_extendedprice end as x from lineitem)
     select l_suppkey, l_returnflag, case when count(x) = count(*) then round(sum(x), 2) end as strict_total,
-      round(sum(x), 2) as total, round(avg(x), 4) as mean from v group by all""",
+      round(sum(x), 2) as total, round(avg(x) + 1e-7, 4) as mean from v group by all""",
 )
 def strict_aggregates(spark, sf):
     li = table(spark, sf, "lineitem").select(
@@ -331,7 +331,7 @@ def strict_aggregates(spark, sf):
         F.when(~((F.col("l_quantity") == 50) & (F.col("l_tax") == 0.08)), F.col("l_extendedprice")).alias("x"),
     )
     return li.groupBy("l_suppkey", "l_returnflag").agg(
-        r(strict_sum("x"), 2).alias("strict_total"), r(F.sum("x"), 2).alias("total"), r(F.avg("x"), 4).alias("mean")
+        r(strict_sum("x"), 2).alias("strict_total"), r(F.sum("x"), 2).alias("total"), r(F.avg("x") + 1e-7, 4).alias("mean")
     )
 
 

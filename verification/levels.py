@@ -107,25 +107,25 @@ finest as (select c_custkey, category, m, level from ranked where rn = 1)
 @query(
     "finest_level_mean",
     f"""with {CUBE_SQL}, {FINEST_SQL}
-    select c_custkey, category, round(m, 2) as mean_value, level from finest""",
+    select c_custkey, category, round(m, 5) as mean_value, level from finest""",
 )
 def finest(spark, sf):
     cube, key = cube_and_key(spark, sf)
     means = region_means(cube, key, ["category"], keep_level=True, out="mean_value", **LEVELS)
-    return means.withColumn("mean_value", r("mean_value", 2))
+    return means.withColumn("mean_value", r("mean_value", 5))
 
 
 @query(
     "finest_level_rows",
     f"""with {CUBE_SQL}, {FINEST_SQL}
-    select c_custkey, category, round(m, 2) as mean_value from finest""",
+    select c_custkey, category, round(m, 5) as mean_value from finest""",
 )
 def finest_rows(spark, sf):
     """The same from the joined rows, with any number of levels."""
     cube, key = cube_and_key(spark, sf)
     joined = key.join(cube, F.col("region_id") == F.col("geo"))
     means = finest_level_mean(joined, ["c_custkey"], "level", ["category"], "v", None, out="mean_value")
-    return means.withColumn("mean_value", r("mean_value", 2))
+    return means.withColumn("mean_value", r("mean_value", 5))
 
 
 @query(
@@ -144,12 +144,12 @@ def retained(spark, sf):
                from key k join cube c on k.region_id = c.geo),
     means as (select c_custkey, level, category, avg(v) as m from joined group by all),
     ranked as (select *, row_number() over (partition by c_custkey, category order by level desc) as rn from means)
-    select c_custkey, category, round(m, 2) as density from ranked where rn = 1""",
+    select c_custkey, category, round(m, 5) as density from ranked where rn = 1""",
 )
 def per_region_area(spark, sf):
     cube, key = cube_and_key(spark, sf)
     return region_means(cube, key, ["category"], area="area_km2", out="density", **LEVELS).withColumn(
-        "density", r("density", 2)
+        "density", r("density", 5)
     )
 
 
@@ -181,11 +181,11 @@ def normalised(spark, sf):
 
 @query(
     "reference_area",
-    f"""with {CUBE_SQL}, {AREA_SQL} select c_custkey, level, class, round(area, 2) as area from area""",
+    f"""with {CUBE_SQL}, {AREA_SQL} select c_custkey, level, class, round(area, 5) as area from area""",
 )
 def reference(spark, sf):
     cube, key = cube_and_key(spark, sf)
-    return level_area(cube, key, "category", ids=["c_custkey"], value="v").withColumn("area", r("area", 2))
+    return level_area(cube, key, "category", ids=["c_custkey"], value="v").withColumn("area", r("area", 5))
 
 
 FLAGSHIP_SQL = f"""with {CUBE_SQL}, {FINEST_SQL},

@@ -395,12 +395,12 @@ def line_dictionary(spark, sf):
 
 @query(
     "dictionary_update",
-    f"""with {DICT_SQL} select name, type, na, round(mean, 4) as mean, nlevs, class0, "modelSOC",
+    f"""with {DICT_SQL} select name, type, na, round(mean, 7) as mean, nlevs, class0, "modelSOC",
         use as "modelEffect" from updated""",
 )
 def dictionary_update(spark, sf):
     d = line_dictionary(spark, sf)
-    return d.select("name", "type", "na", r("mean", 4).alias("mean"), "nlevs", "class0", "modelSOC", "modelEffect")
+    return d.select("name", "type", "na", r("mean", 7).alias("mean"), "nlevs", "class0", "modelSOC", "modelEffect")
 
 
 @query(
