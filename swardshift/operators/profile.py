@@ -147,8 +147,8 @@ def scaled(column: str, mean: float | None, sd: float | None, weight: float = 1.
     if mean is None or sd is None or sd != sd or sd == 0:
         return F.lit(0.0)
     z = (F.col(column).cast("double") - F.lit(float(mean))) / F.lit(float(sd))
-    ok = z.isNotNull() & ~F.isnan(z) & (F.abs(z) != F.lit(float("inf")))
-    return F.when(ok, z * F.lit(float(weight))).otherwise(F.lit(0.0))
+    # Spark orders NaN above infinity, so this holds for finite values only.
+    return F.when(F.abs(z) < float("inf"), z * float(weight)).otherwise(0.0)
 
 
 def standardize(

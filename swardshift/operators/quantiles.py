@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strict import nan_to_null
+from ..session import cut_lineage
 from .ordering import running_total
 
 # Values one task may hold for one group before the distributed way is taken.
@@ -23,7 +24,8 @@ def _large(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[flo
     """Each quantile lies between two order statistics; find them by running counts of values."""
     counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running_total(counts, groups, [value], F.col("__n"), "__upto")
-    totals = counts.groupBy(*groups).agg(F.sum("__n").alias("__total"))
+    # The running count ends at the group's size; read from the same written rows.
+    totals = ranked.groupBy(*groups).agg(F.max("__upto").alias("__total"))
     if groups:
         ranked = ranked.join(totals, list(groups))
     else:
@@ -73,6 +75,7 @@ def exact_quantiles(
     elif not groups:
         res = _large(clean, groups, value, probs)
     else:
+        clean = cut_lineage(clean)
         hot = sizes.where(F.col("__n") > group_limit).select(*groups)
         hot_rows = clean.join(hot, groups, "left_semi")
         cold_rows = clean.join(hot, groups, "left_anti")
