@@ -1,4 +1,4 @@
-"""Reciprocal transfer: train on one class, apply to the other, explain the difference."""
+"""Transfer between classes: train on one class, apply to the other, explain the difference."""
 
 from __future__ import annotations
 

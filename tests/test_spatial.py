@@ -64,6 +64,16 @@ def test_nearest_keeps_ties_and_cap(spark):
     assert {round(r["dist_m"], 3) for r in got if r["id"] == 1} == {round(6378137 * math.radians(0.01), 3)}
 
 
+def test_nearest_within_the_same_vintage(spark):
+    edges = spark.createDataFrame(
+        [(p, y, *e[1:]) for p, y, w in (("AA", 2003, 1.0), ("CC", 2010, 0.99)) for e in ring(p, [(0, 0), (w, 0), (w, 1), (0, 1)])],
+        "poly string, year int, x1 double, y1 double, x2 double, y2 double",
+    )
+    points = spark.createDataFrame([(1, 2003, 1.02, 0.5), (1, 2010, 1.02, 0.5)], "id long, year int, lon double, lat double")
+    got = sp.nearest_polygons(points, edges, ["id", "year"], ["poly"], same=["year"])
+    assert rows(got.select("id", "year", "poly")) == [(1, 2003, "AA"), (1, 2010, "CC")]
+
+
 def test_area_of_box_with_hole(spark):
     outer = ring("a", [(10, 50), (11, 50), (11, 51), (10, 51)])
     hole = ring("a", [(10.2, 50.2), (10.2, 50.4), (10.4, 50.4), (10.4, 50.2)])
