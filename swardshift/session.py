@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from .stages import write_stage
+
 
 def build_session(app: str = "swardshift", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings this library relies on.
@@ -31,26 +31,10 @@ def build_session(app: str = "swardshift", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder checkpoints go to: the cluster's own, else a scratch folder in local mode."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="swardshift-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it from there afterwards.
+    """Write ``df`` once to the shared folder and read it from there afterwards.
 
-    Used where a result is read several times, or where later steps need the
-    rows to stay in the partitions they were first put in.
+    Used where a result is read several times. Parquet keeps column pruning for
+    the later readers.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return write_stage(df, "cut")
