@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swardshift.llm import decontaminate, line_neighbours, lsh_forest, raking
+from swardshift.llm import decontaminate, line_crf, line_neighbours, lsh_forest, raking
 from swardshift.llm.queries import SWEEPS, TEMPER, mixing_margins
 from swardshift.stages import write_stage
 
@@ -26,6 +26,13 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines the trained field takes for bad go; texts without words are among them."""
+    field = line_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = line_crf.with_scores(docs, field, score="__score")
+    return scored.where(F.col("__score") >= line_crf.THRESHOLD).select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that an earlier line repeats (within one edit); a document that loses all its words goes."""
     cleaned = line_neighbours.drop_lines(docs.withColumn("__had_words", F.col("text").rlike(r"[^\x20\x09-\x0D]")), line_neighbours.repeated_lines(docs))
@@ -38,8 +45,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    found = lsh_forest.near_duplicates(docs, percent=NEAR_PERCENT)
-    return _without(docs, found.where("NOT kept").select("doc_id")).dropDuplicates(["doc_id", "text"])
+    found = write_stage(lsh_forest.near_duplicates(docs, percent=NEAR_PERCENT), "near")
+    kept = _without(docs, found.where("NOT kept").select("doc_id"))
+    # Rows that repeat an id are copies too; only they are shuffled.
+    twice = write_stage(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "twice")
+    repeated = F.col("doc_id") == F.col("__twice")
+    return kept.join(twice, repeated, "left_anti").unionByName(kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +65,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good_quality),
     ("line dedup", line_dedup),
     ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminated),

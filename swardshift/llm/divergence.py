@@ -25,8 +25,8 @@ COMMON_WORDS: dict[str, list[str]] = {
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
 
-#: Divergences (in bits) above which a text is not the language's; texts with fewer words are not judged.
-MOST_CHARS, MOST_WORDS = 0.12, 0.45
+#: A divergence (in bits) above a + b / words is not the language's: short texts stray more by chance. Texts under the least words are not judged.
+MOST_CHARS, MOST_WORDS = (0.06, 3.0), (0.035, 4.5)
 LEAST_WORDS_CHARS, LEAST_WORDS_WORDS = 20, 60
 
 
@@ -79,7 +79,7 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
         _kept("#*$%&|<>").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         repeated_words("w").alias("n_repeat_words"),
-        known.alias("known"), F.coalesce(F.element_at(lists, "lang"), F.array().cast("array<string>")).alias("list"),
+        known.alias("known"), F.coalesce(F.try_element_at(lists, F.col("lang")), F.array().cast("array<string>")).alias("list"),
     )
     hist = F.expr(
         "transform(array(known), k -> transform(list, v -> CAST(size(filter(k, x -> x = v)) AS BIGINT)))[0]"
@@ -117,7 +117,7 @@ def _divergence(a: str, b: str) -> str:
 
 def judge(
     docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", common: Mapping[str, Sequence[str]] | None = None,
-    most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS,
+    most_chars: tuple[float, float] = MOST_CHARS, most_words: tuple[float, float] = MOST_WORDS,
 ) -> DataFrame:
     """Each document's counts, divergences and verdict, a row per input row.
 
@@ -137,10 +137,10 @@ def judge(
     scored = joined.withColumn("base_failed", base_failed()).withColumn("js_chars", F.expr(_divergence("chars", "ref_chars"))).withColumn(
         "js_words", F.expr(f"CASE WHEN size(words) > 1 THEN {_divergence('words', 'ref_words')} END")
     )
-    strange = (
-        F.coalesce((F.col("n_words") >= LEAST_WORDS_CHARS) & (F.col("js_chars") > most_chars), F.lit(False))
-        | F.coalesce((F.col("n_words") >= LEAST_WORDS_WORDS) & (F.col("js_words") > most_words), F.lit(False))
-    )
+    def beyond(name: str, least: int, most: tuple[float, float]) -> Column:
+        return F.coalesce((F.col("n_words") >= least) & (F.col(name) > most[0] + F.try_divide(F.lit(most[1]), "n_words")), F.lit(False))
+
+    strange = beyond("js_chars", LEAST_WORDS_CHARS, most_chars) | beyond("js_words", LEAST_WORDS_WORDS, most_words)
     return scored.select(
         F.col("id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "js_chars", "js_words", (~F.col("base_failed") & ~strange).alias("kept"),

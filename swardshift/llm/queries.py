@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, decontaminate, divergence, license_scan, line_neighbours, lsh_forest, raking
+from . import boosted_pii, bpe_count, decontaminate, divergence, license_scan, line_blocks, line_crf, line_neighbours, lsh_forest, raking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,7 +171,7 @@ def _divergence_sql() -> str:
     every = divergence.COMMON_WORDS
     ws = r"[^\x20\x09-\x0D]"
     hist = " ".join(
-        f"WHEN '{lang}' THEN [{', '.join(f'len(list_filter(lw, x -> x = {chr(39)}{v}{chr(39)}))' for v in words)}]" for lang, words in sorted(every.items())
+        f"WHEN '{lang}' THEN [{', '.join(f'len(list_filter(lw, lambda x: x = {chr(39)}{v}{chr(39)}))' for v in words)}]" for lang, words in sorted(every.items())
     )
     kept = lambda c: f"length(regexp_replace(t, '[^{c}]+', '', 'g'))"
     js = lambda a, b: (
@@ -181,15 +181,16 @@ def _divergence_sql() -> str:
     )
     sums = lambda c, n: f"[{', '.join(f'coalesce(sum({c}[{k}]), 0)' for k in range(1, n + 1))}]"
     n_bins = 1 + max(map(len, every.values()))
+    beyond = lambda most: f"{most[0]} + {most[1]} / n_words"
     return rf"""
-WITH d AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{ws}+') AS w, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{ws}')) AS l
+WITH d AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{ws}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{ws}')) AS l
     FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
 windows AS MATERIALIZED (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM windows JOIN twice USING (doc_id, g)) GROUP BY doc_id),
 m AS MATERIALIZED (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(t) - {kept(r'\x20\x09-\x0D')} AS word_chars, {kept('#*$%&|<>')} AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
-    [{kept('a-z')}, {kept('A-Z')}, {kept('0-9')}, {kept(r'\x20\x09-\x0D')}, {kept(r'\x{80}-\x{10FFFF}')}] AS c5, length(t) AS n, list_transform(w, x -> lower(x)) AS lw
+    [{kept('a-z')}, {kept('A-Z')}, {kept('0-9')}, {kept(r'\x20\x09-\x0D')}, {kept(r'\x{80}-\x{10FFFF}')}] AS c5, length(t) AS n, list_transform(w, lambda x: lower(x)) AS lw
     FROM d LEFT JOIN rep USING (doc_id)),
 h AS MATERIALIZED (SELECT * EXCLUDE (lw, c5, n), list_append(c5, n - list_sum(c5)) AS chars, CASE lang {hist} ELSE CAST([] AS BIGINT[]) END AS counts FROM m),
 f AS MATERIALIZED (SELECT * EXCLUDE (counts), list_append(counts, n_words - coalesce(list_sum(counts), 0)) AS words,
@@ -198,8 +199,8 @@ refs AS (SELECT lang AS ref_lang, {sums('chars', 6)} AS ref_chars, {sums('words'
 s AS (SELECT f.*, {js('chars', 'ref_chars')} AS js_chars, CASE WHEN len(words) > 1 THEN {js('words', 'ref_words')} END AS js_words
     FROM f LEFT JOIN refs ON lang IS NOT DISTINCT FROM ref_lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(js_chars, 6) + 0.0 AS js_chars, round(js_words, 6) + 0.0 AS js_words,
-    NOT base_failed AND NOT (coalesce(n_words >= {divergence.LEAST_WORDS_CHARS} AND js_chars > {divergence.MOST_CHARS}, false)
-        OR coalesce(n_words >= {divergence.LEAST_WORDS_WORDS} AND js_words > {divergence.MOST_WORDS}, false)) AS kept
+    NOT base_failed AND NOT (coalesce(n_words >= {divergence.LEAST_WORDS_CHARS} AND js_chars > {beyond(divergence.MOST_CHARS)}, false)
+        OR coalesce(n_words >= {divergence.LEAST_WORDS_WORDS} AND js_words > {beyond(divergence.MOST_WORDS)}, false)) AS kept
 FROM s
 """
 
@@ -208,3 +209,27 @@ FROM s
 def op10_divergence(spark: SparkSession, sf: str) -> DataFrame:
     judged = divergence.judge(table(spark, sf, "documents"))
     return judged.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("js_chars", "js_words")})
+
+
+@query("op7_line_blocks")
+def op7_line_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return line_blocks.extract_pages(table(spark, sf, "pages"))
+
+
+@query("op8_boosted_pii")
+def op8_boosted_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = boosted_pii.find_personal_data(table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *[count(k) for k in boosted_pii.KINDS],
+        F.sha2(boosted_pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        boosted_pii.span_text(F.concat("base", "added")).alias("spans"),
+    )
+
+
+@query("op5_line_crf")
+def op5_line_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    field = line_crf.train(docs, table(spark, sf, "labels"))
+    scored = line_crf.with_scores(docs.select("doc_id", "text"), field, score="score")
+    return scored.select("doc_id", line_crf.in_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
