@@ -33,36 +33,45 @@ SAME_PLACE, CUT, WHOLE = 0, 1, 2
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
 
+#: A value for each code point of the first plane; those beyond add their plane's.
+_POINT_VALUES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _SALT)
+#: Code points of text that are hashed at once (one text at least).
+PIECE_POINTS = 1 << 18
+
+
 class LineHasher:
     """Hashes of any part of a text, from running sums over its code points."""
 
     def __init__(self) -> None:
-        self.powers = _Powers()
+        self.powers = (_Powers(), _Powers(0xD1342543DE82EF95))
 
-    def load(self, text: str) -> np.ndarray:
+    def load(self, text: str, both: bool = True) -> np.ndarray:
+        """Take in a text; ``both`` also prepares the second, independent hash."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = len(points)
-        up, self.down = self.powers.get(n)
-        self.sums = []
-        for salt in (0x51ED270B, 0x2545F491):
-            value = (points.astype(np.uint64) + np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD)
-            value ^= value >> np.uint64(33)
-            value *= np.uint64(0xC4CEB9FE1A85EC53)
+        if n and points.max() >> 16:
+            value = _POINT_VALUES[points & 0xFFFF] + (points >> 16).astype(np.uint64) * _SALT
+        else:
+            value = _POINT_VALUES[points]
+        self.sums, self.down = [], []
+        for powers in self.powers[: 1 + both]:
+            up, down = powers.get(n)
             total = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(value * up[:n], out=total[1:])
             self.sums.append(total)
+            self.down.append(down)
         return points
 
     def part(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
         """Polynomial hash of the code points a..b, the same wherever they stand."""
-        return (self.sums[which][b] - self.sums[which][a]) * self.down[a]
+        return (self.sums[which][b] - self.sums[which][a]) * self.down[which][a]
 
     def without(self, a, b, p, q) -> np.ndarray:
         """Hash of a..b with p..q cut out."""
         s = self.sums[0]
         left = s[p] - s[a]
-        right = (s[b] - s[q]) * self.down[q - p]
-        return (left + right) * self.down[a]
+        right = (s[b] - s[q]) * self.down[0][q - p]
+        return (left + right) * self.down[0][a]
 
 
 def line_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +89,15 @@ def line_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+_STEPS = [1, 2, 3, 4]
+while _STEPS[-1] < 1 << 30:
+    _STEPS.append(int(_STEPS[-1] * 1.4))
+_STEPS = np.array(_STEPS)
+
+
 def half_of(n: np.ndarray) -> np.ndarray:
     """Length of the end pieces compared for a shared length n: at most half of it, in steps, so that neighbours in length mostly agree."""
-    steps = [4]
-    while steps[-1] < 1 << 28:
-        steps.append(max(steps[-1] + 1, int(steps[-1] * 1.4)))
-    steps = np.array(steps)
-    return steps[np.maximum(np.searchsorted(steps, np.maximum(n // 2, 4), side="right") - 1, 0)]
+    return _STEPS[np.searchsorted(_STEPS, np.maximum(n // 2, _STEPS[0]), side="right") - 1]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -106,46 +117,37 @@ def _hashed_lines(rows: DataFrame, least_chars: int) -> DataFrame:
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = LineHasher()
         for batch in batches:
-            takes, numbers, h1s, h2s, ends, sizes = [], [], [], [], [], []
+            held, size = [], 0
             for row, body in enumerate(batch.column(1)):
-                text = body.as_py()
-                if not text:
-                    continue
-                points = hasher.load(text)
-                a, b = line_spans(points)
-                number = np.flatnonzero(b - a >= least_chars)
-                a, b = a[number], b[number]
-                if not len(number):
-                    continue
-                n = (b - a).astype(np.uint64)
-                h1, h2 = mix(hasher.part(a, b) + n), mix(hasher.part(a, b, 1) ^ (n * _SALT))
-                keys = []
-                for shared in (b - a, b - a - 1):
-                    m = half_of(shared)
-                    keys.append(mix(hasher.part(a, a + m) + m.astype(np.uint64) * _SALT))
-                    keys.append(mix(hasher.part(b - m, b) ^ (m.astype(np.uint64) * _SALT + _SALT)))
-                same = half_of(b - a) == half_of(b - a - 1)
-                keys = np.stack(keys, axis=1)
-                mask = np.ones(keys.shape, dtype=bool)
-                mask[same, 2:] = False
-                takes.append(np.full(len(number), row))
-                numbers.append(number)
-                h1s.append(h1)
-                h2s.append(h2)
-                ends.append(keys[mask])
-                sizes.append(mask.sum(axis=1))
-                if sum(map(len, takes)) >= 20_000:
-                    yield _batch(batch, takes, numbers, h1s, h2s, ends, sizes)
-                    takes, numbers, h1s, h2s, ends, sizes = [], [], [], [], [], []
-            if takes:
-                yield _batch(batch, takes, numbers, h1s, h2s, ends, sizes)
-
-    def _batch(batch, takes, numbers, h1s, h2s, ends, sizes) -> pa.RecordBatch:
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                held.append((row, body.as_py() or ""))
+                size += len(held[-1][1])
+                if size >= PIECE_POINTS:
+                    yield hash_piece(hasher, batch, held)
+                    held, size = [], 0
+            if held:
+                yield hash_piece(hasher, batch, held)
+
+    def hash_piece(hasher: LineHasher, batch: pa.RecordBatch, held: list[tuple[int, str]]) -> pa.RecordBatch:
+        points = hasher.load("\n".join(text for _, text in held))
+        a, b = line_spans(points)
+        # The first line of each text, by the line breaks that the texts before it hold and end in.
+        starts = np.cumsum([0] + [text.count("\n") + 1 for _, text in held])[:-1]
+        keep = np.flatnonzero(b - a >= least_chars)
+        text = np.searchsorted(starts, keep, side="right") - 1
+        a, b = a[keep], b[keep]
+        n = (b - a).astype(np.uint64)
+        h1, h2 = mix(hasher.part(a, b) + n), mix(hasher.part(a, b, 1) ^ (n * _SALT))
+        keys, halves = [], [half_of(b - a), half_of(b - a - 1)]
+        for m in halves:
+            keys.append(mix(hasher.part(a, a + m) + m.astype(np.uint64) * _SALT))
+            keys.append(mix(hasher.part(b - m, b) ^ (m.astype(np.uint64) * _SALT + _SALT)))
+        keys, mask = np.stack(keys, axis=1), np.ones((len(keep), 4), dtype=bool)
+        mask[halves[0] == halves[1], 2:] = False
+        offsets = np.concatenate([[0], np.cumsum(mask.sum(axis=1))]).astype(np.int32)
+        rows = np.array([row for row, _ in held])[text]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(np.concatenate(takes))), pa.array(np.concatenate(numbers).astype(np.int64)),
-             pa.array(_signed(np.concatenate(h1s))), pa.array(_signed(np.concatenate(h2s))),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(ends))))],
+            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array((keep - starts[text]).astype(np.int64)), pa.array(_signed(h1)), pa.array(_signed(h2)),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(keys[mask])))],
             names=schema.names,
         )
 
@@ -195,7 +197,7 @@ def _emit(lines: DataFrame, kind: str) -> DataFrame:
         hasher = LineHasher()
         for batch in batches:
             for row, body in enumerate(batch.column(2)):
-                hasher.load(body.as_py())
+                hasher.load(body.as_py(), both=False)
                 keys, roles = variants(hasher, len(hasher.sums[0]) - 1)
                 take = pa.array(np.full(len(keys), row))
                 yield pa.RecordBatch.from_arrays(

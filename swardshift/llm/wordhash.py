@@ -43,16 +43,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the multiplier and of its inverse modulo 2**64, made as long as needed."""
+    """Powers of an odd multiplier and of its inverse modulo 2**64, made as long as needed."""
 
-    def __init__(self) -> None:
-        self.inverse = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
+    def __init__(self, multiplier: int = int(_MULTIPLIER)) -> None:
+        self.multiplier = np.uint64(multiplier)
+        self.inverse = np.uint64(pow(multiplier, -1, 2**64))
         self.up = np.ones(1, dtype=np.uint64)
         self.down = np.ones(1, dtype=np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n + 1:
-            for name, base in (("up", _MULTIPLIER), ("down", self.inverse)):
+            for name, base in (("up", self.multiplier), ("down", self.inverse)):
                 steps = np.full(n + 1, base, dtype=np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
