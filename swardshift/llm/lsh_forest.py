@@ -182,7 +182,8 @@ def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent:
     A pair at the similarity shares one of each set's ``n - ceil(share * n) + 1``
     rarest shingles. Shingles of one set alone cannot be shared, which bounds
     the similarity of a set with any partner of a given size, so a set only
-    looks into the size classes that it can reach.
+    looks into the size classes that it can reach; and the place of a shared
+    shingle in both orders bounds what can still be shared.
     """
     explode = F.expr("explode(t) AS token")
     dtype = T.StructType([T.StructField("rep", sets.schema["rep"].dataType), T.StructField("n", T.LongType()), T.StructField("t", T.ArrayType(T.LongType()))])
@@ -202,8 +203,8 @@ def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent:
     per_set = (
         shared.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
         .withColumn("take", F.col("c") - least + 1).where("take > 0")
-        .select("rep", "n", "c", F.expr("explode(slice(s, 1, CAST(take AS INT))) AS x"))
-        .select("rep", "n", "c", F.col("x.token").alias("token"))
+        .select("rep", "n", "c", F.expr("posexplode(slice(s, 1, CAST(take AS INT))) AS (pos, x)"))
+        .select("rep", "n", "c", "pos", F.col("x.token").alias("token"))
     )
     placed = per_set.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = write_stage(placed.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(1.03))).cast("int")), "rare")
@@ -214,9 +215,13 @@ def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent:
     high = F.least(F.expr(f"c * {100 + percent} / {percent}.0D - n + 1e-6D"), F.expr(f"100.0D * n / {percent} + 1e-6D"))
     first, last = (F.floor(F.log(x) / F.log(F.lit(1.03))).cast("int") for x in (low, high))
     probes = probes.withColumn("high", high).where("high >= 1").withColumn("last", last).withColumn("first", first).where("first <= last").select(
-        F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), "high", "token", F.explode(F.sequence("first", "last")).alias("bin"))
-    found = probes.join(placed.select(F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("c").alias("c_b"), "token", "bin"), ["token", "bin"])
-    reach = f"ca <> cb AND nb <= high AND na <= c_b * {100 + percent} / {percent}.0D - nb + 1e-6D"
+        F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), (F.col("c") - F.col("pos")).alias("ra"), "high", "token", F.explode(F.sequence("first", "last")).alias("bin"))
+    found = probes.join(placed.select(F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("c").alias("c_b"), (F.col("c") - F.col("pos")).alias("rb"), "token", "bin"), ["token", "bin"])
+    # At the rarest shingle that a pair shares, all it shares lies at or behind it in both orders.
+    reach = (
+        f"ca <> cb AND nb <= high AND na <= c_b * {100 + percent} / {percent}.0D - nb + 1e-6D "
+        f"AND {100 + percent} * least(ra, rb) >= {percent} * (na + nb)"
+    )
     return found.where(reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
