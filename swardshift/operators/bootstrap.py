@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strict import nan_to_null
@@ -65,27 +65,24 @@ def _accumulator(replicates: int, seed: int):
             starts = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
             x = batch["x"].to_numpy(dtype=float)
             h = batch["h"].to_numpy().astype(np.int64).view(np.uint64)
-            w_all = np.empty((len(starts), replicates))
-            wx_all = np.empty((len(starts), replicates))
             ends = np.r_[starts[1:], len(labels)]
-            few = len(starts) <= HELD_GROUPS
-            for lo in range(0, replicates, CHUNK):
-                hi = min(lo + CHUNK, replicates)
-                w = _counts(h, lo, hi, seed).astype(float)
-                if few:
-                    for g, (a, b) in enumerate(zip(starts, ends)):
-                        w_all[g, lo:hi] = w[a:b].sum(axis=0)
-                        wx_all[g, lo:hi] = x[a:b] @ w[a:b]
-                else:
-                    w_all[:, lo:hi] = np.add.reduceat(w, starts, axis=0)
-                    wx_all[:, lo:hi] = np.add.reduceat(w * x[:, None], starts, axis=0)
-            for i, g in enumerate(labels[starts]):
-                if g in held:
-                    held[g] = (held[g][0] + w_all[i], held[g][1] + wx_all[i])
-                else:
-                    held[g] = (w_all[i], wx_all[i])
-                if len(held) >= HELD_GROUPS:
-                    yield flush()
+            # A few groups at a time, so that the sums held follow the replicates alone.
+            for g0 in range(0, len(starts), HELD_GROUPS):
+                first, last = starts[g0 : g0 + HELD_GROUPS], ends[g0 : g0 + HELD_GROUPS]
+                row0, row1 = first[0], last[-1]
+                w_all, wx_all = np.empty((2, len(first), replicates))
+                for lo in range(0, replicates, CHUNK):
+                    hi = min(lo + CHUNK, replicates)
+                    w = _counts(h[row0:row1], lo, hi, seed).astype(float)
+                    w_all[:, lo:hi] = np.add.reduceat(w, first - row0, axis=0)
+                    wx_all[:, lo:hi] = np.add.reduceat(w * x[row0:row1, None], first - row0, axis=0)
+                for i, g in enumerate(labels[first]):
+                    if g in held:
+                        held[g] = (held[g][0] + w_all[i], held[g][1] + wx_all[i])
+                    else:
+                        held[g] = (w_all[i], wx_all[i])
+                    if len(held) >= HELD_GROUPS:
+                        yield flush()
         if held:
             yield flush()
 
@@ -120,6 +117,11 @@ def bca_limits(t: np.ndarray, estimate: float, acceleration: float, conf: float)
     return out[0], out[1]
 
 
+def _group_key(group: str | None) -> Column:
+    """The group as text that keeps a missing key apart from an empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-")) if group else F.lit("=all")
+
+
 def replicate_means(
     df: DataFrame, value: str, id: str, group: str | None, replicates: int, seed: int
 ) -> DataFrame:
@@ -127,12 +129,11 @@ def replicate_means(
 
     A lost task redraws the same weights. Tasks keep replicate sums, not rows.
     """
-    g = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("all")
     rows = df.select(
-        g.alias("grp"), F.xxhash64(F.col(id)).alias("h"), nan_to_null(F.col(value).cast("double")).alias("x")
+        _group_key(group).alias("grp"), F.xxhash64(F.col(id)).alias("h"), nan_to_null(F.col(value).cast("double")).alias("x")
     ).where("x is not null")
     # Thousands of draws per row outweigh moving its three numbers: use every core.
-    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sums = rows.mapInPandas(
         _accumulator(replicates, seed), "grp string, w array<double>, wx array<double>"
     )
@@ -160,9 +161,8 @@ def bootstrap_mean_ci(
     pass is needed. The last step holds one group's replicates, a fixed number.
     """
     name = group or "grp"
-    g = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("all")
     x = nan_to_null(F.col(value).cast("double"))
-    stats = df.select(g.alias("grp"), x.alias("x")).where("x is not null").groupBy("grp").agg(
+    stats = df.select(_group_key(group).alias("grp"), x.alias("x")).where("x is not null").groupBy("grp").agg(
         F.count("x").alias("n"),
         F.avg("x").alias("statistic"),
         F.coalesce(F.skewness("x"), F.lit(0.0)).alias("skew"),
@@ -195,4 +195,5 @@ def bootstrap_mean_ci(
             "conf_low double, conf_high double",
         )
     )
-    return out.withColumnRenamed("grp", name)
+    label = F.substring("grp", 2, 2**31 - 1) if group else F.lit("all")
+    return out.select(F.when(F.col("grp") != "-", label).alias(name), *out.columns[1:])

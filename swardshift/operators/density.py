@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import interval_index
 from ..functions.strict import nan_to_null
 from ..session import cut_lineage
+from .joins import null_safe_inner
 from .quantiles import exact_quantiles
 
 
@@ -25,14 +26,24 @@ def _group_shape(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
         F.max(value).alias("hi"),
     )
     q = exact_quantiles(df, groups, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    shape = basic.join(q, list(groups)) if groups else basic.withColumn("__k", F.lit(0)).join(
-        q.withColumn("__k", F.lit(0)), "__k"
-    ).drop("__k")
+    if groups:
+        shape = null_safe_inner(basic, q, list(groups))
+    else:
+        one = q.first()
+        shape = basic.withColumns({c: F.lit(one[c]).cast("double") for c in ("q1", "median", "q3")})
     iqr = (F.col("q3") - F.col("q1")) / 1.34
     spread = F.when(iqr > 0, F.least(F.col("sd"), iqr)).otherwise(F.col("sd"))
     return shape.withColumn("bw", 0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
 
 
+def _beside_shape(rows: DataFrame, shape: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows with their group's numbers: joined by group (a missing key is one), or the one row's values without groups."""
+    if keys:
+        return null_safe_inner(rows, shape.select(*keys, *columns), list(keys))
+    one = shape.first()
+    return rows.withColumns({c: F.lit(one[c]) for c in columns})
+
+
 def kde_table(
     df: DataFrame,
     value: str,
@@ -48,15 +59,12 @@ def kde_table(
     however long the table is. ``bins=None`` applies it to every distinct value.
     """
     keys = list(groups)
-    g = keys or ["__all"]
     rows = df.select(*keys, nan_to_null(F.col(value).cast("double")).alias("v")).where("v is not null")
-    if not keys:
-        rows = rows.withColumn("__all", F.lit(0))
-    shape = _group_shape(rows, g, "v")
+    shape = _group_shape(rows, keys, "v")
     if bandwidth is not None:
         shape = shape.withColumn("bw", F.lit(float(bandwidth)))
     if bins is None:
-        mass = rows.groupBy(*g, "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        mass = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
     else:
         width = (F.col("hi") - F.col("lo")) / (bins - 1)
         at = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), width), F.lit(0.0))
@@ -66,21 +74,21 @@ def kde_table(
             F.struct((left + 1).alias("bin"), (at - left).alias("w")),
         )
         mass = (
-            rows.join(shape.select(*g, "lo", "hi"), g)
-            .select(*g, "lo", width.alias("__width"), F.inline(halves))
-            .groupBy(*g, "lo", "__width", "bin")
+            _beside_shape(rows, shape, keys, ["lo", "hi"])
+            .select(*keys, "lo", width.alias("__width"), F.inline(halves))
+            .groupBy(*keys, "lo", "__width", "bin")
             .agg(F.sum("w").alias("w"))
-            .select(*g, (F.col("lo") + F.col("bin") * F.col("__width")).alias("v"), "w")
+            .select(*keys, (F.col("lo") + F.col("bin") * F.col("__width")).alias("v"), "w")
         )
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     on_grid = (
-        mass.join(shape.select(*g, "n", "lo", "hi", "bw", "median"), g)
+        _beside_shape(mass, shape, keys, ["n", "lo", "hi", "bw", "median"])
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
         .withColumn("x", F.col("lo") + F.col("point") * step)
     )
     z = (F.col("x") - F.col("v")) / F.col("bw")
     kernel = F.exp(-0.5 * z * z) * F.col("w") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    out = on_grid.groupBy(*g, "point", "x", "median").agg(F.sum(kernel).alias("density"))
+    out = on_grid.groupBy(*keys, "point", "x", "median").agg(F.sum(kernel).alias("density"))
     return out.select(*keys, "point", "x", "density", "median")
 
 

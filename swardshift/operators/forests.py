@@ -12,7 +12,7 @@ from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -20,6 +20,11 @@ from .ordering import number_rows
 from .profile import regression_metrics
 
 
+def _draw(id: str, salt: str):
+    """Text that orders rows at random but the same on every run and engine."""
+    return F.md5(F.concat(F.lit(f"{salt}:"), F.col(id).cast("string")).cast("binary"))
+
+
 @dataclass
 class Forest:
     """A fitted forest with the coding of its inputs."""
@@ -49,6 +54,24 @@ class Forest:
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         return self.score(self.coded(df), out).drop("__x")
 
+    def save(self, path: str) -> str:
+        """Write trees, level coding and the names of inputs and target below ``path``."""
+        self.model.write().overwrite().save(f"{path}/trees")
+        if self.indexer is not None:
+            self.indexer.write().overwrite().save(f"{path}/levels")
+        spark = SparkSession.active()
+        names = [("numeric", k, c) for k, c in enumerate(self.numeric)] + [("text", k, c) for k, c in enumerate(self.text)]
+        spark.createDataFrame([*names, ("target", 0, self.target)], "role string, place int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+        return path
+
+    @staticmethod
+    def load(path: str) -> Forest:
+        """What :meth:`save` wrote, ready to predict, rank and explain."""
+        rows = SparkSession.active().read.parquet(f"{path}/names").orderBy("place").collect()
+        names = {role: [r["name"] for r in rows if r["role"] == role] for role in ("numeric", "text", "target")}
+        indexer = StringIndexerModel.load(f"{path}/levels") if names["text"] else None
+        return Forest(RandomForestRegressionModel.load(f"{path}/trees"), names["numeric"], names["text"], indexer, names["target"][0])
+
     def levels(self, column: str) -> list[str]:
         return list(self.indexer.labelsArray[self.text.index(column)])
 
@@ -73,16 +96,19 @@ def fit_forest(
     seed: int = 123,
     weight: str | None = None,
     bootstrap: bool = True,
+    max_bins: int = 256,
 ) -> Forest:
     """Fit on complete rows; ``mtry`` defaults to the root of the number of inputs.
 
-    A leaf keeps at least ``min_leaf`` rows, the usual choice in regression.
+    A leaf keeps at least ``min_leaf`` rows. (The study's learner stops splitting
+    nodes under 5 rows instead, so its leaves can be smaller.) A number with
+    more than ``max_bins`` distinct values is split between ``max_bins`` of its
+    quantiles; text levels always have a bin each.
     """
     numeric, text = list(numeric), list(text)
     keep = [target, *numeric, *text] + ([weight] if weight else [])
     rows = df.select(*keep).dropna()
     indexer = None
-    max_bins = 32
     if text:
         indexer = StringIndexer(
             inputCols=text, outputCols=[_ix(c) for c in text], handleInvalid="keep"
@@ -109,13 +135,15 @@ def fit_forest(
     if weight:
         forest = forest.setWeightCol(weight)
     data = assembler.transform(rows).select(target, "__features", *([weight] if weight else []))
-    # Each tree level scans the rows again, so spread them evenly over all cores once.
-    data = data.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    # Each tree level scans the rows again: written once, they are not derived anew for it.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = cut_lineage(data.repartition(partitions))
     return Forest(forest.fit(data), numeric, text, indexer, target)
 
 
 def _fold(id: str, folds: int, seed: int):
-    return F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(folds)).cast("int")
+    number = F.conv(F.substring(_draw(id, f"fold {seed}"), 1, 8), 16, 10).cast("long")
+    return F.pmod(number, F.lit(folds)).cast("int")
 
 
 def kfold_predictions(
@@ -123,7 +151,7 @@ def kfold_predictions(
     folds: int = 5, seed: int = 123, **fit_args,
 ) -> DataFrame:
     """``(id, fold, obs, pred)``: each row predicted by the forest that has not seen it."""
-    marked = df.withColumn("fold", _fold(id, folds, seed))
+    marked = cut_lineage(df.withColumn("fold", _fold(id, folds, seed)))
     parts = []
     for i in range(folds):
         forest = fit_forest(marked.where(F.col("fold") != i), target, numeric, text, seed=seed, **fit_args)
@@ -146,6 +174,19 @@ def out_of_bag_predictions(
     weights Poisson(1) drawn from the id, one forest without further sampling
     per bag.
     """
+    fitted = _bagged_forests(df, target, numeric, text, id, bags, trees, seed, **fit_args)
+    parts = [forest.predict(left_out).select(id, F.col(target).alias("obs"), "pred") for forest, left_out in fitted]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy(id).agg(
+        F.first("obs").alias("obs"), F.avg("pred").alias("pred"), F.count(F.lit(1)).alias("n_bags")
+    )
+
+
+def _bagged_forests(df, target, numeric, text, id, bags, trees, seed, **fit_args) -> list[tuple[Forest, DataFrame]]:
+    """A forest for each bag, and the rows that the bag left out.
+
+    Draws above 12 count as 12; they are rarer than one in ten billion.
+    """
     u = (F.pmod(F.xxhash64(F.col(id), F.lit(seed), F.col("bag")), F.lit(2**40)) + 0.5) / 2.0**40
     p, cdf, w = math.exp(-1), 0.0, None
     for k in range(12):
@@ -153,19 +194,30 @@ def out_of_bag_predictions(
         p /= k + 1
         w = F.when(u < cdf, k) if w is None else w.when(u < cdf, k)
     draw = w.otherwise(12).cast("double")
-    parts = []
-    rows = df.dropna(subset=[target, *numeric, *text])
+    rows = cut_lineage(df.dropna(subset=[target, *numeric, *text]))
+    out = []
     for b in range(bags):
         bagged = rows.withColumn("bag", F.lit(b)).withColumn("__w", draw)
         forest = fit_forest(
             bagged.where("__w > 0"), target, numeric, text, trees=max(1, trees // bags),
             seed=seed + b, weight="__w", bootstrap=False, **fit_args,
         )
-        parts.append(forest.predict(bagged.where("__w = 0")).select(id, F.col(target).alias("obs"), "pred"))
-    every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy(id).agg(
-        F.first("obs").alias("obs"), F.avg("pred").alias("pred"), F.count(F.lit(1)).alias("n_bags")
-    )
+        out.append((forest, bagged.where("__w = 0").drop("bag", "__w")))
+    return out
+
+
+def held_out_importance(
+    df: DataFrame, target: str, numeric: Sequence[str], text: Sequence[str], id: str,
+    bags: int = 10, trees: int = 1000, seed: int = 123, **fit_args,
+) -> DataFrame:
+    """``(name, value)``: permutation importance on rows that the scored trees have not seen.
+
+    Each bag's forest is scored on the rows that its bag left out; the bags'
+    values are averaged. Bags that leave out fewer than two rows say nothing.
+    """
+    fitted = _bagged_forests(df, target, numeric, text, id, bags, trees, seed, **fit_args)
+    parts = [permutation_importance(forest, left_out, id, seed) for forest, left_out in fitted]
+    return reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.avg("value").alias("value"))
 
 
 def permutation_importance(forest: Forest, df: DataFrame, id: str, seed: int = 123) -> DataFrame:
@@ -178,7 +230,7 @@ def permutation_importance(forest: Forest, df: DataFrame, id: str, seed: int = 1
         F.col(id).alias("id"), F.col(forest.target).cast("double").alias("obs"), "__x"
     )
     numbered = cut_lineage(
-        number_rows(rows.withColumn("__h", F.xxhash64("id", F.lit(seed))), ["__h", "id"])
+        number_rows(rows.withColumn("__h", _draw("id", f"deal {seed}")), ["__h", "id"])
     )
     n = numbered.count()
     donors = numbered.select(
@@ -192,9 +244,9 @@ def permutation_importance(forest: Forest, df: DataFrame, id: str, seed: int = 1
     scored = forest.score(swapped)
     err = F.avg((F.col("pred") - F.col("obs")) ** 2)
     mse = cut_lineage(scored.groupBy("f").agg(err.alias("mse")))
-    base = mse.where("f = -1").first()["mse"]
+    base = mse.where("f = -1").select("mse").scalar()
     names = F.element_at(F.array(*[F.lit(c) for c in forest.features]), F.col("f") + 1)
-    return mse.where("f >= 0").select(names.alias("name"), (F.col("mse") - F.lit(base)).alias("value"))
+    return mse.where("f >= 0").select(names.alias("name"), (F.col("mse") - base).alias("value"))
 
 
 def partial_dependence(

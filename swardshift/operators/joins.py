@@ -45,6 +45,41 @@ def null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return left.join(r, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
+def null_safe_inner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which missing keys match missing keys."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        eq = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = eq if cond is None else cond & eq
+    return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
+
+
+def null_safe_semi(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``left`` with a match in ``right``; missing keys match missing keys."""
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys]).distinct()
+    cond = None
+    for k in keys:
+        eq = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = eq if cond is None else cond & eq
+    return left.join(r, cond, "left_semi")
+
+
+def beside_each(left: DataFrame, catalogue: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Each row of ``left`` beside each row of a catalogue (grids, classes), whose rows ``order`` tells apart.
+
+    The catalogue stays a table: its rows are numbered, the rows of ``left``
+    fan out over the numbers and meet it by number, an equi-join that Spark
+    broadcasts if the catalogue is small enough.
+    """
+    from .ordering import number_rows
+
+    numbered = cut_lineage(number_rows(catalogue, list(order), "__each"))
+    n = numbered.count()
+    fanned = left.select("*", F.explode(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).alias("__each"))
+    return fanned.join(numbered, "__each").drop("__each")
+
+
 def union_by_name(*parts: DataFrame) -> DataFrame:
     """Rows of all parts; columns a part lacks are missing."""
     out = parts[0]
@@ -81,12 +116,7 @@ def resolve_ambiguous_regions(
     place = [point, year, level]
     sizes = distinct.groupBy(*place).agg(F.count(F.lit(1)).alias("n0"))
     conflicts = sizes.where("n0 > 1")
-    affected = distinct.join(conflicts.select(point).distinct(), point, "left_semi").join(
-        conflicts.select(level).distinct(), level, "left_semi"
-    )
+    affected = null_safe_semi(null_safe_semi(distinct, conflicts, [point]), conflicts, [level])
     seen = affected.groupBy(point, region).agg(F.count(F.lit(1)).alias("n1"))
-    losers = (
-        affected.join(conflicts.select(*place), place, "left_semi")
-        .join(seen.where("n1 = 1").select(point, region), [point, region], "left_semi")
-    )
+    losers = null_safe_semi(null_safe_semi(affected, conflicts, place), seen.where("n1 = 1"), [point, region])
     return null_safe_anti(distinct, losers, distinct.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strict import nan_to_null, strict_sum
+from .joins import null_safe_left
 
 REGION_LEVELS = (0, 1, 2, 3)
 
@@ -178,9 +179,7 @@ def latest_period_share(
     latest = df.groupBy(*units, category).agg(F.max(period).alias(period))
     rows = df.join(latest, [*units, category, period], "left_semi")
     totals = rows.groupBy(category).agg(strict_sum(value).alias(value))
-    # One row per category is left, so a single window over all of them is small.
-    everything = Window.partitionBy(F.lit(0))
-    base = F.max(F.when(F.col(category) == ref, F.col(value))).over(everything)
+    base = totals.where(F.col(category) == ref).agg(F.max(value)).scalar()
     return totals.withColumn("ref", base).withColumn("rel", F.try_divide(value, "ref"))
 
 
@@ -195,7 +194,7 @@ def share_of_total(
 ) -> DataFrame:
     """Each row's share of its group's reference row; NULL without such a row."""
     totals = df.where(F.col(category) == ref).groupBy(*ids).agg(F.max(value).alias("total"))
-    return df.join(totals, list(ids), "left").withColumn(
+    return null_safe_left(df, totals, list(ids)).withColumn(
         out, F.try_divide(F.col(value), F.col("total")) * factor
     )
 

@@ -26,6 +26,7 @@ from ..functions.geometry import EARTH_RADIUS_M, unit_sphere
 from ..functions.measures import difference
 from ..functions.strict import strict_median
 from ..session import cut_lineage
+from .joins import beside_each
 from .ordering import top_k
 
 DEPTH = 24
@@ -142,19 +143,12 @@ def nearest_other_class(
         )
     )
 
-    # The number of refined levels and the class list: a few values.
-    facts = tree.agg(
-        F.max(F.when(~F.col("leaf"), F.col("lev"))).alias("deepest"),
-        F.collect_set(F.when(F.col("lev") == 0, F.col("cls"))).alias("classes"),
-    ).first()
-    classes, deepest = facts["classes"], facts["deepest"]
-    if len(classes) > 1000:
-        raise ValueError("more than 1000 classes: not a land-use column")
-    others = F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c != F.col("qcls"))
+    deepest = tree.agg(F.max(F.when(~F.col("leaf"), F.col("lev")))).first()[0]
     node_cols = ["cls", *CUBE, *BOX, "n_ids", "leaf"]
-    queries = _prefixed(leaves, "q", ["cls", *CUBE, *BOX]).withColumn("rcls", F.explode(others))
+    queries = _prefixed(leaves, "q", ["cls", *CUBE, *BOX])
+    # The roots are a table of one row per class (and top cube); every leaf starts at those of the other classes.
     roots = _prefixed(tree.where("lev = 0"), "r", node_cols)
-    pairs = queries.join(roots, "rcls")
+    pairs = beside_each(queries, roots, ["rcls", *["r" + c for c in CUBE]]).where("rcls <> qcls")
     children = tree.select(
         F.col("cls").alias("rcls"),
         *[F.col(p).alias("r" + c) for p, c in (("px", "cx"), ("py", "cy"), ("pz", "cz"))],
@@ -175,7 +169,7 @@ def nearest_other_class(
     leaf = ["cls", *CUBE]
     queries_at = placed.select(*[F.col(c).alias("q" + c) for c in leaf], "lon", "lat")
     refs_at = placed.select(
-        *[F.col(c).alias("r" + c) for c in leaf], "lon", "lat", F.explode("ids").alias("id")
+        *[F.col(c).alias("r" + c) for c in leaf], F.col("lon").alias("lon"), F.col("lat").alias("lat"), F.explode("ids").alias("id")
     )
     # One copy of the partners per query leaf, not per query point.
     partners = pairs.select(*["q" + c for c in leaf], *["r" + c for c in leaf]).join(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .joins import null_safe_inner
 
 
 def running_total(
@@ -18,7 +19,8 @@ def running_total(
     Rows are range-partitioned on (groups, order), so one group may span many
     partitions; each partition sums its own piece and the pieces' offsets (one
     row per group and partition) are added. ``order`` must be total.
-    The partition number is fixed by a checkpoint, not re-derived.
+    The partition number is written with the rows, not re-derived. Missing keys
+    are a group of their own.
     """
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     placed = (
@@ -40,7 +42,7 @@ def running_total(
     summed = placed.withColumn("__rt_within", F.sum("__rt_value").over(here))
     keys = [*groups, "__rt_part"]
     return (
-        summed.join(offsets, keys)
+        null_safe_inner(summed, offsets, keys)
         .withColumn(out, F.col("__rt_within") + F.col("__rt_offset"))
         .drop("__rt_value", "__rt_part", "__rt_within", "__rt_offset")
     )

@@ -112,12 +112,8 @@ def condition_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFra
 
 def tally_share(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Group sizes and their share of all rows."""
-    from pyspark.sql import Window
-
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    # Only the group sizes, not the rows, pass through the window.
-    everything = Window.partitionBy(F.lit(0))
-    return sizes.withColumn("rel", F.col("n") / F.sum("n").over(everything))
+    return sizes.withColumn("rel", F.col("n") / sizes.agg(F.sum("n")).scalar())
 
 
 def regression_metrics(df: DataFrame, obs: str, pred: str, groups: Sequence[str] = ()) -> DataFrame:

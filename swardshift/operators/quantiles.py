@@ -8,26 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strict import nan_to_null
-from ..session import cut_lineage
+from .joins import null_safe_inner, null_safe_left
 from .ordering import running_total
 
-# Values one task may hold for one group before the distributed way is taken.
-GROUP_LIMIT = 1_000_000
-
-
-def _small(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    aggs = [F.percentile(F.col(value), F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)]
-    return df.groupBy(*groups).agg(*aggs)
 
+def exact_quantiles(
+    df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str] | None = None
+) -> DataFrame:
+    """Quantiles (linear between order statistics) per group, missing values left out.
 
-def _large(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Each quantile lies between two order statistics; find them by running counts of values."""
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
+    Each quantile lies between two order statistics, which are found by running
+    counts of the group's distinct values. Rows only pass through partial value
+    counts and a distributed running total, so no task holds a group, whatever
+    its size. A missing key is a group of its own; between two equal order
+    statistics (infinities, say) the quantile is that value.
+    """
+    groups = list(groups)
+    clean = df.select(*groups, nan_to_null(F.col(value).cast("double")).alias(value)).where(F.col(value).isNotNull())
+    counts = clean.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running_total(counts, groups, [value], F.col("__n"), "__upto")
-    # The running count ends at the group's size; read from the same written rows.
+    # The running count ends at the group's size.
     totals = ranked.groupBy(*groups).agg(F.max("__upto").alias("__total"))
     if groups:
-        ranked = ranked.join(totals, list(groups))
+        ranked = null_safe_inner(ranked, totals, groups)
     else:
         ranked = ranked.withColumn("__total", F.lit(totals.first()["__total"]))
     aggs = []
@@ -41,47 +44,13 @@ def _large(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[flo
             F.max(at - F.floor(at)).alias(f"__f{i}"),
         ]
     picked = ranked.groupBy(*groups).agg(*aggs)
-    return picked.select(
-        *groups,
-        *[
-            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias(f"q{i}")
-            for i in range(len(probs))
-        ],
-    )
-
-
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str] | None = None,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Quantiles (linear between order statistics) per group, missing values left out.
-
-    Groups up to ``group_limit`` rows use the built-in aggregate. Larger ones
-    are sorted across the cluster: their rows go through partial value counts
-    and a distributed running total, so no task ever holds one group.
-    """
-    groups = list(groups)
-    clean = df.select(*groups, nan_to_null(F.col(value).cast("double")).alias(value)).where(
-        F.col(value).isNotNull()
-    )
-    sizes = clean.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    largest = sizes.agg(F.max("__n")).first()[0] or 0
-    if largest <= group_limit:
-        res = _small(clean, groups, value, probs)
-    elif not groups:
-        res = _large(clean, groups, value, probs)
-    else:
-        clean = cut_lineage(clean)
-        hot = sizes.where(F.col("__n") > group_limit).select(*groups)
-        hot_rows = clean.join(hot, groups, "left_semi")
-        cold_rows = clean.join(hot, groups, "left_anti")
-        res = _small(cold_rows, groups, value, probs).unionByName(_large(hot_rows, groups, value, probs))
     names = names or [f"q{i}" for i in range(len(probs))]
-    return res.select(*groups, *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+    between = [
+        F.when(F.col(f"__lo{i}") == F.col(f"__hi{i}"), F.col(f"__lo{i}"))
+        .otherwise(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}"))
+        for i in range(len(probs))
+    ]
+    return picked.select(*groups, *[b.alias(n) for b, n in zip(between, names, strict=True)])
 
 
 def strict_medians(
@@ -98,16 +67,12 @@ def strict_medians(
     return df.groupBy(*groups).agg(*[strict_median(c).alias(n) for c, n in zip(columns, names)])
 
 
-def strict_quantile(
-    df: DataFrame, groups: Sequence[str], value: str, prob: float, name: str, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def strict_quantile(df: DataFrame, groups: Sequence[str], value: str, prob: float, name: str) -> DataFrame:
     """As :func:`exact_quantiles`, but NULL for a group with any missing value."""
     groups = list(groups)
     v = nan_to_null(F.col(value).cast("double"))
     complete = df.groupBy(*groups).agg((F.count(v) == F.count(F.lit(1))).alias("__complete"))
-    q = exact_quantiles(df, groups, value, [prob], ["__q"], group_limit)
-    masked = F.when(F.col("__complete"), F.col("__q")).alias(name)
+    q = exact_quantiles(df, groups, value, [prob], ["__q"])
     if not groups:
-        ok = complete.first()["__complete"]
-        return q.select(F.when(F.lit(bool(ok)), F.col("__q")).alias(name))
-    return complete.join(q, groups, "left").select(*groups, masked)
+        return q.select(F.when(complete.scalar(), F.col("__q")).alias(name))
+    return null_safe_left(complete, q, groups).select(*groups, F.when(F.col("__complete"), F.col("__q")).alias(name))

@@ -14,8 +14,8 @@ from ..operators.forests import (
     Forest,
     default_mtry,
     fit_forest,
+    held_out_importance,
     out_of_bag_predictions,
-    permutation_importance,
 )
 from ..operators.profile import tally_share
 from ..operators.reshape import frequent_levels, lump_rare, one_hot_columns
@@ -31,7 +31,7 @@ class Transfer:
 
     pred: DataFrame
     forest: Forest
-    importance: DataFrame
+    importance: DataFrame | None
     inside: DataFrame
 
 
@@ -80,12 +80,14 @@ def transfer_effects(
     seed: int = 123,
     importance: Mapping[str, float] | None = None,
     min_leaf: int = 5,
+    bags: int = 5,
+    bootstrap: bool = True,
 ) -> Transfer:
     """Model ``target`` on class ``ref``, predict class ``treat``, and take the difference.
 
     ``pred`` holds id, split, obs, pred, effect and, for treated rows, DI and
-    AOA. Distances are weighted by the model's permutation importance on the
-    reference rows unless weights are given.
+    AOA. Distances are weighted by permutation importance on reference rows that
+    the scored trees have not seen, unless weights are given.
     """
     features = [*numeric, *text]
     rows = with_split(df, cls, ref, [ref, treat]).select(
@@ -95,9 +97,15 @@ def transfer_effects(
     reference = rows.where("split = 'ref'")
     # The study's first model counts the target among its columns when it sets mtry.
     forest = fit_forest(
-        reference, "obs", numeric, text, trees, mtry or default_mtry(len(features) + 1), depth, min_leaf, seed
+        reference, "obs", numeric, text, trees, mtry or default_mtry(len(features) + 1), depth, min_leaf, seed,
+        bootstrap=bootstrap,
+    )
+    scores = None if importance is not None else cut_lineage(
+        held_out_importance(
+            reference, "obs", numeric, text, id, bags, trees, seed, mtry=mtry or default_mtry(len(features) + 1),
+            depth=depth, min_leaf=min_leaf,
+        )
     )
-    scores = cut_lineage(permutation_importance(forest, reference, id, seed))
     if importance is None:
         # One number per model variable.
         importance = {r["name"]: r["value"] for r in scores.collect()}
@@ -119,6 +127,17 @@ def transfer_effects(
     return Transfer(pred, forest, scores, tally_share(aoa, ["aoa"]))
 
 
+def transfer_direction(df: DataFrame, target: str, cls: str, direction: str, *args, **options) -> Transfer:
+    """:func:`transfer_effects` between the two classes of a named direction.
+
+    The direction names the class that the model is trained on; the other one
+    is treated.
+    """
+    ref = REFERENCE_OF_DIRECTION[direction]
+    (treat,) = set(REFERENCE_OF_DIRECTION.values()) - {ref}
+    return transfer_effects(df, target, cls, ref, treat, *args, **options)
+
+
 def explain_effects(
     pred: DataFrame,
     df: DataFrame,

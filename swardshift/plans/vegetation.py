@@ -9,8 +9,6 @@ from ..functions.measures import ALL_MONTHS, MONTH_FEATURES, scaled_ndvi
 from ..functions.strict import nan_to_null
 from ..functions.text import layer_month, layer_year
 from ..operators.neighbours import neighbour_features
-from ..operators.quantiles import GROUP_LIMIT, strict_quantile
-from ..operators.reshape import spread
 
 
 def layer_values(sampled: DataFrame, id: str = "point_id") -> DataFrame:
@@ -25,22 +23,16 @@ def layer_values(sampled: DataFrame, id: str = "point_id") -> DataFrame:
 
 def monthly_medians(
     df: DataFrame, id: str = "point_id", month: str = "month", value: str = "ndvi",
-    features: dict[int, str] = MONTH_FEATURES, group_limit: int = GROUP_LIMIT,
+    features: dict[int, str] = MONTH_FEATURES,
 ) -> DataFrame:
     """Median per point for each listed month and over all rows, as columns.
 
-    A month with a missing observation has no median. A point has few
-    observations, so all its medians come out of one aggregation; should any
-    point exceed ``group_limit``, medians are selected across the cluster.
+    A month with a missing observation has no median; a point without an
+    observation in any listed month keeps its row. A point has at most one
+    observation per raster layer, so all its medians come out of one
+    aggregation, whose partial buffers count distinct values.
     """
     v = nan_to_null(F.col(value))
-    largest = df.groupBy(id).count().agg(F.max("count")).first()[0] or 0
-    if largest > group_limit:
-        periods = F.explode(F.array(F.col(month).cast("int"), F.lit(ALL_MONTHS)))
-        long = df.select(id, v.alias("__v"), periods.alias("__period")).where(F.col("__period").isin(*features))
-        medians = strict_quantile(long, [id, "__period"], "__v", 0.5, "__q", group_limit)
-        wide = spread(medians, [id], "__period", "__q", list(features))
-        return wide.withColumnsRenamed({str(m): name for m, name in features.items()})
     aggs = []
     for m, name in features.items():
         here = F.lit(True) if m == ALL_MONTHS else F.col(month) == m

@@ -8,24 +8,27 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import beside_each
 
-# Layers of one raster catalogue: some hundred months in practice.
-MAX_LAYERS = 10_000
 
+def _features(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """Features of GeoJSON files: one per line, or one collection per file, on one line or many.
 
-def _features(spark: SparkSession, path: str, properties: str, coordinates: str) -> DataFrame:
-    """Features of GeoJSON files: one per line, or one collection per file."""
-    feature = (
-        f"struct<properties:struct<{properties}>,"
-        f"geometry:struct<type:string,coordinates:{coordinates}>>"
-    )
-    inner = feature[len("struct<"):-1]
-    schema = f"struct<features:array<{feature}>,{inner}>"
-    raw = spark.read.text(path, wholetext=False).select(F.from_json("value", schema).alias("j"))
-    in_collection = raw.where("j.features is not null").select(F.explode("j.features").alias("f"))
-    single = raw.where("j.features is null and j.geometry is not null").select(
-        F.struct("j.properties", "j.geometry").alias("f")
-    )
+    One feature per line is read in splits; a collection is one JSON value, so a
+    file of it is one task, and its features are spread out afterwards. Text
+    that is not JSON raises. Coordinates stay JSON text, as their depth depends
+    on the geometry's type.
+    """
+    geometry = "struct<type:string,coordinates:string>"
+    feature = f"struct<properties:struct<{properties}>,geometry:{geometry}>"
+    schema = f"features array<{feature}>, properties struct<{properties}>, geometry {geometry}"
+    # A first line that is a whole JSON value on its own tells lines of features from a spread-out collection.
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    whole = lines.limit(1).select(F.get_json_object("value", "$.type").isNotNull()).collect()
+    by_line = bool(whole) and whole[0][0]
+    raw = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not by_line).json(path)
+    in_collection = raw.where("features is not null").select(F.explode("features").alias("f")).hint("rebalance")
+    single = raw.where("features is null and geometry is not null").select(F.struct("properties", "geometry").alias("f"))
     return in_collection.unionByName(single)
 
 
@@ -34,31 +37,25 @@ def read_points(spark: SparkSession, path: str, properties: str) -> DataFrame:
 
     ``properties`` is a field list such as ``"point_id:bigint,LC:string"``.
     """
-    f = _features(spark, path, properties, "array<double>")
-    return f.select(
-        "f.properties.*",
-        F.col("f.geometry.coordinates")[0].alias("lon"),
-        F.col("f.geometry.coordinates")[1].alias("lat"),
-    )
+    f = _features(spark, path, properties).select("f.*", _coordinates("array<double>").alias("c"))
+    return f.select("properties.*", F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
+
+
+def _coordinates(kind: str):
+    """The coordinates as arrays of the given depth; text of another depth raises."""
+    return F.from_json("f.geometry.coordinates", kind, {"mode": "FAILFAST"})
 
 
 def read_polygon_rings(spark: SparkSession, path: str, id_field: str = "region_id") -> DataFrame:
     """Polygon and multipolygon features -> vertices ``(id, ring, seq, x, y)``."""
     schema = f"{id_field}:string"
-    multi = _features(spark, path, schema, "array<array<array<array<double>>>>").where(
-        "f.geometry.type = 'MultiPolygon'"
-    )
-    simple = _features(spark, path, schema, "array<array<array<double>>>").where(
-        "f.geometry.type = 'Polygon'"
-    )
-    rings = multi.select(
+    features = _features(spark, path, schema)
+    multi = F.flatten(_coordinates("array<array<array<array<double>>>>"))
+    simple = _coordinates("array<array<array<double>>>")
+    kind = F.col("f.geometry.type")
+    rings = features.where(kind.isin("Polygon", "MultiPolygon")).select(
         F.col(f"f.properties.{id_field}").alias(id_field),
-        F.posexplode(F.flatten("f.geometry.coordinates")).alias("ring", "pts"),
-    ).unionByName(
-        simple.select(
-            F.col(f"f.properties.{id_field}").alias(id_field),
-            F.posexplode("f.geometry.coordinates").alias("ring", "pts"),
-        )
+        F.posexplode(F.when(kind == "MultiPolygon", multi).otherwise(simple)).alias("ring", "pts"),
     )
     return rings.select(id_field, "ring", F.posexplode("pts").alias("seq", "p")).select(
         id_field, "ring", "seq", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")
@@ -97,30 +94,16 @@ def raster_sample(
     """Value of the pixel each point falls in, per layer, NULL outside or without data.
 
     ``layers`` holds each layer's geotransform ``(layer, x0, y0, dx, dy)`` with
-    the upper-left corner and positive pixel sizes; it is a catalogue, so it is
-    read to the driver and layers on the same grid are put together. Pixel
-    indices are computed once per grid, and points that fall in one pixel look
-    it up once; points fan out to layers only in the last join.
+    the upper-left corner and positive pixel sizes. It stays a table: points
+    meet each distinct grid once, where pixel indices are computed, and points
+    that fall in one pixel look it up once; points fan out to the layers of a
+    grid only in the last join.
     """
     grid = ["x0", "y0", "dx", "dy"]
-    by_grid: dict[tuple, list[str]] = {}
-    catalogue = layers.select("layer", *grid).distinct().limit(MAX_LAYERS + 1).collect()
-    if len(catalogue) > MAX_LAYERS:
-        raise ValueError(f"more than {MAX_LAYERS} layers; sample them in parts")
-    for r in catalogue:
-        by_grid.setdefault(tuple(float(r[k]) for k in grid), []).append(r["layer"])
-    structs = F.array(
-        *[
-            F.struct(
-                *[F.lit(v).alias(k) for k, v in zip(grid, g)],
-                F.array(*[F.lit(name) for name in sorted(names)]).alias("layers"),
-            )
-            for g, names in sorted(by_grid.items())
-        ]
-    )
+    listed = layers.select("layer", *[F.col(c).cast("double").alias(c) for c in grid]).distinct()
+    grids = listed.groupBy(*grid).agg(F.sort_array(F.collect_set("layer")).alias("layers"))
     placed = (
-        points.select(*ids, x, y, F.explode(structs).alias("g"))
-        .select(*ids, x, y, "g.*")
+        beside_each(points.select(*ids, x, y), grids, grid)
         .withColumn("col", F.floor((F.col(x) - F.col("x0")) / F.col("dx")).cast("int"))
         .withColumn("row", F.floor((F.col("y0") - F.col(y)) / F.col("dy")).cast("int"))
     )

@@ -215,14 +215,16 @@ def test_all_recipes_on_a_small_cube(spark):
         assert row["Fungicide"] == pytest.approx(mean("aei_fm_salpest09", leaf, pesticid="F") / uaa)
 
 
-def test_monthly_medians_of_hot_points(spark):
+def test_monthly_medians(spark):
     from swardshift.plans.vegetation import monthly_medians
 
     rng = random.Random(1)
-    data = [(1, 3, rng.random()) for _ in range(300)] + [(1, 6, None), (1, 6, 1.0), (2, 9, 0.5), (2, 12, 0.7), (2, 12, 0.9)]
+    many = [rng.random() for _ in range(301)]
+    data = [(1, 3, v) for v in many] + [(1, 6, None), (1, 6, 1.0), (2, 9, 0.5), (2, 12, 0.7), (2, 12, 0.9), (3, 5, 0.4)]
     df = spark.createDataFrame(data, "point_id long, month int, ndvi double")
-    plain = rows(monthly_medians(df))
-    spread_out = rows(monthly_medians(df, group_limit=50))
-    assert plain[1] == (2, None, None, 0.5, pytest.approx(0.8), 0.7) and plain[0][2] is None and plain[0][5] is None
-    for a, b in zip(plain, spread_out):
-        assert a == pytest.approx(b)
+    got = rows(monthly_medians(df))
+    assert got[0][1] == pytest.approx(sorted(many)[150]) and got[0][2] is None and got[0][5] is None
+    assert got[1] == (2, None, None, 0.5, pytest.approx(0.8), 0.7)
+    # A point seen in no listed month keeps its row and its overall median.
+    assert got[2] == (3, None, None, None, None, 0.4)
+    assert rows(monthly_medians(df, features={3: "m3", 6: "m6"}))[2] == (3, None, None)

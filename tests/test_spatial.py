@@ -64,14 +64,15 @@ def test_nearest_keeps_ties_and_cap(spark):
     assert {round(r["dist_m"], 3) for r in got if r["id"] == 1} == {round(6378137 * math.radians(0.01), 3)}
 
 
-def test_nearest_within_the_same_vintage(spark):
+def test_nearest_within_each_vintage(spark):
     edges = spark.createDataFrame(
         [(p, y, *e[1:]) for p, y, w in (("AA", 2003, 1.0), ("CC", 2010, 0.99)) for e in ring(p, [(0, 0), (w, 0), (w, 1), (0, 1)])],
         "poly string, year int, x1 double, y1 double, x2 double, y2 double",
     )
-    points = spark.createDataFrame([(1, 2003, 1.02, 0.5), (1, 2010, 1.02, 0.5)], "id long, year int, lon double, lat double")
-    got = sp.nearest_polygons(points, edges, ["id", "year"], ["poly"], same=["year"])
-    assert rows(got.select("id", "year", "poly")) == [(1, 2003, "AA"), (1, 2010, "CC")]
+    points = spark.createDataFrame([(1, 1.02, 0.5), (2, 1.02, 0.5)], "id long, lon double, lat double")
+    apart = spark.createDataFrame([(2, 2010)], "id long, year int")
+    got = sp.nearest_polygons(points, edges, ["id"], ["poly"], same=["year"], apart=apart)
+    assert rows(got.select("id", "year", "poly")) == [(1, 2003, "AA"), (1, 2010, "CC"), (2, 2003, "AA")]
 
 
 def test_area_of_box_with_hole(spark):
@@ -105,6 +106,19 @@ def test_region_key_patches_and_drops(spark):
     assert rows(patched.select("pid", "year", "level", "region_id")) == [(2, 2021, 0, "AA"), (2, 2021, 1, "AA1")]
 
 
+def test_patched_rows_take_part_in_conflicts(spark):
+    edges = spark.createDataFrame(
+        [("AA", 2010, *e[1:]) for e in ring("AA", [(0, 0), (1, 0), (1, 1), (0, 1)])]
+        + [("BB", 2021, *e[1:]) for e in ring("BB", [(1, 0), (2, 0), (2, 1), (1, 1)])],
+        "region_id string, year int, x1 double, y1 double, x2 double, y2 double",
+    )
+    # Outside AA by a kilometre in 2010, inside BB in 2021: both rows bear 2021 and are seen once, so both lose.
+    points = spark.createDataFrame([(1, 1.009, 0.5), (2, 1.5, 0.5)], "pid long, lon double, lat double")
+    for kept in (False, True):
+        got = rows(sp.region_key(points, edges, ["pid"], keep_patched=kept).select("pid", "year", "region_id"))
+        assert got == [(2, 2021, "BB")]
+
+
 def haversine(a, b):
     lon1, lat1, lon2, lat2 = map(math.radians, (*a, *b))
     h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
@@ -161,6 +175,11 @@ def test_geojson(spark, tmp_path):
         {"type": "Feature", "properties": {"point_id": 7, "LC": "B1"}, "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}}]}
     (tmp_path / "p.json").write_text(json.dumps(points))
     assert rows(ft.read_points(spark, str(tmp_path / "p.json"), "point_id:bigint,LC:string")) == [(7, "B1", 1.5, 2.5)]
+    (tmp_path / "q.json").write_text(json.dumps(points, indent=2))
+    assert rows(ft.read_points(spark, str(tmp_path / "q.json"), "point_id:bigint,LC:string")) == [(7, "B1", 1.5, 2.5)]
+    (tmp_path / "bad.json").write_text(json.dumps(points["features"][0]) + "\n{not json\n")
+    with pytest.raises(Exception):
+        ft.read_points(spark, str(tmp_path / "bad.json"), "point_id:bigint,LC:string").collect()
     shell, hole = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [1, 2], [2, 2], [1, 1]]
     poly = [
         {"type": "Feature", "properties": {"region_id": "AA"}, "geometry": {"type": "Polygon", "coordinates": [shell, hole]}},

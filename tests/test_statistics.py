@@ -21,11 +21,11 @@ def test_quantiles_both_ways(spark):
     data = [("hot", 7.0)] * 500 + [("hot", rng.gauss(0, 1)) for _ in range(700)] + [("cold", v) for v in (1.0, 2.0, 3.0, 10.0)]
     data += [("cold", None), ("cold", float("nan"))]
     df = spark.createDataFrame(data, "g string, x double").repartition(5)
-    got = {r["g"]: (r["a"], r["b"]) for r in qu.exact_quantiles(df, ["g"], "x", [0.5, 0.95], ["a", "b"], group_limit=100).collect()}
+    got = {r["g"]: (r["a"], r["b"]) for r in qu.exact_quantiles(df, ["g"], "x", [0.5, 0.95], ["a", "b"]).collect()}
     hot = [v for g, v in data if g == "hot"]
     assert got["hot"] == (pytest.approx(np.quantile(hot, 0.5)), pytest.approx(np.quantile(hot, 0.95)))
     assert got["cold"] == (2.5, pytest.approx(8.95))
-    whole = qu.exact_quantiles(df, [], "x", [0.3], ["a"], group_limit=10).first()["a"]
+    whole = qu.exact_quantiles(df, [], "x", [0.3], ["a"]).first()["a"]
     assert whole == pytest.approx(np.quantile(hot + [1, 2, 3, 10], 0.3))
     strict = rows(qu.strict_quantile(df, ["g"], "x", 0.5, "m"))
     assert strict[0] == ("cold", None) and strict[1][1] == pytest.approx(np.median(hot))

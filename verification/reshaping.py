@@ -125,7 +125,7 @@ def strict_median_query(spark, sf):
 @query("global_median", """select round(median(o_totalprice), 4) as median from orders""")
 def global_median(spark, sf):
     """Taken the distributed way, as a table of any size would be."""
-    q = exact_quantiles(table(spark, sf, "orders"), [], "o_totalprice", [0.5], ["median"], group_limit=1000)
+    q = exact_quantiles(table(spark, sf, "orders"), [], "o_totalprice", [0.5], ["median"])
     return q.withColumn("median", r("median", 4))
 
 
@@ -139,6 +139,6 @@ def group_quantiles(spark, sf):
     """Groups above and below the limit, so both ways are used."""
     li = table(spark, sf, "lineitem")
     q = exact_quantiles(
-        li, ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95], ["q05", "q50", "q95"], group_limit=20_000
+        li, ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95], ["q05", "q50", "q95"]
     )
     return q.select("l_returnflag", *[r(c, 4).alias(c) for c in ("q05", "q50", "q95")])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from swardshift.operators.applicability import area_of_applicability, train_distances
 from swardshift.operators.bootstrap import bootstrap_mean_ci
-from swardshift.operators.correlate import collinear_pairs, component_table, rotated_loadings, spearman_pairs
+from swardshift.operators.correlate import collinear_pairs, component_table, correlation_table, rotated_loadings, spearman_pairs
 from swardshift.operators.density import histogram_by_breaks, kde_table, natural_breaks
 from swardshift.operators.profile import (
     missing_screen,
@@ -448,3 +448,23 @@ def importance(spark, sf):
         F.lit("pieces").alias("unit"),
     ).distinct()
     return importance_table(v, d, 7, {"Brand#4": ("Fourth", "n")})
+
+
+WIDE = 150
+
+
+@query(
+    "wide_correlation",
+    f"""with base as (select o_orderkey as id, count(*) as a, sum(l_quantity)::bigint as b from orders join lineitem
+          on l_orderkey = o_orderkey group by 1),
+        long as (select id, k, ((a * k + b * (k % 7) + id * (k % 13)) % (17 + k))::double as v from base, range(1, {WIDE + 1}) r(k))
+    select 'c' || x.k as var1, 'c' || y.k as var2, round(corr(x.v, y.v), 6) + 0.0 as rho from long x join long y
+      on x.id = y.id and x.k < y.k group by x.k, y.k""",
+)
+def wide_correlation(spark, sf):
+    """As many columns as a screening of all candidate variables has, in one pass."""
+    a = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.count(F.lit(1)).alias("a"), F.sum("l_quantity").cast("long").alias("b"))
+    base = a.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id")
+    cols = {f"c{k}": ((F.col("a") * k + F.col("b") * (k % 7) + F.col("id") * (k % 13)) % (17 + k)).cast("double") for k in range(1, WIDE + 1)}
+    return correlation_table(base.select(*[c.alias(n) for n, c in cols.items()]), list(cols)).withColumn("rho", r("rho"))
