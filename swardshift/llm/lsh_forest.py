@@ -54,12 +54,12 @@ def prefix_keys(sig: np.ndarray, least_depth: int = LEAST_DEPTH) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _shingles(batch_texts, width: int, hasher: WordHasher) -> Iterator[tuple[int, np.ndarray]]:
+def _shingles_by_piece(batch_texts, width: int, hasher: WordHasher) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """First row and shingle sets of the texts of each bounded piece of a batch."""
     for first, end, data, offsets in text_pieces(batch_texts):
         h, _, _, before = hasher.words(data, offsets)
         wins = windows(h, width)
-        for k in range(end - first):
-            yield first + k, shingle_set(h, wins, int(before[k]), int(before[k + 1]), width)
+        yield first, [shingle_set(h, wins, int(before[k]), int(before[k + 1]), width) for k in range(end - first)]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -76,35 +76,36 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(NOT_SPACE)
         for batch in batches:
-            n, d1, d2, sig = [], [], [], []
-            for _, s in _shingles(batch.column(1), width, hasher):
-                n.append(len(s))
-                d1.append(int(_signed(mix(s).sum(dtype=np.uint64, keepdims=True))[0]))
-                d2.append(int(_signed(mix(s ^ _SALT).sum(dtype=np.uint64, keepdims=True))[0]))
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
-                names=schema.names,
-            )
+            for first, sets in _shingles_by_piece(batch.column(1), width, hasher):
+                d1 = [int(_signed(mix(s).sum(dtype=np.uint64, keepdims=True))[0]) for s in sets]
+                d2 = [int(_signed(mix(s ^ _SALT).sum(dtype=np.uint64, keepdims=True))[0]) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()),
+                     pa.array(d2, pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    names=schema.names,
+                )
 
     return docs.select("id", "t").mapInArrow(sign, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(rep, n, shingles): the full sets of the documents in ``wanted`` (rep), as sorted 64-bit values."""
-    schema = T.StructType([T.StructField("rep", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([T.StructField("rep", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(NOT_SPACE)
         for batch in batches:
-            sets = [s for _, s in _shingles(batch.column(1), width, hasher)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=schema.names,
-            )
+            for first, sets in _shingles_by_piece(batch.column(1), width, hasher):
+                n = [len(x) for x in sets]
+                flat = _signed(np.concatenate(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(sets)), pa.array(n, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))],
+                    names=schema.names,
+                )
 
-    chosen = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "t")
-    return chosen.mapInArrow(gather, schema).dropDuplicates(["rep", "shingles"])
+    chosen = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "t").distinct()
+    return chosen.mapInArrow(gather, schema)
 
 
 def _tree_keys(reps: DataFrame, least_depth: int, most_depth: int) -> DataFrame:
@@ -159,21 +160,10 @@ def _region_pairs(regions: DataFrame, least_same: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have the similarity: 100 * common >= percent * all."""
-    rep = sets.schema["rep"].dataType
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    schema = T.StructType([T.StructField("a", rep), T.StructField("b", rep)])
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, schema)
+    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return met.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
 def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
@@ -185,18 +175,8 @@ def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent:
     looks into the size classes that it can reach; and the place of a shared
     shingle in both orders bounds what can still be shared.
     """
-    explode = F.expr("explode(t) AS token")
-    dtype = T.StructType([T.StructField("rep", sets.schema["rep"].dataType), T.StructField("n", T.LongType()), T.StructField("t", T.ArrayType(T.LongType()))])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([np.frombuffer(s.as_buffer(), dtype=np.int64) for s in batch.column(2)], pa.list_(pa.int64()))],
-                names=["rep", "n", "t"],
-            )
-
-    own = sets.join(crowded, "rep", "left_semi").select("rep", "n", "shingles").mapInArrow(listed, dtype)
-    tokens = own.select("rep", "n", explode)
+    own = sets.join(crowded, "rep", "left_semi")
+    tokens = own.select("rep", "n", F.explode("shingles").alias("token"))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = tokens.join(df, "token")
     least = F.expr(f"CAST(ceil({percent} * n / 100.0D) AS BIGINT)")
