@@ -468,3 +468,34 @@ def wide_correlation(spark, sf):
     base = a.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id")
     cols = {f"c{k}": ((F.col("a") * k + F.col("b") * (k % 7) + F.col("id") * (k % 13)) % (17 + k)).cast("double") for k in range(1, WIDE + 1)}
     return correlation_table(base.select(*[c.alias(n) for n, c in cols.items()]), list(cols)).withColumn("rho", r("rho"))
+
+
+def _breaks_sql(classes: int) -> str:
+    """Fisher's dynamic program, a layer of CTEs for each class, over the distinct prices."""
+    cost = "(b.cq - a.cq) - (b.cs - a.cs) * (b.cs - a.cs) / (b.cn - a.cn)"
+    parts = [
+        """v as (select p_retailprice as x, count(*)::double as n from part group by 1),
+        z as (select x, n, x - (select avg(x) from v) as d from v),
+        o as (select x, row_number() over w as j, sum(n) over w as cn, sum(n * d) over w as cs, sum(n * d * d) over w as cq
+          from z window w as (order by x)),
+        b1 as (select j, cq - cs * cs / cn as cost, 0::bigint as cut from o)"""
+    ]
+    for k in range(2, classes + 1):
+        parts.append(
+            f"b{k} as materialized (select b.j, min(p.cost + {cost}) as cost, arg_min(a.j, p.cost + {cost}) as cut "
+            f"from b{k - 1} p join o a on a.j = p.j join o b on b.j > a.j group by b.j)"
+        )
+    parts.append(f"e{classes} as (select max(j) as j from o)")
+    for k in range(classes, 1, -1):
+        parts.append(f"e{k - 1} as (select cut as j from b{k} join e{k} using (j))")
+    ends = " union all ".join(f"select {k - 1} as class, j from e{k}" for k in range(1, classes + 1))
+    return (
+        f"with {', '.join(parts)}, ends as ({ends}), spans as (select class, x as top, lag(x) over (order by class) as below from ends join o using (j)) "
+        "select class::integer as class, count(*)::bigint as n, min(p_retailprice) as lowest, max(p_retailprice) as highest "
+        "from part join spans on p_retailprice <= top and (below is null or p_retailprice > below) group by class"
+    )
+
+
+@query("natural_break_classes", _breaks_sql(5))
+def natural_break_classes(spark, sf):
+    return jenks(spark, sf).select(F.col("class").cast("int").alias("class"), "n", "lowest", "highest")
