@@ -170,26 +170,32 @@ def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent:
     """Pairs of crowded sets in different components that may reach the similarity. Exact: none is left out.
 
     A pair at the similarity shares one of each set's ``n - ceil(share * n) + 1``
-    rarest shingles. Shingles of one set alone cannot be shared, which bounds
-    the similarity of a set with any partner of a given size, so a set only
+    rarest shingles. Shingles of one component alone cannot be shared, which
+    bounds the similarity of a set with any partner of a given size, so a set only
     looks into the size classes that it can reach; and the place of a shared
     shingle in both orders bounds what can still be shared.
     """
-    own = sets.join(crowded, "rep", "left_semi")
-    tokens = own.select("rep", "n", F.explode("shingles").alias("token"))
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    named = comps.select(F.col("node").alias("rep"), "component")
+    own = sets.join(crowded, "rep", "left_semi").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    tokens = own.select("rep", "n", "component", F.explode("shingles").alias("token"))
+    # Only shingles that two components hold can be shared between components.
+    df = (
+        tokens.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lead"), F.max("component").alias("last"))
+        .where("lead <> last").select("token", "df", "lead")
+    )
     shared = tokens.join(df, "token")
     least = F.expr(f"CAST(ceil({percent} * n / 100.0D) AS BIGINT)")
     per_set = (
-        shared.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+        shared.groupBy("rep", "n", "component")
+        .agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.struct("df", "token", "lead"))).alias("s"))
         .withColumn("take", F.col("c") - least + 1).where("take > 0")
-        .select("rep", "n", "c", F.expr("posexplode(slice(s, 1, CAST(take AS INT))) AS (pos, x)"))
-        .select("rep", "n", "c", "pos", F.col("x.token").alias("token"))
+        .select("rep", "n", "component", "c", F.expr("posexplode(slice(s, 1, CAST(take AS INT))) AS (pos, x)"))
+        .select("rep", "n", "component", "c", "pos", "x.token", "x.lead")
     )
-    placed = per_set.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = write_stage(placed.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(1.03))).cast("int")), "rare")
-    lead = placed.groupBy("token").agg(F.min("component").alias("lead"), F.max("component").alias("last")).where("lead <> last").select("token", "lead")
-    probes = placed.join(lead, "token").where("component <> lead").drop("lead")
+    placed = write_stage(per_set.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(1.03))).cast("int")), "rare")
+    # Of two sets of different components at least one is not of a shingle's lead component.
+    probes = placed.where("component <> lead").drop("lead")
     # With c shareable shingles a partner of size m gives at most c / (n + m - c), and at most m / n.
     low = F.expr(f"{percent} * n / 100.0D")
     high = F.least(F.expr(f"c * {100 + percent} / {percent}.0D - n + 1e-6D"), F.expr(f"100.0D * n / {percent} + 1e-6D"))
