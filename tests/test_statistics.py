@@ -229,3 +229,46 @@ def test_frequency_tables_keep_missing(spark):
     got = rows(pr.condition_counts(df, {"is_a": F.col("c") == "a"}).select("outcome", "n"))
     assert got == [(True, 2), (None, 1)]
     assert rows(pr.tally_share(df, ["c"]))[0] == ("a", 2, pytest.approx(2 / 3))
+
+
+def test_missing_keys_are_groups_of_their_own(spark):
+    from swardshift.operators.bootstrap import bootstrap_mean_ci
+    from swardshift.operators.density import kde_table
+    from swardshift.operators.levels import share_of_total
+    from swardshift.operators.ordering import running_total
+
+    data = [(k, g, float(k % 7)) for k, g in enumerate([None] * 20 + [""] * 20 + ["a"] * 20)]
+    df = spark.createDataFrame(data, "id long, g string, x double")
+    medians = {r["g"]: r["m"] for r in qu.strict_quantile(df, ["g"], "x", 0.5, "m").collect()}
+    want = {g: sorted(x for _, h, x in data if h == g) for g in (None, "", "a")}
+    assert medians == {g: (v[9] + v[10]) / 2 for g, v in want.items()}
+    boot = {r["g"]: (r["n"], r["statistic"]) for r in bootstrap_mean_ci(df, "x", "id", "g", replicates=200).collect()}
+    assert boot == {g: (20, pytest.approx(sum(v) / 20)) for g, v in want.items()}
+    curves = kde_table(df, "x", ["g"], points=16).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in curves} == {None: 16, "": 16, "a": 16}
+    totals = running_total(df, ["g"], ["id"], F.col("x"), "t").groupBy("g").agg(F.max("t").alias("t")).collect()
+    assert {r["g"]: r["t"] for r in totals} == {g: sum(v) for g, v in want.items()}
+    parts = spark.createDataFrame([(None, "ALL", 8.0), (None, "p", 2.0), ("a", "ALL", 4.0), ("a", "p", 1.0)], "g string, c string, v double")
+    shares = {r["g"]: r["share"] for r in share_of_total(parts, ["g"], "c", "ALL", "v").where("c = 'p'").collect()}
+    assert shares == {None: 25.0, "a": 25.0}
+
+
+def test_quantiles_between_infinities(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0,), (inf,), (inf,)], "x double")
+    assert qu.exact_quantiles(df, [], "x", [0.5, 0.0], ["m", "lo"]).first()[:] == (inf, 1.0)
+
+
+def test_wide_correlations_with_missing_values(spark):
+    from swardshift.operators.correlate import spearman_pairs
+
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({c: np.where(rng.random(300) < 0.2, np.nan, rng.integers(0, 30, 300).astype(float)) for c in "abcd"})
+    frame["e"], frame["id"] = 1.0, 7  # a constant column, and ids that repeat
+    got = {(r["var1"], r["var2"]): (r["n"], r["rho"]) for r in spearman_pairs(spark.createDataFrame(frame), ["id"], list("abcde")).collect()}
+    assert len(got) == 10
+    for (a, b), (n, rho) in got.items():
+        both = frame[[a, b]].dropna()
+        ranks = both.rank()
+        assert n == len(both)
+        assert rho is None if b == "e" else rho == pytest.approx(ranks[a].corr(ranks[b]))
