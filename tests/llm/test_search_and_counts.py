@@ -1,6 +1,7 @@
 """Decontamination, mixing, licence scan and token counts against brute force and on awkward tables."""
 
 import random
+import textwrap
 
 import pytest
 import sentencepiece
@@ -103,6 +104,32 @@ def test_licenses(spark):
         assert (plain, r["template"]) == (r["bytes_alone"], next(n for s, n in sizes if license_scan.TEMPLATES[n][0] == r["license"]))
 
 
+def test_licenses_as_they_are_written(spark):
+    """Wrapped, commented, short and changed texts; names and versions that are other licences."""
+    t = {k: text for k, (_, text) in license_scan.TEMPLATES.items()}
+    wrap = lambda text, sign="": "\n".join(textwrap.wrap(text, 78, initial_indent=sign, subsequent_indent=sign))
+    bsd3 = t["bsd-3-text"].replace("{}", "the University of Somewhere")
+    prose = "\n".join(f"line {k} of some plain prose that has nothing to do with it" for k in range(60))
+    cases = [
+        ("All rights reserved.", ["Proprietary"]), ("Copyright (c) 2020 X. All rights reserved.", ["Proprietary"]),
+        ("Copyright 2019-2021 The Long Name of a Holder, Inc.\nAll rights\nreserved", ["Proprietary"]), ("Some rights reserved.", []),
+        ("MIT License\n\nCopyright (c) 2020 X\n\n" + wrap(t["mit-text"]), ["MIT"]),
+        (prose + "\n" + wrap(t["gpl-3.0-header"], "# ") + "\n" + prose, ["GPL-3.0"]),
+        (wrap(t["gpl-3.0-header"].replace("GNU General", "GNU Lesser General")), []), (wrap(t["gpl-3.0-header"].replace("version 3", "version 2")), []),
+        (wrap(t["apache-2.0-header"], " * "), ["Apache-2.0"]), (t["mit-text"].upper(), ["MIT"]),
+        (wrap(bsd3), ["BSD-3-Clause"]), (wrap(t["bsd-2-text"]), ["BSD-2-Clause"]),
+        ("This is released under an MIT License, see below.", ["MIT"]), ("Unlike the MIT License it says more.", []),
+        ("Licensed under CC BY-ND 4.0.", []), ("Licensed under CC BY 3.0.", []), ("Licensed under the Apache License, Version 1.1.", []),
+        (" ".join(["word"] * 3000) + " Licensed under CC BY-SA 4.0. " + " ".join(["word"] * 3000), ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY 4.0.\nReleased under the MIT License.\nAll rights reserved.", ["CC-BY-4.0", "MIT", "Proprietary"]),
+    ]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {k: [] for k in range(len(cases))}
+    for r in license_scan.scan_licenses(docs).orderBy("doc_id", "first_line").collect():
+        got[r["doc_id"]].append(r["license"])
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+
+
 def test_licenses_on_awkward_tables(spark):
     assert license_scan.scan_licenses(documents(spark)).count() == 0
     assert license_scan.scan_licenses(no_documents(spark)).count() == 0
