@@ -6,14 +6,20 @@ one of them (an inserted one). Variants are emitted as hashed keys; equal keys
 meet in an aggregation that keeps the earliest line, so no pairs are formed
 however many lines share a variant; the winner is verified by edit distance.
 
+More edits take variants with more places: changed characters become blanks
+whose places count, and two lines meet if their changes and deletions together
+are within the bound (``edits``).
+
 Most lines need no variants: an edit leaves the first or the last half of a
 line as it is, so a line that shares neither with another line has no
-neighbour. The same holds, with finer pieces, for what is left. Both sieves
-lose nothing.
+neighbour. The same holds, with finer pieces, for what is left. Under more
+edits one of edits + 1 pieces stays, moved by at most so many places. No sieve
+loses anything.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ from pyspark.sql import types as T
 from ..stages import write_stage
 from .wordhash import _Powers, mix
 
-#: Shorter lines (headings, bullets, braces) carry too little to call them copies.
+#: Shorter lines (headings, bullets, braces) carry too little to call them near copies.
 LEAST_CHARS = 24
 _PIECES = 16
 #: What a variant is: a deletion with its place, a deletion, the whole line.
@@ -110,8 +116,8 @@ _LINES = [
 ]
 
 
-def _hashed_lines(rows: DataFrame, least_chars: int) -> DataFrame:
-    """(id, line, h1, h2, ends): each line's 128-bit hash and the keys of its end pieces."""
+def _hashed_lines(rows: DataFrame, least_chars: int, copy_chars: int) -> DataFrame:
+    """(id, line, h1, h2, ends): each line's 128-bit hash and the keys of its end pieces, none where it is too short for near copies."""
     schema = T.StructType([rows.schema["id"], *_LINES])
 
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +138,7 @@ def _hashed_lines(rows: DataFrame, least_chars: int) -> DataFrame:
         a, b = line_spans(points)
         # The first line of each text, by the line breaks that the texts before it hold and end in.
         starts = np.cumsum([0] + [text.count("\n") + 1 for _, text in held])[:-1]
-        keep = np.flatnonzero(b - a >= least_chars)
+        keep = np.flatnonzero(b - a >= min(least_chars, max(copy_chars, 1)))
         text = np.searchsorted(starts, keep, side="right") - 1
         a, b = a[keep], b[keep]
         n = (b - a).astype(np.uint64)
@@ -143,6 +149,7 @@ def _hashed_lines(rows: DataFrame, least_chars: int) -> DataFrame:
             keys.append(mix(hasher.part(b - m, b) ^ (m.astype(np.uint64) * _SALT + _SALT)))
         keys, mask = np.stack(keys, axis=1), np.ones((len(keep), 4), dtype=bool)
         mask[halves[0] == halves[1], 2:] = False
+        mask[b - a < least_chars] = False
         offsets = np.concatenate([[0], np.cumsum(mask.sum(axis=1))]).astype(np.int32)
         rows = np.array([row for row, _ in held])[text]
         return pa.RecordBatch.from_arrays(
@@ -218,13 +225,88 @@ def within_one_edit(x: str, y: str) -> bool:
     return x[k + 1 :] == y[k + 1 :] if len(x) == len(y) else x[k:] == y[k + 1 :]
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """The rows (id, line, body, earlier) whose two texts are within one edit."""
+def within_edits(x: str, y: str, edits: int) -> bool:
+    """Whether at most ``edits`` insertions, deletions and changes turn one text into the other."""
+    if edits == 1:
+        return within_one_edit(x, y)
+    if abs(len(x) - len(y)) > edits:
+        return False
+    far = edits + 1
+    row = {j: j for j in range(min(edits, len(y)) + 1)}
+    for i, c in enumerate(x, 1):
+        now: dict[int, int] = {}
+        for j in range(max(0, i - edits), min(len(y), i + edits) + 1):
+            cost = min(row.get(j, far) + 1, now.get(j - 1, far) + 1)
+            now[j] = min(cost, row.get(j - 1, far) + (c != y[j - 1])) if j else cost
+        row = now
+    return row.get(len(y), far) <= edits
+
+
+#: Places of a line's edits that are hashed at once.
+PLACES = 1 << 16
+#: A role is the number of blanks times this and the number of deletions.
+_BLANKS = 1 << 8
+
+
+def _edit_variants(hasher: LineHasher, n: int, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and roles of a loaded line with up to ``edits`` characters blanked or deleted."""
+    s, (up, down) = hasher.sums[0], hasher.powers[0].get(n)
+    for m in range(min(edits, n) + 1):
+        places = itertools.combinations(range(n), m)
+        while chunk := list(itertools.islice(places, PLACES)):
+            at = np.array(chunk, dtype=np.int64).reshape(len(chunk), m)
+            for blank in itertools.product((True, False), repeat=m):
+                total, begin, gone = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.int64), 0
+                for k, wild in enumerate(blank):
+                    total += (s[at[:, k]] - s[begin]) * down[gone]
+                    if wild:
+                        total += _SALT * up[at[:, k] - gone]
+                    begin, gone = at[:, k] + 1, gone + (not wild)
+                total += (s[n] - s[begin]) * down[gone]
+                blanks = sum(blank)
+                keys = np.unique(mix(total + np.uint64(blanks + 3) * _POINT_VALUES[0]))
+                yield keys, np.full(len(keys), blanks * _BLANKS + m - blanks, dtype=np.int32)
+
+
+def _segment_keys(hasher: LineHasher, n: int, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the pieces that a line within ``edits`` of the loaded one can have unchanged."""
+    keys = []
+    for length in range(max(n - edits, 0), n + edits + 1):
+        ends = np.arange(edits + 2) * length // (edits + 1)
+        for k in range(edits + 1):
+            size = ends[k + 1] - ends[k]
+            a = np.arange(max(ends[k] - edits, 0), min(ends[k] + edits, n - size) + 1)
+            keys.append(mix(hasher.part(a, a + size) + np.uint64((length * (edits + 1) + k) * 2 + 1) * _SALT))
+    keys = np.unique(np.concatenate(keys))
+    yield keys, np.zeros(len(keys), dtype=np.int32)
+
+
+def _emit_edits(lines: DataFrame, make, edits: int) -> DataFrame:
+    """(id, line, key, role) of what ``make`` gives for each line's text."""
+    schema = T.StructType([
+        lines.schema["id"], T.StructField("line", T.LongType()), T.StructField("key", T.LongType()), T.StructField("role", T.IntegerType())
+    ])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = LineHasher()
+        for batch in batches:
+            for row, body in enumerate(batch.column(2)):
+                n = len(hasher.load(body.as_py(), both=False))
+                for keys, roles in make(hasher, n, edits):
+                    take = pa.array(np.full(len(keys), row))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(take), batch.column(1).take(take), pa.array(_signed(keys)), pa.array(roles)], names=schema.names)
+
+    return lines.select("id", "line", "body").mapInArrow(emit, schema)
+
+
+def _verified(pairs: DataFrame, edits: int = 1) -> DataFrame:
+    """The rows (id, line, body, earlier) whose two texts are within ``edits`` edits."""
     schema = T.StructType([pairs.schema["id"], T.StructField("line", T.LongType())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within_one_edit(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [within_edits(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("id", "line", "body", "earlier").mapInArrow(check, schema)
@@ -234,18 +316,22 @@ def _pos() -> Column:
     return F.struct("id", "line")
 
 
-def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(id, line) of every line to drop: an earlier line is equal or within one edit.
+def repeated_lines(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS,
+    copy_chars: int | None = None, edits: int = 1,
+) -> DataFrame:
+    """(id, line) of every line to drop: an earlier line is equal or within ``edits`` edits.
 
     Lines are split at \\n, counted from 0, compared without the ASCII white
-    space at their ends; those under ``least_chars`` code points are never
-    dropped. Earlier means a smaller (id, line), a null id before all others.
+    space at their ends; those under ``least_chars`` code points are never near
+    another. Copies fall from ``copy_chars`` code points on (``least_chars``
+    unless given; 1 joins every line that is not blank). Earlier means a smaller (id, line), a null id before all others.
     A first occurrence falls only to a line that stands before it; all later
     occurrences fall. Rows that repeat an id are one document seen twice: their
     lines stand at the same places. Null and empty texts have no lines to drop.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t"))
-    lines = write_stage(_hashed_lines(rows, least_chars), "lines")
+    lines = write_stage(_hashed_lines(rows, least_chars, least_chars if copy_chars is None else copy_chars), "lines")
     firsts = write_stage(
         lines.groupBy("h1", "h2").agg(F.min(_pos()).alias("pos"), F.first("ends").alias("ends")), "firsts"
     )
@@ -253,21 +339,31 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
         ~(F.col("id").eqNullSafe(F.col("fid")) & (F.col("line") == F.col("fline")))
     ).select("id", "line")
 
-    keyed = firsts.select("pos.*", F.explode("ends").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = keyed.join(shared, "key", "left_semi").select("id", "line").distinct()
+    least = lambda role: F.min(F.when(F.col("role") == role, _pos()))
+    if edits == 1:
+        keyed = firsts.select("pos.*", F.explode("ends").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        wanted = keyed.join(shared, "key", "left_semi").select("id", "line").distinct()
+    else:
+        wanted = firsts.where(F.size("ends") > 0).select("pos.*")
     bodies = write_stage(_line_texts(rows, wanted), "bodies")
-    pieces = _emit(bodies, "pieces")
+    pieces = _emit(bodies, "pieces") if edits == 1 else _emit_edits(bodies, _segment_keys, edits)
     shared = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     close = pieces.join(shared, "key", "left_semi").select("id", "line").distinct()
     close = write_stage(_null_safe_semi(bodies, close), "close")
 
-    variants = write_stage(_emit(close, "deletions"), "variants")
-    least = lambda role: F.min(F.when(F.col("role") == role, _pos()))
-    best = variants.groupBy("key").agg(
-        least(SAME_PLACE).alias("b0"), least(CUT).alias("b1"), least(WHOLE).alias("b2"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1")
-    partner = F.when(F.col("role") == SAME_PLACE, F.col("b0")).when(F.col("role") == CUT, F.col("b2")).otherwise(F.col("b1"))
+    if edits == 1:
+        variants = write_stage(_emit(close, "deletions"), "variants")
+        best = variants.groupBy("key").agg(
+            least(SAME_PLACE).alias("b0"), least(CUT).alias("b1"), least(WHOLE).alias("b2"), F.count(F.lit(1)).alias("n")
+        ).where("n > 1")
+        partner = F.when(F.col("role") == SAME_PLACE, F.col("b0")).when(F.col("role") == CUT, F.col("b2")).otherwise(F.col("b1"))
+    else:
+        variants = write_stage(_emit_edits(close, _edit_variants, edits), "variants")
+        deleted = lambda d: F.min(F.when(F.col("role") % _BLANKS == d, _pos()))
+        best = variants.groupBy("key").agg(*[deleted(d).alias(f"b{d}") for d in range(edits + 1)], F.count(F.lit(1)).alias("n")).where("n > 1")
+        spent = F.floor(F.col("role") / _BLANKS) + F.col("role") % _BLANKS
+        partner = F.least(F.lit(None), *[F.when(spent + d <= edits, F.col(f"b{d}")) for d in range(edits + 1)])
     beaten = (
         variants.join(best, "key").withColumn("best", partner).where(F.col("best").isNotNull() & (F.col("best") < _pos()))
         .groupBy("id", "line").agg(F.collect_set("best").alias("bests"))  # bounded by the line's variants
@@ -278,7 +374,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
     pairs = beaten.join(e, F.col("best.id").eqNullSafe(F.col("eid")) & (F.col("best.line") == F.col("eline"))).join(
         o, F.col("id").eqNullSafe(F.col("oid")) & (F.col("line") == F.col("oline"))
     )
-    near = _verified(pairs)
+    near = _verified(pairs, edits)
     return copies.union(near).distinct()
 
 

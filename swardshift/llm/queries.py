@@ -156,10 +156,21 @@ LEFT JOIN (SELECT doc_id, count(*) AS m, string_agg(CAST(line AS VARCHAR), ',' O
 """
 
 
-@query("op9_line_neighbours", _LINES_SQL)
-def op9_line_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+def _all_lines_sql() -> str:
+    """Copies among all lines that are not blank; near lines from 24 characters on."""
+    out = _LINES_SQL
+    for own, other in (
+        ("WHERE length(body) >= 24)", "WHERE length(body) >= 1)"), ("AS p FROM firsts)", "AS p FROM firsts WHERE length(body) >= 24)"),
+        ("AND f.pos < c.pos", "AND f.pos < c.pos AND length(f.body) >= 24"), ("AND s.pos < f.pos)", "AND s.pos < f.pos AND length(f.body) >= 24)"),
+    ):
+        assert out.count(own) == 1, own
+        out = out.replace(own, other)
+    return out
+
+
+def _gone_lines(spark: SparkSession, sf: str, **options) -> DataFrame:
     docs = table(spark, sf, "documents")
-    gone = line_neighbours.repeated_lines(docs).groupBy(F.col("id").alias("gid")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    gone = line_neighbours.repeated_lines(docs, **options).groupBy(F.col("id").alias("gid")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
     own = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     return own.join(gone, own.doc_id.eqNullSafe(gone.gid), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
@@ -167,6 +178,16 @@ def op9_line_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op9_line_neighbours", _LINES_SQL)
+def op9_line_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return _gone_lines(spark, sf)
+
+
+@query("op9_all_lines", _all_lines_sql())
+def op9_all_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _gone_lines(spark, sf, copy_chars=1)
+
+
 def _divergence_sql() -> str:
     every = divergence.COMMON_WORDS
     ws = r"[^\x20\x09-\x0D]"

@@ -127,6 +127,41 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(rows, line_neighbours.LEAST_CHARS)
 
 
+def test_short_copies_and_more_edits(spark):
+    """Every line that is not blank joins for equality; the bound of edits is free."""
+    rng = random.Random(5)
+    bodies = ["".join(rng.choice("abc ") for _ in range(rng.randint(8, 16))) for _ in range(30)] + ["}", "* * *", "a", "é日" * 5]
+    rows = []
+    for k in range(120):
+        lines = []
+        for _ in range(rng.randint(0, 4)):
+            line = rng.choice(bodies)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                p = rng.randrange(len(line) + 1)
+                line = rng.choice([line[:p] + rng.choice("abcd") + line[p:], line[:p] + line[p + 1 :], line[:p] + rng.choice("abcd") + line[p + 1 :]])
+            lines.append(line)
+        rows.append((k, "\n".join(lines)))
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for c in x:
+            new = [row[0] + 1]
+            for j, d in enumerate(y):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (c != d)))
+            row = new
+        return row[-1]
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    lines = sorted((k, n, line.strip(" ")) for k, t in rows for n, line in enumerate(t.split("\n")) if line.strip(" "))
+    for edits in (1, 2, 3):
+        want = set()
+        for at, (k, n, x) in enumerate(lines):
+            if any(x == y or (min(len(x), len(y)) >= 10 and distance(x, y) <= edits) for _, _, y in lines[:at]):
+                want.add((k, n))
+        got = {(r["id"], r["line"]) for r in line_neighbours.repeated_lines(docs, least_chars=10, copy_chars=1, edits=edits).collect()}
+        assert got == want, edits
+
+
 @given(st.text("ab", max_size=7), st.text("ab", max_size=7))
 @settings(max_examples=300, deadline=None)
 def test_one_edit(x, y):
