@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_pii, bpe_count, decontaminate, divergence, license_scan, line_blocks, line_crf, line_neighbours, lsh_forest, raking
+from . import boosted_pii, bpe_count, decontaminate, divergence, license_scan, line_blocks, line_crf, line_neighbours, lsh_forest, prefix_trie, raking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -254,3 +254,35 @@ def op5_line_crf(spark: SparkSession, sf: str) -> DataFrame:
     field = line_crf.train(docs, table(spark, sf, "labels"))
     scored = line_crf.with_scores(docs.select("doc_id", "text"), field, score="score")
     return scored.select("doc_id", line_crf.in_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
+def crc32_sql(bytes_list: str) -> str:
+    """DuckDB SQL: the unsigned CRC-32 of a list of byte values."""
+    step = "xor(z >> 1, 3988292384 * (z & 1))"
+    byte = f"list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda z, i: {step})"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {bytes_list}), lambda a, b: {byte}))"
+
+
+_TRIE_SQL = rf"""
+WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    substr(sha256('0:' || length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+seqs AS (SELECT c, list(md5(r) || md5(t) ORDER BY pos) AS l, list(len(regexp_extract_all(t, '[^ 	-]+')) ORDER BY pos) AS w FROM turns GROUP BY c),
+planned AS (SELECT *, {crc32_sql("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 4 AS h FROM seqs),
+rebuilt AS (SELECT s.c, list_concat(coalesce(b.l, [])[1:s.h], s.l[s.h + 1:]) AS l, list_concat(coalesce(b.w, [])[1:s.h], s.w[s.h + 1:]) AS w
+    FROM planned s LEFT JOIN seqs b ON b.c = s.c - s.c % 20),
+members AS MATERIALIZED (SELECT c, d, array_to_string(l[1:d], '') AS k, array_to_string(l[1:d - 1], '') AS pk, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w, d = len(l) AS ends
+    FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (SELECT k, d, min(pk) AS pk, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * min(w) AS own,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS sha FROM members GROUP BY k, d),
+kids AS (SELECT pk, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+under AS (SELECT m.k, m.d, sum(x.own) AS saved, count(*) FILTER (y.n IS NULL) AS leaves
+    FROM nodes x LEFT JOIN kids y ON y.pk = x.k AND y.d = x.d JOIN members m ON m.c = x.conv_id AND m.d <= x.d GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(y.n, 0) AS n_children, u.leaves AS n_leaves,
+    CAST(u.saved AS BIGINT) AS saved_tokens, n.sha AS ends_sha256
+FROM nodes n JOIN under u ON u.k = n.k AND u.d = n.d LEFT JOIN kids y ON y.pk = n.k AND y.d = n.d LEFT JOIN nodes p ON n.d > 0 AND p.k = n.pk AND p.d = n.d - 1
+"""
+
+
+@query("op13_prefix_trie", _TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"), prefix_trie.spliced(20, 4))
