@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_pii, bpe_count, decontaminate, divergence, license_scan, line_blocks, line_crf, line_neighbours, lsh_forest, prefix_trie, raking
+from . import boosted_pii, bpe_count, decontaminate, divergence, license_scan, line_blocks, line_crf, line_neighbours, lsh_forest, prefix_trie, raking, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -266,7 +266,8 @@ def crc32_sql(bytes_list: str) -> str:
 _TRIE_SQL = rf"""
 WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
     substr(sha256('0:' || length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS pos FROM conversations WHERE conv_id IS NOT NULL),
-seqs AS (SELECT c, list(md5(r) || md5(t) ORDER BY pos) AS l, list(len(regexp_extract_all(t, '[^ 	-]+')) ORDER BY pos) AS w FROM turns GROUP BY c),
+seqs AS (SELECT c, list(md5(r) || md5(t) ORDER BY pos) AS l, list(len(regexp_extract_all(t, '[^ 	-
+]+')) ORDER BY pos) AS w FROM turns GROUP BY c),
 planned AS (SELECT *, {crc32_sql("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 4 AS h FROM seqs),
 rebuilt AS (SELECT s.c, list_concat(coalesce(b.l, [])[1:s.h], s.l[s.h + 1:]) AS l, list_concat(coalesce(b.w, [])[1:s.h], s.w[s.h + 1:]) AS w
     FROM planned s LEFT JOIN seqs b ON b.c = s.c - s.c % 20),
@@ -286,3 +287,28 @@ FROM nodes n JOIN under u ON u.k = n.k AND u.d = n.d LEFT JOIN kids y ON y.pk =
 @query("op13_prefix_trie", _TRIE_SQL)
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf, "conversations"), prefix_trie.spliced(20, 4))
+
+
+_RUN_BYTES = "list_transform(range(1, length(hex(encode(x))), 2), lambda i: CAST('0x' || substr(hex(encode(x)), i, 2) AS BIGINT))"
+_SPELLING_SQL = rf"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT id, run, count(*) AS n, coalesce(id, 'null') || ':' || run AS x FROM (SELECT CAST(doc_id AS VARCHAR) AS id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY id, run),
+hashed AS (SELECT run, n, {crc32_sql(_RUN_BYTES)} AS h FROM runs),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM
+    (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS MATERIALIZED (SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS z FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)),
+near AS MATERIALIZED (SELECT a.word AS x, b.word AS y FROM cuts a JOIN cuts b ON a.z = b.z AND a.p = b.p AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM cuts a JOIN words b ON a.z = b.word UNION SELECT b.word, a.word FROM cuts a JOIN words b ON a.z = b.word),
+top AS (SELECT x, count(*) AS n_near, max(n) AS top_n, arg_min(y, (-n, y)) AS top FROM near JOIN words ON word = y GROUP BY x),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * n THEN top END AS form, CASE WHEN top_n >= 5 * n THEN top_n END AS form_n
+    FROM words LEFT JOIN top ON x = word),
+paths AS (SELECT word, word AS here, 0 AS steps FROM formed UNION ALL SELECT p.word, f.form, steps + 1 FROM paths p JOIN formed f ON f.word = p.here WHERE f.form IS NOT NULL)
+SELECT f.*, r.root FROM formed f JOIN (SELECT word, arg_max(here, steps) AS root FROM paths GROUP BY word) r USING (word)
+"""
+
+
+@query("op12_spelling", _SPELLING_SQL)
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.vocabulary(table(spark, sf, "documents")))
