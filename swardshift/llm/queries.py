@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_pii, bpe_count, decontaminate, divergence, license_scan, line_blocks, line_crf, line_neighbours, lsh_forest, prefix_trie, raking, spelling
+from . import boosted_pii, bpe_count, decontaminate, divergence, license_scan, line_blocks, line_crf, line_neighbours, lsh_forest, packing, prefix_trie, raking, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,3 +312,15 @@ SELECT f.*, r.root FROM formed f JOIN (SELECT word, arg_max(here, steps) AS root
 @query("op12_spelling", _SPELLING_SQL)
 def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_groups(spelling.vocabulary(table(spark, sf, "documents")))
+
+
+def byte_vocabulary() -> str:
+    """The vocabulary file of the packing: a public one, outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), byte_vocabulary(), capacity=2048, end_id=0)

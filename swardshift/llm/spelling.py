@@ -43,6 +43,8 @@ LEAST_CHARS = 6
 _ROWS = 1 << 21
 #: Texts beyond this are walked match by match.
 _LONG_TEXT = 1 << 23
+#: Tasks that search; beyond that a task takes several blocks one after the other.
+MOST_TASKS = 10_000
 _INDEXED, _SEARCHED = 1, 2
 
 
@@ -241,7 +243,9 @@ def near_words(words: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     crowd = met.where("slices IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("s"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     grid = lambda i, j, flag: crowd.select("side", F.concat(F.lit("="), "key").alias("block"), F.col(i).alias("i"), F.col(j).alias("j"), "s", "n", F.lit(flag).alias("flag"))
     dealt = alone.unionByName(grid("own", "other", _INDEXED)).unionByName(grid("other", "own", _SEARCHED))
-    found = dealt.groupBy("side", "block", "i", "j").applyInPandas(_search_block, "word string, n_near long, top_n long, top string")
+    # Asked for by number: a block is few bytes, but much work.
+    cells = 2 * blocks + (hot.agg(F.sum(F.col("slices") * F.col("slices"))).first()[0] or 0)
+    found = dealt.repartition(min(MOST_TASKS, cells), "side", "block", "i", "j").groupBy("side", "block", "i", "j").applyInPandas(_search_block, "word string, n_near long, top_n long, top string")
     best = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("top_n")).alias("m"), F.col("top").alias("w"))).alias("b"))
     return best.select("word", "n_near", F.col("b.w").alias("top"), (-F.col("b.m")).alias("top_n"))
 
