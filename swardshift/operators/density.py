@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -104,90 +106,206 @@ def histogram_by_breaks(
     )
 
 
-def _best_split(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> list[int]:
-    """Start indices of the k classes with least squared deviation (Fisher 1958), by dynamic programming."""
-    m = len(n)
-    cn, cs, cq = (np.concatenate([[0.0], np.cumsum(a)]) for a in (n, s, q))
-    best = np.full((k + 1, m + 1), np.inf)
-    cut = np.zeros((k + 1, m + 1), dtype=int)
-    best[0, 0] = 0.0
-    for j in range(1, k + 1):
-        for end in range(j, m + 1):
-            start = np.arange(j - 1, end)
-            cnt, tot, sq = cn[end] - cn[start], cs[end] - cs[start], cq[end] - cq[start]
-            cost = best[j - 1, start] + sq - tot * tot / cnt
-            at = int(np.argmin(cost))
-            best[j, end], cut[j, end] = cost[at], start[at]
-    starts, end = [], m
-    for j in range(k, 0, -1):
-        end = int(cut[j, end])
-        starts.append(end)
-    return starts[::-1]
-
-
-def natural_breaks(df: DataFrame, value: str, classes: int = 5, max_bins: int = 2000) -> list[float]:
-    """Break points (smallest value, class starts, largest value) of the natural-breaks classes.
-
-    Up to ``max_bins`` distinct values the optimum is exact. Beyond, Spark
-    summarises the values in bins and the bins around each break are split
-    again until every break separates two neighbouring single values; only bin
-    sums reach the driver, never the values.
+#: Intervals of values that a round asks the scan for; the rounds drop what lies between by themselves.
+PUSHED_RANGES = 40
+
+
+class _Bins:
+    """Neighbouring bins of sorted values: sums about a common centre, range, number of distinct values.
+
+    ``whole`` bins hold no cut: they have one value, or an earlier round ruled it out.
+    """
+
+    names = ("n", "s", "q", "lo", "hi", "m")
+
+    def __init__(self, columns: dict[str, np.ndarray], whole: np.ndarray) -> None:
+        self.columns, self.whole = columns, whole
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def __len__(self) -> int:
+        return len(self.whole)
+
+
+def _joined(bins: _Bins, starts: np.ndarray) -> _Bins:
+    """Runs of whole bins, each from one of ``starts`` to before the next, as one bin."""
+    put = {"n": np.add, "s": np.add, "q": np.add, "m": np.add, "lo": np.minimum, "hi": np.maximum}
+    return _Bins({c: put[c].reduceat(bins[c], starts) for c in _Bins.names}, np.logical_and.reduceat(bins.whole, starts))
+
+
+class _CutPlaces:
+    """Places where a cut may be: between two bins, or somewhere inside one, for whose rows a bound is charged.
+
+    Rows inside a cut bin go to the class before or after. Adding rows x to a
+    class of n rows with mean c raises its squared deviation by at least
+    n / (n + added) * sum((x - c) ** 2), so the bin costs at least its rows times
+    the smallest such square of the one class or of the other: two places a bin.
+    Several cuts inside a bin charge nothing for it.
+    """
+
+    def __init__(self, bins: _Bins, cuts: int) -> None:
+        size = len(bins)
+        rows = [(0, 0, -1, 0, 0)] + [(e, e, -1, 0, 1) for e in range(1, size)] + [(size, size, -1, 0, 1)]
+        for b in np.flatnonzero(~bins.whole):
+            rows += [(b, b + 1, b, side, 1) for side in (-1, 1)]
+            rows += [(b, b + 1, b, 0, c) for c in range(2, min(cuts, int(bins["m"][b]) - 1) + 1)]
+        order = sorted(range(len(rows)), key=lambda i: (rows[i][0] + rows[i][1], i))
+        self.before, self.after, self.bin, self.side, self.takes = np.array([rows[i] for i in order], dtype=int).T
+        self.size = size
+        self.start, self.end = int(np.flatnonzero((self.after == 0) & (self.bin < 0))[0]), int(np.flatnonzero((self.before == size) & (self.bin < 0))[0])
+        inside = self.bin >= 0
+        self.free = np.where(inside, bins["n"][self.bin], 0.0)
+        self.lo, self.hi = bins["lo"][self.bin], bins["hi"][self.bin]
+        self.sums = [np.concatenate([[0.0], np.cumsum(bins[c])]) for c in ("n", "s", "q")]
+
+    def costs(self, centre: float) -> np.ndarray:
+        """Least squared deviation of a class from one place (row) to another (column)."""
+        lo, hi = self.lo - centre, self.hi - centre
+        out = np.full((len(self.before), len(self.before)), np.inf)
+        for r in range(0, len(out), 256):  # the matrix is filled a strip at a time
+            own = slice(r, r + 256)
+            n, s, q = (c[self.before][None, :] - c[self.after[own]][:, None] for c in self.sums)
+            some = n > 0
+            mean = np.divide(s, n, out=np.zeros_like(s), where=some)
+            cost = np.where(some, np.maximum(q - s * mean, 0.0), 0.0)
+            share = np.where(some, n / np.maximum(n + self.free[own][:, None] + self.free[None, :], 1.0), 0.0)
+            ahead = np.where(self.side[own] > 0, self.free[own], 0.0)[:, None] * np.maximum(mean - hi[own][:, None], 0.0) ** 2
+            behind = np.where(self.side < 0, self.free, 0.0)[None, :] * np.maximum(lo[None, :] - mean, 0.0) ** 2
+            gap = self.before[None, :] - self.after[own][:, None]
+            # Between two edges there must be a bin; a class inside cut bins may be without whole ones.
+            allowed = (gap > 0) | ((gap == 0) & ((self.bin[own][:, None] >= 0) | (self.bin[None, :] >= 0)))
+            out[own] = np.where(allowed, cost + share * (ahead + behind), np.inf)
+        return out
+
+
+def _least(costs: np.ndarray, places: _CutPlaces, cuts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost up to, and from, each place for every number of cuts on the way (itself included before it)."""
+    ahead = np.full((cuts + 1, len(costs)), np.inf)
+    ahead[0, places.start] = 0.0
+    back = np.full((cuts + 1, len(costs)), np.inf)
+    back[0] = costs[:, places.end]
+    for j in range(1, cuts + 1):
+        for c in range(1, j + 1):
+            own = (places.takes == c) & (np.arange(len(costs)) != places.end)
+            if own.any():
+                ahead[j, own] = (ahead[j - c][:, None] + costs[:, own]).min(axis=0)
+                back[j] = np.minimum(back[j], (costs[:, own] + back[j - c, own][None, :]).min(axis=1))
+    return ahead, back
+
+
+def _edge_cuts(costs: np.ndarray, places: _CutPlaces, cuts: int) -> tuple[float, list[int]]:
+    """The best cuts between bins: their squared deviation, and the first bin of each class (Fisher 1958)."""
+    edges = np.flatnonzero(places.bin < 0)
+    inner = costs[np.ix_(edges, edges)]
+    best, came = np.full(len(edges), np.inf), []
+    best[0] = 0.0
+    for _ in range(cuts + 1):
+        reach = best[:, None] + inner
+        came.append(reach.argmin(axis=0))
+        best = reach.min(axis=0)
+    at, starts = len(edges) - 1, []
+    for back in came[::-1]:
+        at = int(back[at])
+        starts.append(int(places.before[edges[at]]))
+    return float(best[-1]), starts[::-1]
+
+
+def natural_breaks(df: DataFrame, value: str, classes: int = 5, bins: int = 600) -> list[float]:
+    """Break points (smallest value, class starts, largest value) of the classes with least squared deviation.
+
+    Exact for any number of distinct values. Spark sums the values in bins; a
+    dynamic program over bins finds the best cuts between them, and a second one
+    bounds from below what a cut inside each bin could reach. Bins that cannot
+    hold a cut of a better solution stay whole, and merge where no cut can lie
+    between them either; the others are split and summed again, until each of
+    them is one value. The region that is split shrinks with the bins' width, so
+    a few rounds do, and only sums of some ``bins`` bins reach the driver. Their
+    number changes the work, not the breaks.
     """
     v = nan_to_null(F.col(value).cast("double"))
     counts = cut_lineage(
         df.select(v.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        .repartitionByRange("v").sortWithinPartitions("v")  # so that the rounds skip files without bins to split
     )
-    head = counts.agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                      F.avg("v").alias("c")).first()
+    head = counts.agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("c")).first()
     if not head["m"]:
         return []
-    k = min(classes, head["m"])
-    centre = head["c"]
-    if head["m"] <= max_bins:
-        bins = _bin_sums(counts, F.col("v"), centre)
-        starts = _best_split(bins["n"], bins["s"], bins["q"], k)
-        return [float(bins["lo"][i]) for i in starts] + [float(head["hi"])]
-
-    per_break = max(8, max_bins // (4 * k))
-    probs = [i / (max_bins // 2) for i in range(1, max_bins // 2)]
-    inner = counts.select(F.percentile_approx("v", probs, 20000)).first()[0]
-    edges = sorted(set(inner) | {head["lo"]})
+    cuts, centre = min(classes, head["m"]) - 1, head["c"]
+    table = _bin_sums(counts, [(head["lo"], head["hi"], head["m"])], bins, centre)
+    total = float(table["q"].sum())
     while True:
-        splitter = Bucketizer(
-            splits=[-math.inf, *[e for e in edges if e > head["lo"]], math.inf],
-            inputCol="v", outputCol="__b",
-        )
-        bins = _bin_sums(splitter.transform(counts), F.col("__b"), centre)
-        starts = _best_split(bins["n"], bins["s"], bins["q"], k)
-        wanted = set(bins["lo"])
-        for i in starts[1:]:
-            for side in (i - 1, i):
-                if bins["m"][side] > 1:
-                    wanted.update(np.linspace(bins["lo"][side], bins["hi"][side], per_break).tolist())
-                    wanted.add(float(np.nextafter(bins["lo"][side], math.inf)))
-        if wanted == set(bins["lo"]):
-            return [float(bins["lo"][i]) for i in starts] + [float(head["hi"])]
-        near = {i + d for i in starts for d in (-1, 0, 1)}
-        if len(wanted) > max_bins:
-            # Keep room for the split bins: merge pairs of bins far from any break.
-            far = [b for i, b in enumerate(bins["lo"]) if i not in near and i > 0]
-            wanted -= set(far[::2])
-        edges = sorted(wanted)
-
-
-def _bin_sums(counts: DataFrame, by: Column, centre: float) -> dict[str, np.ndarray]:
+        places = _CutPlaces(table, cuts)
+        costs = places.costs(centre)
+        reached, starts = _edge_cuts(costs, places, cuts)
+        # Before there are enough bins for the classes no solution is known; rounding must not rule out the best one.
+        limit = reached + 1e-9 * reached + 1e-12 * total if np.isfinite(reached) else np.inf
+        ahead, back = _least(costs, places, cuts)
+        through = (ahead + back[::-1]).min(axis=0)
+        hopeful = set(places.bin[(places.bin >= 0) & (through <= limit)].tolist())
+        if not hopeful:
+            return [float(table["lo"][b]) for b in starts] + [float(head["hi"])]
+        whole = np.array([b not in hopeful for b in range(len(table))])
+        cut_here = set(places.before[(places.bin < 0) & (through <= limit)].tolist()) | set(starts)
+        firsts = [b for b in range(len(table)) if b == 0 or b in cut_here or not (whole[b] and whole[b - 1])]
+        table = _joined(_Bins(table.columns, whole), np.array(firsts))
+        split = np.flatnonzero(~table.whole)
+        ranges = [(table["lo"][b], table["hi"][b], table["m"][b]) for b in split]
+        finer = _bin_sums(counts, ranges, max(4, bins // len(split)), centre)
+        kept = {c: np.concatenate([table[c][table.whole], finer[c]]) for c in _Bins.names}
+        order = np.argsort(kept["lo"])
+        table = _Bins({c: x[order] for c, x in kept.items()}, np.concatenate([table.whole[table.whole], finer.whole])[order])
+
+
+def _bucket(rows: DataFrame, starts: Sequence[float], out: str) -> DataFrame:
+    """Number of the last of the ascending ``starts`` that is not above ``v``."""
+    splits = [*starts, math.inf]
+    if len(splits) < 3:
+        return rows.withColumn(out, F.lit(0))
+    return Bucketizer(splits=splits, inputCol="v", outputCol=out).transform(rows).withColumn(out, F.col(out).cast("int"))
+
+
+def _bin_sums(counts: DataFrame, ranges: Sequence[tuple[float, float, float]], parts: int, centre: float) -> _Bins:
+    """Sums of about ``parts`` bins of each range of values (of every value, if there are no more), in order."""
+    lows, highs = (np.array([float(r[i]) for r in ranges]) for i in (0, 1))
+    # Few intervals to push down to the scan: the widest gaps between ranges stay out.
+    gaps = np.sort(np.argsort(highs[:-1] - lows[1:], kind="stable")[:PUSHED_RANGES])
+    ends = zip(lows[np.r_[0, gaps + 1]], highs[np.r_[gaps, len(highs) - 1]], strict=True)
+    rows = counts.where(reduce(or_, [F.col("v").between(float(a), float(b)) for a, b in ends]))
+
+    def inside(x: np.ndarray) -> np.ndarray:
+        """Number of the range that holds each value, -1 for none."""
+        at = np.searchsorted(lows, x, side="right") - 1
+        return np.where((at >= 0) & (x <= highs[at]), at, -1)
+
+    edges = set(lows.tolist()) | {float(np.nextafter(h, math.inf)) for h in highs}
+    limits = sorted(edges)
+    many = np.array([m > parts for _, _, m in ranges])
+    holder = inside(np.array(limits))
+    large = [b for b, r in enumerate(holder.tolist()) if r >= 0 and many[r]]
+    small = [b for b, r in enumerate(holder.tolist()) if r >= 0 and not many[r]]
+    ranged = _bucket(rows, limits, "r")
+    if large:
+        half = parts // 2
+        probs = [i / half for i in range(1, half)]
+        cut = ranged.where(F.col("r").isin(large)).groupBy("r").agg(F.percentile_approx("v", probs, 20 * parts).alias("e"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for row in cut.collect():
+            # Half of the bins by rank, half by even width, for values far out. The first value stands alone, so every round gets ahead.
+            even = np.linspace(row["lo"], row["hi"], half + 1).tolist()
+            edges |= {float(e) for e in [*row["e"], *even] if row["lo"] < e <= row["hi"]} | {float(np.nextafter(row["lo"], math.inf))}
+    if small:
+        edges |= {float(row["v"]) for row in ranged.where(F.col("r").isin(small)).select("v").collect()}
     x = F.col("v") - F.lit(centre)
-    rows = (
-        counts.groupBy(by.alias("b"))
+    found = (
+        _bucket(rows, sorted(edges), "b")
+        .groupBy("b")
         .agg(
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * x).alias("s"),
-            F.sum(F.col("n") * x * x).alias("q"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-            F.count(F.lit(1)).alias("m"),
+            F.sum("n").alias("n"), F.sum(F.col("n") * x).alias("s"), F.sum(F.col("n") * x * x).alias("q"),
+            F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("m"),
         )
         .toPandas()
         .sort_values("lo")
     )
-    return {c: rows[c].to_numpy() for c in ("n", "s", "q", "lo", "hi", "m")}
+    found = found[inside(found["lo"].to_numpy(dtype=float)) >= 0]
+    columns = {c: found[c].to_numpy(dtype=float) for c in _Bins.names}
+    return _Bins(columns, columns["m"] <= 1)

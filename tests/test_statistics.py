@@ -102,13 +102,54 @@ def test_natural_breaks_against_every_split(spark):
     assert de.natural_breaks(df.limit(0), "x") == []
 
 
-def test_natural_breaks_refined_from_bins(spark):
-    rng = np.random.default_rng(5)
-    values = np.concatenate([rng.normal(m, 1.0, 900) for m in (0, 7, 15, 30)])
-    df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    exact = de.natural_breaks(df, "x", 4, max_bins=5000)
-    coarse = de.natural_breaks(df, "x", 4, max_bins=200)
-    assert _sse(values, coarse) == pytest.approx(_sse(values, exact), rel=1e-9)
+def _fisher(values, classes):
+    """The dynamic program over all distinct values, each layer by divide and conquer over monotone cut points."""
+    x, n = np.unique(values, return_counts=True)
+    x0 = x - values.mean()
+    cn, cs, cq = (np.concatenate([[0.0], np.cumsum(a)]) for a in (n, n * x0, n * x0 * x0))
+    cost = lambda a, b: (cq[b] - cq[a]) - (cs[b] - cs[a]) ** 2 / (cn[b] - cn[a])
+    best = np.array([np.inf] + [cost(0, b) for b in range(1, len(x) + 1)])
+    for _ in range(classes - 1):
+        new = np.full(len(x) + 1, np.inf)
+        todo = [(1, len(x), 0, len(x) - 1)]
+        while todo:
+            lo, hi, a, b = todo.pop()
+            if lo > hi:
+                continue
+            mid = (lo + hi) // 2
+            cand = np.arange(a, min(mid - 1, b) + 1)
+            total = best[cand] + cost(cand, mid)
+            k = int(np.argmin(total))
+            new[mid] = total[k]
+            todo += [(lo, mid - 1, a, int(cand[k])), (mid + 1, hi, int(cand[k]), b)]
+        best = new
+    return best[-1]
+
+
+@pytest.mark.parametrize(("classes", "bins"), [(2, 16), (3, 40), (5, 30), (5, 600)])
+def test_natural_breaks_of_many_values(spark, classes, bins):
+    """20,000 distinct values: the optimum, whatever the number of bins."""
+    rng = np.random.default_rng(classes * 1000 + bins)
+    values = np.concatenate([rng.normal(m, s, 5000) for m, s in ((0, 1.0), (4, 0.5), (15, 3.0), (16, 8.0))])
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    got = de.natural_breaks(df, "x", classes, bins=bins)
+    assert len(got) == classes + 1 and got[0] == values.min() and got[-1] == values.max()
+    assert _sse(values, got) == pytest.approx(_fisher(values, classes), rel=1e-9)
+
+
+def test_natural_breaks_of_awkward_values(spark):
+    """Even steps, few values with many copies, outliers, as many classes as values and more."""
+    rng = np.random.default_rng(8)
+    cases = [np.arange(3000.0), np.repeat([1.0, 2.0, 9.0], [5000, 1, 3]), np.concatenate([rng.exponential(1, 3000) ** 3, [1e6]]), np.array([4.0]), np.array([1.0, 2.0])]
+    for values in cases:
+        df = spark.createDataFrame(pd.DataFrame({"x": values}))
+        for classes in (1, 2, 4):
+            got = de.natural_breaks(df, "x", classes, bins=24)
+            k = min(classes, len(np.unique(values)))
+            assert len(got) == k + 1
+            assert _sse(values, got) == pytest.approx(_fisher(values, k), rel=1e-9, abs=1e-9)
+    with_gaps = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (5.0,)], "x double")
+    assert de.natural_breaks(with_gaps, "x", 2) == [1.0, 5.0, 5.0]
 
 
 def test_density_integrates_to_one(spark):

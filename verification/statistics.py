@@ -470,11 +470,11 @@ def wide_correlation(spark, sf):
     return correlation_table(base.select(*[c.alias(n) for n, c in cols.items()]), list(cols)).withColumn("rho", r("rho"))
 
 
-def _breaks_sql(classes: int) -> str:
-    """Fisher's dynamic program, a layer of CTEs for each class, over the distinct prices."""
+def _breaks_sql(classes: int, source: str = "part", value: str = "p_retailprice") -> str:
+    """Fisher's dynamic program, a layer of CTEs for each class, over the distinct values; the last layer for all values only."""
     cost = "(b.cq - a.cq) - (b.cs - a.cs) * (b.cs - a.cs) / (b.cn - a.cn)"
     parts = [
-        """v as (select p_retailprice as x, count(*)::double as n from part group by 1),
+        f"""t as (select {value} as x from {source}), v as (select x, count(*)::double as n from t group by 1),
         z as (select x, n, x - (select avg(x) from v) as d from v),
         o as (select x, row_number() over w as j, sum(n) over w as cn, sum(n * d) over w as cs, sum(n * d * d) over w as cq
           from z window w as (order by x)),
@@ -483,7 +483,7 @@ def _breaks_sql(classes: int) -> str:
     for k in range(2, classes + 1):
         parts.append(
             f"b{k} as materialized (select b.j, min(p.cost + {cost}) as cost, arg_min(a.j, p.cost + {cost}) as cut "
-            f"from b{k - 1} p join o a on a.j = p.j join o b on b.j > a.j group by b.j)"
+            f"from b{k - 1} p join o a on a.j = p.j join o b on b.j > a.j{' and b.j = (select max(j) from o)' if k == classes else ''} group by b.j)"
         )
     parts.append(f"e{classes} as (select max(j) as j from o)")
     for k in range(classes, 1, -1):
@@ -491,11 +491,30 @@ def _breaks_sql(classes: int) -> str:
     ends = " union all ".join(f"select {k - 1} as class, j from e{k}" for k in range(1, classes + 1))
     return (
         f"with {', '.join(parts)}, ends as ({ends}), spans as (select class, x as top, lag(x) over (order by class) as below from ends join o using (j)) "
-        "select class::integer as class, count(*)::bigint as n, min(p_retailprice) as lowest, max(p_retailprice) as highest "
-        "from part join spans on p_retailprice <= top and (below is null or p_retailprice > below) group by class"
+        "select class::integer as class, count(*)::bigint as n, min(t.x) as lowest, max(t.x) as highest "
+        "from t join spans on t.x <= top and (below is null or t.x > below) group by class"
     )
 
 
 @query("natural_break_classes", _breaks_sql(5))
 def natural_break_classes(spark, sf):
     return jenks(spark, sf).select(F.col("class").cast("int").alias("class"), "n", "lowest", "highest")
+
+
+def _classed(values, classes):
+    breaks = natural_breaks(values, "x", classes)
+    return values.groupBy(interval_index("x", breaks).cast("int").alias("class")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lowest"), F.max("x").alias("highest")
+    )
+
+
+@query("natural_breaks_many_values", _breaks_sql(3, "lineitem", "floor(l_extendedprice / 4)"))
+def natural_breaks_many_values(spark, sf):
+    """Three classes of over 20,000 distinct values."""
+    return _classed(table(spark, sf, "lineitem").select(F.floor(F.col("l_extendedprice") / 4).cast("double").alias("x")), 3)
+
+
+@query("natural_breaks_all_values", _breaks_sql(2, "lineitem", "l_extendedprice"))
+def natural_breaks_all_values(spark, sf):
+    """Two classes of every price that occurs."""
+    return _classed(table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("x")), 2)
