@@ -1,7 +1,7 @@
 """Area of applicability of a model (Meyer and Pebesma 2021, doi:10.1111/2041-210X.13650).
 
-Distances are taken block against block inside Arrow tasks; only one sum, count
-and minimum per row and block leave a task, never the pairs. A block has a
+Distances are taken tile against tile inside Arrow tasks; only one sum, count
+and minimum per row and cell leave a task, never the pairs. A cell has a
 bounded number of rows whatever the data look like.
 """
 
@@ -12,16 +12,20 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .profile import scale_parameters, scaled
 from .quantiles import exact_quantiles
 
-BLOCK_ROWS = 512
-MAX_SLABS = 2000
+#: Rows of a tile of distances, and of a fragment that a cell of the grid holds.
+TILE_ROWS, FRAGMENT_ROWS = 512, 16_384
+#: Training rows that a leaf of the tree aims at, leaves (larger tables have larger leaves), and rows sampled for each.
+LEAF_ROWS, MOST_LEAVES, SAMPLE_PER_LEAF = 1024, 4096, 16
+#: Tasks that look for nearest rows; beyond that a task takes several cells one after the other.
+MOST_TASKS = 10_000
 
 
 def importance_weights(
@@ -65,64 +69,68 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _row_sums(ids: pa.ChunkedArray, d: np.ndarray, valid: np.ndarray) -> pa.Table:
-    shown = np.where(valid, d, 0.0)
-    count = valid.sum(axis=1)
-    least = np.where(valid, d, np.inf).min(axis=1) if d.shape[1] else np.full(len(d), np.inf)
-    return pa.table(
-        {
-            "id": ids,
-            "total": pa.array(shown.sum(axis=1)),
-            "n": pa.array(count.astype("int64")),
-            "least": pa.array(least),
-        }
-    )
-
-
-def _train_block(left: pa.Table, right: pa.Table) -> pa.Table:
-    a = _matrix(left)
-    if right.num_rows == 0:
-        d = _distances(a, a)
-        valid = ~np.eye(len(a), dtype=bool)
-        valid &= _other_cluster(left, left)
-        return _row_sums(left.column("id"), d, valid)
-    if left.num_rows == 0:
-        return _row_sums(left.column("id"), np.empty((0, 0)), np.empty((0, 0), dtype=bool))
-    d = _distances(a, _matrix(right))
-    valid = _other_cluster(left, right)
-    return pa.concat_tables(
-        [_row_sums(left.column("id"), d, valid), _row_sums(right.column("id"), d.T, valid.T)]
-    )
-
-
-def _other_cluster(left: pa.Table, right: pa.Table) -> np.ndarray:
-    if "cluster" not in left.column_names:
-        return np.ones((left.num_rows, right.num_rows), dtype=bool)
-    a = left.column("cluster").to_numpy()
-    b = right.column("cluster").to_numpy()
-    return a[:, None] != b[None, :]
-
-
-def train_distances(train: DataFrame, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(id, mean_dist, min_dist)`` of each training row to all others.
-
-    The mean needs every pair; each unordered pair of blocks is computed once.
+def _other_cluster(table: pa.Table) -> np.ndarray | None:
+    return table.column("cluster").to_numpy() if "cluster" in table.column_names else None
+
+
+def _pair_sums(a: np.ndarray, b: np.ndarray, same: bool, ca: np.ndarray | None, cb: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(sums, counts, least) of the distances of each row of a to those of b, and the other way round, tile by tile."""
+    mine, theirs = ([np.zeros(len(x)), np.zeros(len(x), dtype="int64"), np.full(len(x), np.inf)] for x in (a, b))
+    for i in range(0, len(a), TILE_ROWS):
+        for j in range(i if same else 0, len(b), TILE_ROWS):
+            x, y = slice(i, i + TILE_ROWS), slice(j, j + TILE_ROWS)
+            d = _distances(a[x], b[y])
+            valid = np.ones(d.shape, dtype=bool) if ca is None else ca[x][:, None] != cb[y][None, :]
+            if same and i == j:
+                np.fill_diagonal(valid, False)
+            shown, least = np.where(valid, d, 0.0), np.where(valid, d, np.inf)
+            for side, own, axis in ((mine, x, 1), (theirs, y, 0)):
+                side[0][own] += shown.sum(axis=axis)
+                side[1][own] += valid.sum(axis=axis)
+                side[2][own] = np.minimum(side[2][own], least.min(axis=axis))
+                if same and i == j:
+                    break  # the tile holds each pair both ways
+    if same:
+        mine = [mine[0] + theirs[0], mine[1] + theirs[1], np.minimum(mine[2], theirs[2])]
+    return mine, theirs
+
+
+def _train_cell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Sums of a cell of the grid: fragment against fragment, on the diagonal a fragment against itself."""
+    same = key[0].as_py() == key[1].as_py()
+    other = left if same else right
+    shown = []
+    if left.num_rows and other.num_rows:
+        mine, theirs = _pair_sums(_matrix(left), _matrix(other), same, _other_cluster(left), _other_cluster(other))
+        shown = [(left.column("id"), mine)] if same else [(left.column("id"), mine), (right.column("id"), theirs)]
+    else:  # alone in its cell: no pairs, but rows of the result
+        shown = [(t.column("id"), (np.zeros(t.num_rows), np.zeros(t.num_rows, dtype="int64"), np.full(t.num_rows, np.inf))) for t in (left, right) if t.num_rows]
+    return pa.concat_tables([pa.table({"id": i, "total": pa.array(t), "n": pa.array(n), "least": pa.array(m)}) for i, (t, n, m) in shown])
+
+
+def grid_side(n: int, tasks: int) -> int:
+    """Fragments along a side of the grid: enough cells for the tasks, and no fragment over ``FRAGMENT_ROWS``."""
+    wanted = math.ceil(math.sqrt(2 * tasks))
+    return max(1, math.ceil(n / FRAGMENT_ROWS), min(wanted, math.ceil(n / TILE_ROWS)))
+
+
+def train_distances(train: DataFrame, n: int, side: int | None = None) -> DataFrame:
+    """``(id, mean_dist, min_dist)`` of each training row to all others (of other clusters, if there is a column ``cluster``).
+
+    The mean needs every pair. Rows are dealt to ``side`` fragments by hash, and
+    every unordered pair of fragments meets in one cell of a triangular grid; a
+    row is copied ``side`` times, about the square root of twice the cells. A cell
+    works through tiles of bounded size and hands on one sum per row.
     """
-    blocks = max(1, math.ceil(n / block_rows))
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    rows = train.withColumn("b", b)
-    left = rows.select(
-        F.col("b").alias("lo"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("hi"), *train.columns
-    )
-    right = rows.where("b > 0").select(
-        F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("lo"), F.col("b").alias("hi"), *train.columns
-    )
+    side = side or grid_side(n, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = side * (side + 1) // 2
+    rows = train.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(side)).cast("int"))
+    left = rows.select(F.col("b").alias("lo"), F.explode(F.sequence(F.col("b"), F.lit(side - 1))).alias("hi"), *train.columns)
+    right = rows.where("b > 0").select(F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("lo"), F.col("b").alias("hi"), *train.columns)
     id_type = train.schema["id"].dataType.simpleString()
-    sums = (
-        left.groupBy("lo", "hi")
-        .cogroup(right.groupBy("lo", "hi"))
-        .applyInArrow(_train_block, f"id {id_type}, total double, n bigint, least double")
-    )
+    # The cells are asked for by number: few bytes, but much work.
+    dealt = [x.repartition(min(cells, MOST_TASKS), "lo", "hi").groupBy("lo", "hi") for x in (left, right)]
+    sums = dealt[0].cogroup(dealt[1]).applyInArrow(_train_cell, f"id {id_type}, total double, n bigint, least double")
     least = F.min("least")
     return sums.groupBy("id").agg(
         F.try_divide(F.sum("total"), F.sum("n").cast("double")).alias("mean_dist"),
@@ -130,86 +138,200 @@ def train_distances(train: DataFrame, n: int, block_rows: int = BLOCK_ROWS) -> D
     )
 
 
-def _nearest_block(left: pa.Table, right: pa.Table) -> pa.Table:
+class BoxTree:
+    """A binary tree of boxes over training rows. The cuts come from a sample, the boxes from all rows of a leaf."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        self.axis, self.cut, self.kids, self.leaf_of = [], [], [], []
+        self.leaves = 0
+        self._grow(sample, leaves)
+        self.axis, self.cut, self.kids, self.leaf_of = np.array(self.axis), np.array(self.cut), np.array(self.kids).reshape(-1, 2), np.array(self.leaf_of)
+
+    def _grow(self, rows: np.ndarray, leaves: int) -> int:
+        node = len(self.axis)
+        for part in (self.axis, self.cut, self.kids, self.leaf_of):
+            part.append(-1)
+        self.kids[node] = (-1, -1)
+        spread = rows.var(axis=0) if leaves > 1 and len(rows) > 1 else np.zeros(1)
+        if spread.max() <= 0:
+            self.leaf_of[node] = self.leaves
+            self.leaves += 1
+            return node
+        # The widest variable is cut at its median, or, where that holds the largest value, at its mean (0/1 columns).
+        axis = int(spread.argmax())
+        values = rows[:, axis]
+        cut = float(np.median(values))
+        if not (values > cut).any():
+            cut = float(values.mean())
+        below = values <= cut
+        share = max(1, min(leaves - 1, round(leaves * below.mean())))
+        self.axis[node], self.cut[node] = axis, cut
+        self.kids[node] = (self._grow(rows[below], share), self._grow(rows[~below], leaves - share))
+        return node
+
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        node = np.zeros(len(rows), dtype=int)
+        while (inner := self.leaf_of[node] < 0).any():
+            at = node[inner]
+            node[inner] = self.kids[at, (rows[inner, self.axis[at]] > self.cut[at]).astype(int)]
+        return self.leaf_of[node]
+
+    def set_boxes(self, lows: dict[int, np.ndarray], highs: dict[int, np.ndarray], width: int) -> None:
+        """Boxes of the leaves, and of each node around those of its kids; a leaf without rows is out of reach."""
+        self.low, self.high = np.full((len(self.axis), width), np.inf), np.full((len(self.axis), width), -np.inf)
+        for node in range(len(self.axis) - 1, -1, -1):  # kids come after their parent
+            leaf = int(self.leaf_of[node])
+            if leaf in lows:
+                self.low[node], self.high[node] = lows[leaf], highs[leaf]
+            elif leaf < 0:
+                pair = self.kids[node]
+                self.low[node], self.high[node] = self.low[pair].min(axis=0), self.high[pair].max(axis=0)
+
+    def gap(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Distance of each row to its node's box: no training row in it is nearer."""
+        out = np.empty(len(nodes))
+        for k in range(0, len(nodes), 8192):
+            own, at = rows[k:k + 8192], nodes[k:k + 8192]
+            short = np.maximum(np.maximum(self.low[at] - own, own - self.high[at]), 0.0)
+            out[k:k + 8192] = np.sqrt((short * short).sum(axis=1))
+        return out
+
+    def within(self, rows: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row number, leaf, gap) of all leaves no farther than ``reach``, in the order of (row, gap, leaf)."""
+        row, node = np.arange(len(rows)), np.zeros(len(rows), dtype=int)
+        found = []
+        while len(row):
+            gap = self.gap(rows[row], node)
+            near = gap <= reach[row]
+            row, node, gap = row[near], node[near], gap[near]
+            end = self.leaf_of[node] >= 0
+            found.append((row[end], self.leaf_of[node[end]], gap[end]))
+            row, node = np.repeat(row[~end], 2), self.kids[node[~end]].reshape(-1)
+        row, leaf, gap = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((leaf, gap, row))
+        return row[order], leaf[order], gap[order]
+
+
+def box_tree(train: DataFrame, n: int) -> BoxTree:
+    """Tree over the rows' ``vec``; a bounded sample of rows and the leaves' boxes come to the driver."""
+    leaves = min(MOST_LEAVES, max(1, math.ceil(n / LEAF_ROWS)))
+    wanted = SAMPLE_PER_LEAF * leaves
+    # A draw by hash, so that a lost executor draws the same rows again.
+    drawn = train.where(F.pmod(F.xxhash64(F.lit(3), "vec"), F.lit(1 << 30)) < F.lit(min(1 << 30, int(2.0 * wanted / max(n, 1) * (1 << 30)) + 1)))
+    sample = _matrix(drawn.select("vec").limit(wanted).toArrow())
+    if not len(sample):
+        sample = _matrix(train.select("vec").limit(wanted).toArrow())
+    return BoxTree(sample, leaves)
+
+
+def _placed(rows: DataFrame, tree: BoxTree) -> DataFrame:
+    """Rows (vec, ...) with their leaf."""
+
+    def place(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            leaf = tree.place(_matrix(table)) if batch.num_rows else np.zeros(0, dtype=int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=[*batch.schema.names, "leaf"])
+
+    return rows.mapInArrow(place, T.StructType([*rows.schema, T.StructField("leaf", T.IntegerType())]))
+
+
+def _next_visits(state: DataFrame, tree: BoxTree, first: int, last: int) -> DataFrame:
+    """(id, vec, leaf): of the leaves that may hold a nearer row than ``best``, nearest box first, those from ``first`` to before ``last``."""
+    schema = T.StructType([state.schema["id"], state.schema["vec"], T.StructField("leaf", T.IntegerType())])
+
+    def visits(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _matrix(pa.Table.from_batches([batch]).select(["vec"]))
+            best = batch.column("best").to_numpy(zero_copy_only=False).astype(float)
+            best = np.where(np.isnan(best), np.inf, best)
+            home = tree.place(rows)
+            # A hair of slack keeps rounding from leaving out a box that ties.
+            row, leaf, _ = tree.within(rows, best * (1 + 1e-9) + 1e-12)
+            other = leaf != home[row]
+            row, leaf = row[other], leaf[other]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            due = (rank >= first) & (rank < last)
+            taken = pa.array(row[due])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(taken), batch.column("vec").take(taken), pa.array(leaf[due], pa.int32())], names=schema.names)
+
+    return state.select("id", "vec", "best").mapInArrow(visits, schema)
+
+
+def _nearest_cell(left: pa.Table, right: pa.Table) -> pa.Table:
     if left.num_rows == 0 or right.num_rows == 0:
         return pa.table({"id": left.column("id").slice(0, 0), "d": pa.array([], pa.float64())})
-    d = _distances(_matrix(left), _matrix(right)).min(axis=1)
-    return pa.table({"id": left.column("id"), "d": pa.array(d)})
+    a, b = _matrix(left), _matrix(right)
+    least = np.full(len(a), np.inf)
+    for i in range(0, len(a), TILE_ROWS):
+        for j in range(0, len(b), TILE_ROWS):
+            own = slice(i, i + TILE_ROWS)
+            least[own] = np.minimum(least[own], _distances(a[own], b[j:j + TILE_ROWS]).min(axis=1))
+    return pa.table({"id": left.column("id"), "d": pa.array(least)})
 
 
-def nearest_train_distance(
-    new: DataFrame, train: DataFrame, n_train: int, axis: int, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """``(id, min_dist)``: exact distance of each new row to its nearest training row.
+def _visit(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(id, d)``: each visit's least distance to the rows of its leaf.
 
-    Training rows are cut in slabs along one coordinate (the heaviest variable)
-    and slabs in blocks of bounded size. A first pass against one block of the
-    own slab bounds each row's distance; the second only visits slabs within
-    that bound, since no distance is shorter than the gap along one coordinate.
+    Leaves with many rows are cut into pieces and many visits into slices, so a
+    cell holds a bounded number of either; every slice meets every piece.
     """
-    slabs = min(MAX_SLABS, max(1, math.ceil(n_train / block_rows)))
-    u = F.col("vec")[axis]
-    inner: Sequence[float] = []
-    if slabs > 1:
-        inner = train.select(
-            F.percentile_approx(u, [i / slabs for i in range(1, slabs)], 10 * MAX_SLABS)
-        ).first()[0]
-    splits = [-math.inf, *sorted(set(inner)), math.inf]
-
-    def slab_of(df: DataFrame, value, out: str) -> DataFrame:
-        placed = df.withColumn("__u", value)
-        if len(splits) == 2:
-            return placed.withColumn(out, F.lit(0)).drop("__u")
-        cut = Bucketizer(splits=splits, inputCol="__u", outputCol="__s").transform(placed)
-        return cut.withColumn(out, F.col("__s").cast("int")).drop("__u", "__s")
-
-    def blocked(df: DataFrame, slab: str, out: str) -> tuple[DataFrame, list[int]]:
-        placed = slab_of(df, u, slab)
-        sizes = {r[slab]: r["count"] for r in placed.groupBy(slab).count().collect()}
-        parts = [max(1, math.ceil(sizes.get(s, 0) / block_rows)) for s in range(len(splits) - 1)]
-        of_slab = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col(slab) + 1)
-        return placed.withColumn(out, F.pmod(F.xxhash64("id"), of_slab).cast("int")), parts
-
-    train_rows, train_parts = blocked(train.select("vec", "id"), "ts", "tb")
-    new_rows, new_parts = blocked(new.select("vec", "id"), "ns", "nb")
-    id_type = new.schema["id"].dataType.simpleString()
-    out_schema = f"id {id_type}, d double"
-
-    parts_of = F.element_at(F.array(*[F.lit(p) for p in new_parts]), F.col("ts") + 1)
-    probe = train_rows.where("tb = 0").select(
-        F.col("ts").alias("ns"), F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("nb"), "id", "vec"
-    )
-    first = (
-        new_rows.select("ns", "nb", "id", "vec")
-        .groupBy("ns", "nb")
-        .cogroup(probe.groupBy("ns", "nb"))
-        .applyInArrow(_nearest_block, out_schema)
-    )
-    if sum(train_parts) == 1:
-        return first.select("id", F.col("d").alias("min_dist"))
-    first = cut_lineage(first)
-    # A hair of slack keeps rounding from closing a slab that ties.
-    reach = F.coalesce(F.col("d") * (1 + 1e-9) + 1e-12, F.lit(math.inf))
-    bounded = new_rows.join(first, "id", "left").withColumn("reach", reach)
-    bounded = slab_of(bounded, u - F.col("reach"), "s_lo")
-    bounded = slab_of(bounded, u + F.col("reach"), "s_hi")
-    wide = bounded.select(
-        "id", "vec", "ns", "nb", F.explode(F.sequence(F.col("s_lo"), F.col("s_hi"))).alias("ts")
-    )
-    needed = wide.select("ns", "nb", "ts").distinct()
-    blocks_of = F.element_at(F.array(*[F.lit(p) for p in train_parts]), F.col("ts") + 1)
-    left = wide.withColumn("tb", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
-    right = train_rows.join(needed, "ts")
-    key = ["ns", "nb", "ts", "tb"]
-    # Both sides hold columns of the new rows: the right side's get names of their own.
-    theirs = right.select(*[F.col(c).alias(f"t_{c}") for c in key], "id", "vec")
-    second = (
-        left.select(*key, "id", "vec")
-        .groupBy(*key)
-        .cogroup(theirs.groupBy(*[f"t_{c}" for c in key]))
-        .applyInArrow(_nearest_block, out_schema)
+    both = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / FRAGMENT_ROWS).cast("int").alias("slices")).join(
+        rows.groupBy(F.col("leaf").alias("l2")).agg(F.ceil(F.count(F.lit(1)) / FRAGMENT_ROWS).cast("int").alias("pieces")), F.col("leaf") == F.col("l2")
     )
-    return second.groupBy("id").agg(F.min("d").alias("min_dist"))
+    sizes = cut_lineage(both.select(F.col("leaf").alias("sl"), "slices", "pieces"))
+    cells = sizes.agg(F.sum(F.col("slices") * F.col("pieces"))).first()[0]
+    if not cells:
+        return asked.where(F.lit(False)).select("id", F.lit(0.0).alias("d"))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        cut = df.join(sizes, F.col("leaf") == F.col("sl")).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"))
+        spread = cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+        names = [c for c in ("id", "vec") if c in df.columns]
+        keys = ["leaf", "slice", "piece"]
+        return spread.select(*keys, *names).repartition(min(cells, MOST_TASKS), *keys).groupBy(*keys)
+
+    id_type = asked.schema["id"].dataType.simpleString()
+    return dealt(asked, "id", "slice", "piece").cogroup(dealt(rows, "vec", "piece", "slice")).applyInArrow(_nearest_cell, f"id {id_type}, d double")
+
+
+def nearest_train_distance(new: DataFrame, train: DataFrame, n_train: int, visits: list[int] | None = None) -> DataFrame:
+    """``(id, min_dist)``: exact distance of each new row to its nearest training row.
+
+    Training rows lie in the leaves of a tree of boxes. A new row first visits
+    the leaf it falls into; then, nearest box first, the leaves whose box is no
+    farther than the best distance so far: 4 of them, then 16 more, 64 more and so
+    on while any is left, so the rounds grow with the logarithm of the leaves.
+    Equal training rows are one. The copies of new rows in each round are appended
+    to ``visits``.
+    """
+    rows = cut_lineage(train.select("vec").distinct())
+    tree = box_tree(rows, n_train)
+    placed = cut_lineage(_placed(rows, tree))
+    width = len(train.select("vec").first()["vec"]) if n_train else 0
+    ends = lambda pick: F.array(*[pick(F.col("vec")[i]) for i in range(width)])
+    boxes = placed.groupBy("leaf").agg(ends(F.min).alias("lo"), ends(F.max).alias("hi")).collect()
+    tree.set_boxes({r["leaf"]: np.array(r["lo"]) for r in boxes}, {r["leaf"]: np.array(r["hi"]) for r in boxes}, width)
+    state = cut_lineage(new.select("id", "vec", F.lit(math.inf).alias("best")))
+    asked = cut_lineage(_placed(state.select("id", "vec"), tree))
+    first, step = 0, 4
+    while True:
+        count = asked.count()
+        if visits is not None and count:
+            visits.append(count)
+        if count:
+            found = _visit(asked, placed).groupBy(F.col("id").alias("fid")).agg(F.min("d").alias("d"))
+            state = cut_lineage(
+                state.join(found, F.col("id") == F.col("fid"), "left").select("id", "vec", F.least("best", F.coalesce("d", F.lit(math.inf))).alias("best"))
+            )
+        if tree.leaves == 1 or first and not count:
+            break
+        asked = cut_lineage(_next_visits(state, tree, first, first + step))
+        first, step = first + step, step * 4
+    return state.select("id", F.when(F.col("best") < F.lit(math.inf), F.col("best")).alias("min_dist"))
 
 
 def area_of_applicability(
@@ -219,7 +341,6 @@ def area_of_applicability(
     id: str = "point_id",
     threshold: float = 0.95,
     cluster: str | None = None,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(id, di, aoa)``: dissimilarity to the training rows, and 1 inside the area of applicability.
 
@@ -242,18 +363,13 @@ def area_of_applicability(
     train_v = cut_lineage(train.select(F.col(id).alias("id"), vec.alias("vec"), *extra))
     new_v = cut_lineage(new.select(F.col(id).alias("id"), vec.alias("vec")))
     n_train = train_v.count()
-    axis = max(
-        range(len(variables)),
-        key=lambda i: abs(weights[variables[i]]) if params[variables[i]][1] else -1.0,
-    )
-
-    own = cut_lineage(train_distances(train_v, n_train, block_rows))
+    own = cut_lineage(train_distances(train_v, n_train))
     mean_dist = own.agg(F.avg("mean_dist")).first()[0]
     limit = exact_quantiles(own, [], "min_dist", [threshold], ["q"]).first()
     limit = None if limit is None or limit["q"] is None or not mean_dist else limit["q"] / mean_dist
     if limit is None:
         raise ValueError("training rows are too few or all alike: no distance scale")
-    nearest = nearest_train_distance(new_v, train_v, n_train, axis, block_rows)
+    nearest = nearest_train_distance(new_v, train_v, n_train)
     di = F.col("min_dist") / F.lit(mean_dist)
     return nearest.select(
         F.col("id").alias(id), di.alias("di"), F.when(di > F.lit(limit), 0).otherwise(1).alias("aoa")

@@ -185,8 +185,10 @@ def _brute_aoa(new, train, w, clusters=None, q=0.95):
     return di, (di <= limit).astype(int)
 
 
-@pytest.mark.parametrize("block_rows,clustered", [(7, False), (512, False), (16, True)])
-def test_area_of_applicability_equals_brute_force(spark, block_rows, clustered):
+@pytest.mark.parametrize("rows,clustered", [(7, False), (512, False), (16, True)])
+def test_area_of_applicability_equals_brute_force(spark, rows, clustered, monkeypatch):
+    for size, value in (("TILE_ROWS", 5), ("FRAGMENT_ROWS", rows), ("LEAF_ROWS", rows)):
+        monkeypatch.setattr(aoa, size, value)
     rng = np.random.default_rng(8)
     cols = ["a", "b", "c", "flat"]
     train = np.column_stack([rng.normal(size=(90, 3)), np.full(90, 2.0)])
@@ -202,7 +204,7 @@ def test_area_of_applicability_equals_brute_force(spark, block_rows, clustered):
     ndf = pd.DataFrame(new, columns=cols).assign(id=range(1000, 1060))
     got = aoa.area_of_applicability(
         spark.createDataFrame(ndf), spark.createDataFrame(tdf), dict(zip(cols, w)), "id",
-        cluster="cl" if clustered else None, block_rows=block_rows,
+        cluster="cl" if clustered else None,
     ).toPandas().sort_values("id")
     di, inside = _brute_aoa(new, train, w, clusters if clustered else None)
     assert got.di.to_numpy() == pytest.approx(di, abs=1e-9)
@@ -210,6 +212,43 @@ def test_area_of_applicability_equals_brute_force(spark, block_rows, clustered):
     assert (got.aoa.to_numpy() == inside).all()
 
 
+def test_box_tree_descends_by_best_bounds(spark, monkeypatch):
+    """0/1 columns, groups of copies and far rows: exact distances, and each new row visits a bounded share of the leaves."""
+    monkeypatch.setattr(aoa, "LEAF_ROWS", 40)
+    monkeypatch.setattr(aoa, "FRAGMENT_ROWS", 64)
+    rng = np.random.default_rng(12)
+
+    def rows(n):
+        hot = np.eye(12)[rng.integers(0, 12, n)] * 0.7
+        return np.column_stack([rng.normal(size=(n, 3)) * [2.0, 1.0, 0.3], hot, np.eye(5)[rng.integers(0, 5, n)] * 1.5])
+
+    train, new = rows(3000), rows(700)
+    train[1000:2000] = train[0]
+    new[:250] = new[0]
+    new[250] += 50
+    frame = lambda m: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, vec array<double>").repartition(4)
+    visits = []
+    got = aoa.nearest_train_distance(frame(new), frame(train), len(train), visits).toPandas().sort_values("id")
+    want = np.sqrt(((new[:, None] - train[None]) ** 2).sum(-1)).min(axis=1)
+    assert got.min_dist.to_numpy() == pytest.approx(want, abs=1e-9)
+    leaves = -(-len(train) // 40)
+    assert visits[0] == len(new) and sum(visits) < 0.5 * leaves * len(new)
+
+
+def test_distances_copy_rows_by_the_grids_side(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(130, 4))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, vec array<double>")
+    d = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.nan)
+    for side in (1, 2, 5, 30):
+        got = aoa.train_distances(df, 130, side).toPandas().sort_values("id")
+        assert got.mean_dist.to_numpy() == pytest.approx(np.nanmean(d, axis=1)) and got.min_dist.to_numpy() == pytest.approx(np.nanmin(d, axis=1))
+    assert aoa.grid_side(10**6, 200) == 62 and aoa.grid_side(10**7, 200) == 611 and aoa.grid_side(100, 200) == 1
+    one = aoa.train_distances(df.limit(1), 1).collect()
+    assert [(r.mean_dist, r.min_dist) for r in one] == [(None, None)]
+
+
 def test_train_against_itself_is_inside(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(50, 3)), columns=list("xyz")).assign(id=range(50)))

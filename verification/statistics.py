@@ -282,7 +282,7 @@ def _aoa_frames(spark, sf):
 @query("area_of_applicability", _aoa_sql(False))
 def aoa(spark, sf):
     new, train, weights = _aoa_frames(spark, sf)
-    out = area_of_applicability(new, train, weights, "vec_id", block_rows=64)
+    out = area_of_applicability(new, train, weights, "vec_id")
     return out.withColumn("di", r("di"))
 
 
@@ -305,7 +305,39 @@ def pairwise(spark, sf):
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")
     )
     e = cut_lineage(e)
-    return rounded(train_distances(e, e.count(), 128), "mean_dist", "min_dist", digits=4)
+    return rounded(train_distances(e, e.count()), "mean_dist", "min_dist", digits=4)
+
+
+HOT_COLUMNS = {"priority": [f"o_orderpriority = '{p}'" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")],
+               "nation": [f"c_nationkey = {k}" for k in range(25)], "segment": [f"c_mktsegment = '{m}'" for m in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]}
+HOT_WEIGHTS = {"total": 2.0, "balance": 1.0} | {f"{c}_{k}": 0.5 / (1 + i) for i, (c, tests) in enumerate(HOT_COLUMNS.items()) for k in range(len(tests))}
+HOT_TESTS = [f"case when {t} then 1.0 else 0.0 end" for tests in HOT_COLUMNS.values() for t in tests]
+
+
+def _hot_sql() -> str:
+    columns = ["o_totalprice", "c_acctbal", *HOT_TESTS]
+    scale = ", ".join(f"avg(({c})::double) filter (o_orderstatus = 'F') as m{i}, stddev_samp(({c})::double) filter (o_orderstatus = 'F') as s{i}" for i, c in enumerate(columns))
+    vector = ", ".join(f"coalesce((({c})::double - m{i}) / nullif(s{i}, 0), 0) * {w}" for i, (c, w) in enumerate(zip(columns, HOT_WEIGHTS.values())))
+    return f"""with base as (select * from orders join customer on c_custkey = o_custkey), p as (select {scale} from base),
+    z as materialized (select o_orderkey, o_orderstatus as st, [{vector}] as v from base, p),
+    tt as (select a.o_orderkey, avg(list_distance(a.v, b.v)) as mean_d, min(list_distance(a.v, b.v)) as min_d
+           from z a join z b on a.st = 'F' and b.st = 'F' and a.o_orderkey <> b.o_orderkey group by 1),
+    scale as (select avg(mean_d) as m, quantile_cont(min_d / (select avg(mean_d) from tt), 0.95) as q from tt),
+    nn as (select a.o_orderkey, min(list_distance(a.v, b.v)) as d from z a join z b on a.st <> 'F' and b.st = 'F' group by 1)
+    select o_orderkey, round(d / m, 6) as di, case when d / m > q then 0 else 1 end as aoa from nn, scale"""
+
+
+@query("area_of_applicability_one_hot", _hot_sql())
+def aoa_one_hot(spark, sf):
+    """Two measures beside 35 columns of 0 and 1."""
+    base = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    names = [n for n in HOT_WEIGHTS if n not in ("total", "balance")]
+    rows = base.select(
+        "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("total"), F.col("c_acctbal").alias("balance"),
+        *[F.expr(t).cast("double").alias(n) for n, t in zip(names, HOT_TESTS)],
+    )
+    out = area_of_applicability(rows.where("o_orderstatus <> 'F'"), rows.where("o_orderstatus = 'F'"), HOT_WEIGHTS, "o_orderkey")
+    return out.withColumn("di", r("di"))
 
 
 @query("bootstrap_ci")
