@@ -55,6 +55,70 @@ def test_boundary_points_are_outside(spark):
     assert rows(sp.points_in_polygons(points, edges, ["id"], ["poly"])) == [(6, "box")]
 
 
+def test_dense_coast_in_one_grid_row(spark):
+    """A ragged coast whose edges all lie in one row of cells: a point meets only the edges of its own cell."""
+    rng = random.Random(3)
+    coast = [(k / 1000, 0.01 + 0.22 * rng.random()) for k in range(1, 8000)]
+    poly = ring("coast", [(0.0, -1.0), (8.0, -1.0), (8.0, 0.1), *coast[::-1], (0.0, 0.1)])
+    pts = [(i, rng.uniform(-0.5, 8.5), rng.uniform(-0.1, 0.3)) for i in range(900)] + [(2000, 4.0, -0.5), (2001, 4.0, -1.5)]
+    edges = spark.createDataFrame(poly, EDGE)
+    points = spark.createDataFrame(pts, "id long, lon double, lat double")
+    want = sorted((i, "coast") for i, x, y in pts if inside(x, y, poly))
+    assert rows(sp.points_in_polygons(points, edges, ["id"], ["poly"])) == want
+    tiles, in_cells = sp.polygon_tiles(edges, ["poly"], 0.25)
+    most = in_cells.groupBy("cx", "cy").count().agg(F.max("count")).first()[0]
+    assert most < 1.2 * 250 + 10  # an even share of the edges, not the row's
+    assert tiles.groupBy("cx", "cy").count().where("count > 1").isEmpty()
+
+
+@pytest.mark.parametrize("size", [0.25, 0.5, 1.0])
+def test_corners_on_grid_lines(spark, size):
+    """Edges along cell borders, corners on cell corners, points on grid lines."""
+    polys = {
+        "box": ring("box", [(0, 0), (1, 0), (1, 1), (0, 1)]),
+        "steps": ring("steps", [(-2, -2), (0, -2), (0, -1), (0.5, -1), (0.5, -0.5), (1, -0.5), (1, 0), (-2, 0)]),
+        "diamond": ring("diamond", [(2, 0), (3, 1), (2, 2), (1, 1)]),
+        "frame": ring("frame", [(-3, 1), (-1, 1), (-1, 3), (-3, 3)]) + ring("frame", [(-2.5, 1.5), (-2.5, 2.5), (-1.5, 2.5), (-1.5, 1.5)]),
+    }
+    spots = [(x / 4 + dx, y / 4 + dy) for x in range(-13, 13) for y in range(-9, 13) for dx, dy in ((0.125, 0.0625), (0.0, 0.0625), (0.0625, 0.0))]
+
+    def on_edge(x, y, e):
+        return any((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2) for _, x1, y1, x2, y2 in e)
+
+    pts = [(i, x, y) for i, (x, y) in enumerate(spots)]
+    want = sorted((i, n) for i, x, y in pts for n, e in polys.items() if inside(x, y, e) and not on_edge(x, y, e))
+    edges = spark.createDataFrame([e for p in polys.values() for e in p], EDGE)
+    points = spark.createDataFrame(pts, "id long, lon double, lat double")
+    assert rows(sp.points_in_polygons(points, edges, ["id"], ["poly"], size)) == want
+
+
+def test_nearest_against_all_edges(spark):
+    """Many small polygons: the nearest of all within the cap, whatever the size of the last cells."""
+    rng = random.Random(6)
+    polys = {}
+    for k in range(120):
+        x, y, w = rng.uniform(0, 2), rng.uniform(0, 2), rng.uniform(0.005, 0.05)
+        polys[f"p{k}"] = ring(f"p{k}", [(x, y), (x + w, y), (x + w, y + w * rng.uniform(0.2, 2)), (x, y + w)])
+    pts = [(i, rng.uniform(-0.2, 2.2), rng.uniform(-0.2, 2.2)) for i in range(300)]
+    merc = lambda lon, lat: (6378137 * math.radians(lon), 6378137 * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)))
+
+    def dist(p, e):
+        (px, py), (ax, ay), (bx, by) = merc(*p), merc(e[1], e[2]), merc(e[3], e[4])
+        t = max(0.0, min(1.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    want = {}
+    for i, x, y in pts:
+        d, name = min((min(dist((x, y), e) for e in es), n) for n, es in polys.items())
+        if d < 20_000:
+            want[i] = (name, round(d, 3))
+    edges = spark.createDataFrame([e for p in polys.values() for e in p], EDGE)
+    points = spark.createDataFrame(pts, "id long, lon double, lat double")
+    for cell in (100.0, 3000.0, 20_000.0):
+        got = sp.nearest_polygons(points, edges, ["id"], ["poly"], 20_000.0, cell_m=cell).collect()
+        assert {r["id"]: (r["poly"], round(r["dist_m"], 3)) for r in got} == want
+
+
 def test_nearest_keeps_ties_and_cap(spark):
     box = [(0, 0), (1, 0), (1, 1), (0, 1)]
     edges = spark.createDataFrame(ring("AA", box) + ring("AA1", box) + ring("BB", [(2, 0), (3, 0), (3, 1)]), EDGE)
