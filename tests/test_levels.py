@@ -112,6 +112,44 @@ def test_running_total_over_many_partitions(spark):
     assert {r["id"]: r["s"] for r in got} == want
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_running_total_of_awkward_groups(spark, batch):
+    """Missing and NaN keys, one group with most rows, groups that span partitions and batches; whole numbers stay whole."""
+    import random
+
+    rng = random.Random(batch)
+    keys = [None, float("nan"), 1.0, 2.0, *[float(k) for k in range(10, 40)]]
+    data = [(i, rng.choice(["a", None]), 2.0 if rng.random() < 0.6 else rng.choice(keys), rng.choice([None, 1, 2, 5])) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, g string, h double, v int").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = ordering.running_total(df, ["g", "h"], [F.desc("id")], F.col("v"), "s")
+        doubles = {r["id"]: r["s"] for r in ordering.running_total(df, [], ["id"], F.col("v") / 2, "s").collect()}
+        assert got.columns == ["id", "g", "h", "v", "s"] and got.schema["s"].dataType.simpleString() == "bigint"
+        sums, want = {}, {}
+        for i, g, h, v in reversed(data):
+            k = (g, repr(h))
+            want[i] = sums[k] = sums.get(k, 0) + (v or 0)
+        assert {r["id"]: r["s"] for r in got.collect()} == want
+        upto = 0.0
+        for i, _, _, v in data:
+            upto += (v or 0) / 2
+            assert doubles[i] == upto
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_running_total_of_no_rows(spark):
+    df = spark.range(0).withColumn("g", F.lit("a"))
+    assert ordering.running_total(df, ["g"], ["id"], F.col("id"), "s").collect() == []
+    assert ordering.number_rows(df, ["id"]).collect() == []
+
+
 def test_pages_and_ties(spark):
     df = spark.createDataFrame([(c, v) for c, v in zip("abcdefgh", [5.0, 5.0, 4.0, 4.0, 4.0, 3.0, 2.0, 1.0])], "name string, value double")
     assert [r["name"] for r in ordering.top_n_with_ties(df, "value", 3).orderBy("name").collect()] == list("abcde")
