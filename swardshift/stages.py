@@ -21,16 +21,26 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a reader of it.
 
     Cuts the lineage, so that a lost executor costs only the tasks of the later
-    step; later readers prune columns and push filters. The files go when the
-    session's JVM ends.
+    step; later readers prune columns and push filters. The files go with
+    ``drop_stages``, or else when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _place(spark, path)
+    files.deleteOnExit(target)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.stage_path = path
+    return written
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
+def drop_stages(*written: DataFrame) -> None:
+    """Delete the files of tables that ``write_stage`` returned, once all that is made of them is written too."""
+    for df in written:
+        target, files = _place(df.sparkSession, df.stage_path)
+        files.delete(target, True)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
