@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..stages import write_stage
+from ..stages import drop_stages, write_stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     state = _state(edges)
     while state[0]:
-        edges = write_stage(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, write_stage(_small_star(_large_star(edges)), "edges")
+        drop_stages(before)
         new = _state(edges)
         if new == state:
             break

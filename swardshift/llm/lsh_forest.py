@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..stages import write_stage
+from ..stages import drop_stages, write_stage
 from .components import connected_components
 from .wordhash import NOT_SPACE, WordHasher, mix, shingle_set, text_pieces, windows
 
 WIDTH = 5
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
+#: Bits of the filter of ids whose sets are made, at most (32 MB).
+MOST_BITS = 1 << 28
+#: Shingles of a component that a task holds.
+MERGED_TOKENS = 1 << 22
 #: Sets that a region may hold before its prefix is deepened.
 REGION = 32
 _SALT = np.uint64(0x632BE59BD9B4E019)
@@ -88,24 +92,47 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "t").mapInArrow(sign, schema)
 
 
+def _filter_bits(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits that the wanted ids set, as bytes, and their number: 16 for each id, at most ``MOST_BITS``."""
+    size = 1 << 15
+    count = wanted.count()
+    while size < min(16 * count, MOST_BITS):
+        size *= 2
+    place = F.pmod(F.xxhash64("rep"), F.lit(size))
+    rows = wanted.select(F.bitmap_bucket_number(place + 1).alias("bucket"), F.bitmap_bit_position(place + 1).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in rows.collect():  # 4 KB for each 32,768 bits
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out, size
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, n, shingles): the full sets of the documents in ``wanted`` (rep), as sorted 64-bit values."""
+    """(rep, n, shingles): the full sets of the documents in ``wanted`` (rep), as sorted 64-bit values.
+
+    Texts are not shuffled: the scan makes the sets of ids that a filter of
+    bounded size lets through, and the few that it lets through in error are
+    left out by an exact join of the sets.
+    """
     schema = T.StructType([T.StructField("rep", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    bits, size = _filter_bits(wanted)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(NOT_SPACE)
         for batch in batches:
-            for first, sets in _shingles_by_piece(batch.column(1), width, hasher):
+            place = batch.column(2).to_numpy(zero_copy_only=False)
+            through = pa.array(np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1))
+            ids = batch.column(0).take(through)
+            for first, sets in _shingles_by_piece(batch.column(1).take(through), width, hasher):
                 n = [len(x) for x in sets]
                 flat = _signed(np.concatenate(sets))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets)), pa.array(n, pa.int64()),
+                    [ids.slice(first, len(sets)), pa.array(n, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))],
                     names=schema.names,
                 )
 
-    chosen = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "t").distinct()
-    return chosen.mapInArrow(gather, schema)
+    made = docs.where("id is not null").select("id", "t", F.pmod(F.xxhash64("id"), F.lit(size)).alias("place")).mapInArrow(gather, schema)
+    return made.where("n > 0").join(wanted, "rep", "left_semi").distinct()
 
 
 def _tree_keys(reps: DataFrame, least_depth: int, most_depth: int) -> DataFrame:
@@ -166,24 +193,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
+def _component_tokens(own: DataFrame) -> DataFrame:
+    """(component, token): the shingles of each component, one row for each task that holds some of its sets."""
+    schema = T.StructType([own.schema["component"], T.StructField("token", T.LongType())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, held, size = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            tokens = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([component] * len(tokens), arrow), pa.array(tokens)], names=schema.names)
+
+        for batch in batches:
+            shingles = batch.column(1)
+            for k, name in enumerate(batch.column(0).to_pylist()):
+                if name != component and held:
+                    yield out()
+                    held, size = [], 0
+                component = name
+                held.append(shingles[k].values.to_numpy(zero_copy_only=False))
+                size += len(held[-1])
+                if size > MERGED_TOKENS:  # what a task holds is bounded; more rows of a component do no harm
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > MERGED_TOKENS // 2:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(own.schema["component"].dataType)
+    return own.sortWithinPartitions("component").select("component", "shingles").mapInArrow(merge, schema)
+
+
 def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs of crowded sets in different components that may reach the similarity. Exact: none is left out.
 
-    A pair at the similarity shares one of each set's ``n - ceil(share * n) + 1``
-    rarest shingles. Shingles of one component alone cannot be shared, which
+    Only shingles that two components hold can be shared between them. They are
+    found from the shingles of whole components, of which copies have few; a set
+    of which too few shingles are in its component's shared ones has no partner.
+    Of the others, a pair at the similarity shares one of each set's
+    ``n - ceil(share * n) + 1`` rarest shingles. The number of shareable shingles
     bounds the similarity of a set with any partner of a given size, so a set only
     looks into the size classes that it can reach; and the place of a shared
     shingle in both orders bounds what can still be shared.
     """
     named = comps.select(F.col("node").alias("rep"), "component")
     own = sets.join(crowded, "rep", "left_semi").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    tokens = own.select("rep", "n", "component", F.explode("shingles").alias("token"))
-    # Only shingles that two components hold can be shared between components.
+    own = write_stage(own.repartitionByRange("component", "rep"), "crowded-sets")
+    held = write_stage(_component_tokens(own), "component-shingles")
     df = (
-        tokens.groupBy("token")
+        held.groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lead"), F.max("component").alias("last"))
         .where("lead <> last").select("token", "df", "lead")
     )
+    df = write_stage(df, "shared-shingles")
+    reach = held.join(df, "token").groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+    hopeful = own.join(reach, "component").where(100 * F.col("held") >= percent * F.col("n"))
+    tokens = hopeful.select("rep", "n", "component", F.explode("shingles").alias("token"))
     shared = tokens.join(df, "token")
     least = F.expr(f"CAST(ceil({percent} * n / 100.0D) AS BIGINT)")
     per_set = (
@@ -244,7 +313,7 @@ def near_duplicates(
     sig = reps.select("rep", "sig")
 
     dense = placed.where(F.col("size") > region)
-    crowded = dense.select("rep").distinct()
+    crowded = write_stage(dense.select("rep").distinct(), "crowded")
     deep = _tree_keys(sig.join(crowded, "rep", "left_semi"), LEAST_DEPTH + 1, DEPTH).join(dense.select("rep", "tree"), ["rep", "tree"], "left_semi")
     deep = write_stage(deep, "deep")
     sizes = deep.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1")
@@ -257,6 +326,7 @@ def near_duplicates(
     hubs = dense.select("rep", "pivot").union(deeper.where(F.col("size") > region).select("rep", "pivot")).where("rep <> pivot").distinct()
     hub_pairs = hubs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     pairs = write_stage(near.union(hub_pairs).distinct(), "pairs")
+    drop_stages(placed, deep, deeper)
 
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).union(crowded).distinct()
     sets = write_stage(_sets(own, wanted, width), "sets")
@@ -264,6 +334,7 @@ def near_duplicates(
     comps = connected_components(links)
     rest = _confirmed(_rare_pairs(sets, crowded, comps, percent), sets, percent)
     links = write_stage(links.union(rest), "links")
+    drop_stages(pairs, sets, crowded)
     comps = connected_components(links)
 
     named = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
