@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..stages import write_stage
 from .wordhash import ALNUM, WordHasher, mix, text_pieces
 
 #: Words of the items that one broadcast block holds at most (an item is not split, so one item may exceed it).
@@ -171,21 +172,22 @@ def find_occurrences(
     ``spans`` are merged half-open ranges of word numbers, ``items`` the sorted
     ids (as strings) of the items found. One row per input row, repeated ids
     included; a null or empty text has no words and no hits, a null item text
-    no windows, a null item id cannot be named and is left out. Extra columns
+    no windows; an item without an id hits words like any other, but has no name
+    to be listed by. Extra columns
     of either table are ignored. Texts stream through their scan tasks without
     a shuffle; items are broadcast in blocks of ``block_words``, each a full
     search, and a text's hits in several blocks are merged.
     """
-    own = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null")
+    own = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = own.agg(F.sum(F.size(F.split(F.coalesce("t", F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))).alias("n")).first()
     blocks = max(1, -(-int(size["n"] or 0) // block_words))
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t"))
     if blocks == 1:
         return _search_block(rows, own, docs.schema[id].dataType, id, width)
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
+    keyed = write_stage(rows.withColumn("row", F.monotonically_increasing_id()), "texts")  # the branches must agree on it
     parts = None
     for k in range(blocks):
-        block = own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
+        block = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         found = _search_block(keyed.select(F.struct("id", "row").alias("id"), "t"), block, None, "key", width)
         parts = found if parts is None else parts.unionByName(found)
     return _merge_blocks(parts, id)
@@ -193,8 +195,8 @@ def find_occurrences(
 
 def _search_block(rows: DataFrame, items: DataFrame, id_type, id: str, width: int) -> DataFrame:
     listed = [(r["i"], r["t"]) for r in items.toLocalIterator()]
-    names = sorted({i for i, _ in listed})
-    number = {n: k for k, n in enumerate(names)}
+    names = sorted({i for i, _ in listed if i is not None})
+    number = {n: k for k, n in enumerate(names)} | {None: -1}
     shared = rows.sparkSession.sparkContext.broadcast(([(number[i], t) for i, t in listed], names))
     id_type = rows.schema["id"].dataType
     schema = T.StructType([T.StructField(id, id_type), *FOUND.fields])
@@ -209,7 +211,7 @@ def _search_block(rows: DataFrame, items: DataFrame, id_type, id: str, width: in
                 for words, own, found in search_piece(searches, hasher, data, offsets):
                     n.append(words)
                     spans.append([{"begin": a, "end": b} for a, b in own])
-                    items.append([names[k] for k in sorted(found)])
+                    items.append([names[k] for k in sorted(found) if k >= 0])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, end - first), pa.array(n, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),

@@ -23,6 +23,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,15 +162,25 @@ def _hashed_lines(rows: DataFrame, least_chars: int, copy_chars: int) -> DataFra
     return rows.mapInArrow(hash_lines, schema)
 
 
+_WHITE = " \t\n\v\f\r"
+
+
 def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line, body) of the lines in ``wanted`` (id, line), trimmed."""
+    """(id, line, body) of the lines in ``wanted`` (id, line), trimmed. Each text is split once."""
     per_text = wanted.groupBy(F.col("id").alias("wid")).agg(F.collect_set("line").alias("numbers"))  # bounded by the text's lines
-    return (
-        rows.join(per_text, F.col("id").eqNullSafe(F.col("wid")))
-        .select("id", F.expr("explode(transform(numbers, k -> struct(k AS line, element_at(split(t, '\\n', -1), CAST(k + 1 AS INT)) AS body))) AS x"))
-        .select("id", "x.line", F.expr(r"regexp_replace(x.body, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '')").alias("body"))
-        .dropDuplicates(["id", "line", "body"])
-    )
+    schema = T.StructType([rows.schema["id"], T.StructField("line", T.LongType()), T.StructField("body", T.StringType())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                parts, numbers = batch.column(1)[k].as_py().split("\n"), batch.column(2)[k].as_py()
+                numbers = [n for n in numbers if n < len(parts)]
+                take = pa.array(np.full(len(numbers), k))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), pa.array(numbers, pa.int64()), pa.array([parts[n].strip(_WHITE) for n in numbers], pa.string())], names=schema.names)
+
+    met = rows.where("t is not null").join(per_text, F.col("id").eqNullSafe(F.col("wid")))
+    return met.select("id", "t", "numbers").mapInArrow(pick, schema).dropDuplicates(["id", "line", "body"])
 
 
 def _emit(lines: DataFrame, kind: str) -> DataFrame:
@@ -318,20 +329,20 @@ def _pos() -> Column:
 
 def repeated_lines(
     docs: DataFrame, id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS,
-    copy_chars: int | None = None, edits: int = 1,
+    copy_chars: int = 1, edits: int = 1,
 ) -> DataFrame:
     """(id, line) of every line to drop: an earlier line is equal or within ``edits`` edits.
 
     Lines are split at \\n, counted from 0, compared without the ASCII white
     space at their ends; those under ``least_chars`` code points are never near
-    another. Copies fall from ``copy_chars`` code points on (``least_chars``
-    unless given; 1 joins every line that is not blank). Earlier means a smaller (id, line), a null id before all others.
+    another. Copies fall from ``copy_chars`` code points on, so by default every
+    line that is not blank is compared for equality. Earlier means a smaller (id, line), a null id before all others.
     A first occurrence falls only to a line that stands before it; all later
     occurrences fall. Rows that repeat an id are one document seen twice: their
     lines stand at the same places. Null and empty texts have no lines to drop.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t"))
-    lines = write_stage(_hashed_lines(rows, least_chars, least_chars if copy_chars is None else copy_chars), "lines")
+    lines = write_stage(_hashed_lines(rows, least_chars, copy_chars), "lines")
     firsts = write_stage(
         lines.groupBy("h1", "h2").agg(F.min(_pos()).alias("pos"), F.first("ends").alias("ends")), "firsts"
     )
@@ -391,5 +402,17 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, id: str = "doc_id", text: st
     """
     own = dropped.groupBy(F.col("id").alias("__drop_id")).agg(F.collect_set("line").alias("__drop_lines"))
     joined = docs.join(own, docs[id].eqNullSafe(F.col("__drop_id")), "left")
-    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, k) -> NOT array_contains(__drop_lines, CAST(k AS BIGINT))), '\\n')")
-    return joined.withColumn(text, F.when(F.col("__drop_lines").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    # Only texts that change go through Python, and each is split once.
+    left = _without_lines(F.when(F.col("__drop_lines").isNotNull(), F.col(text)), F.col("__drop_lines"))
+    return joined.withColumn(text, F.when(F.col("__drop_lines").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+
+
+@F.pandas_udf(T.StringType())
+def _without_lines(texts: pd.Series, lines: pd.Series) -> pd.Series:
+    def cut(text: str | None, gone) -> str | None:
+        if text is None:
+            return None
+        drop = set(gone)
+        return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
+
+    return pd.Series([cut(t, g) for t, g in zip(texts, lines, strict=True)], dtype=object)

@@ -52,16 +52,18 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-#: The margins of the mixing query. The documents carry no topic, so the form of the text stands in.
+#: The margins of the mixing query. The documents carry no topic: the form of the text stands in, and the column says so.
 def mixing_margins() -> dict:
     return {
         "source": F.col("source"), "lang": F.col("lang"),
-        "topic": raking.text_form(F.col("text"), raking.count_words(F.col("text"))),
+        "topic_form": raking.text_form(F.col("text"), raking.count_words(F.col("text"))),
     }
 
 
 SWEEPS = 10
 TEMPER = 0.5
+#: Share of all tokens that the mix keeps.
+KEEP_SHARE = 0.5
 
 
 def _rake_sql() -> str:
@@ -69,35 +71,36 @@ def _rake_sql() -> str:
     out = [
         f"WITH counted AS (SELECT *, CASE WHEN 10 * len(regexp_replace(coalesce(text, ''), '[^|]+', '', 'g')) >= greatest(n_tokens, 1) THEN 'table' "
         f"WHEN len(regexp_replace(coalesce(text, ''), '[^A-Z]+', '', 'g')) > len(regexp_replace(coalesce(text, ''), '[^a-z]+', '', 'g')) THEN 'shout' "
-        f"WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'treatise' END AS topic "
+        f"WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'treatise' END AS topic_form "
         f"FROM (SELECT doc_id, source, lang, text, CAST({words} AS BIGINT) AS n_tokens FROM documents))",
-        "cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM counted GROUP BY ALL)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic_form, sum(n_tokens) AS tokens FROM counted GROUP BY ALL)",
+        f"goal AS MATERIALIZED (SELECT {KEEP_SHARE} * sum(tokens) AS wanted FROM cells)",
     ]
-    margins = ["source", "lang", "topic"]
+    margins = ["source", "lang", "topic_form"]
     for m in margins:
-        out.append(f"t_{m} AS (SELECT {m}, CASE WHEN sum(tokens) > 0 THEN pow(CAST(sum(tokens) AS DOUBLE), {TEMPER}) ELSE 0 END AS t FROM cells GROUP BY {m})")
-    joins = " ".join(f"JOIN t_{m} ON c.{m} IS NOT DISTINCT FROM t_{m}.{m}" for m in margins)
-    shares = ", ".join(f"t_{m}.t / (SELECT sum(t) FROM t_{m}) AS t_{m}" for m in margins)
-    out.append(f"s0 AS (SELECT c.*, {shares}, 1.0::DOUBLE AS f, (SELECT sum(tokens) FROM cells) AS total FROM cells c {joins})")
+        out.append(f"w_{m} AS (SELECT {m}, sum(tokens) AS tokens, CASE WHEN sum(tokens) > 0 THEN pow(CAST(sum(tokens) AS DOUBLE), {TEMPER}) ELSE 0 END AS t FROM cells GROUP BY {m})")
+        out.append(f"f_{m}_0 AS MATERIALIZED (SELECT {m}, tokens, wanted, wanted * t / (SELECT sum(t) FROM w_{m}) AS t FROM w_{m}, goal)")
+        for k in range(raking.FILL_STEPS):
+            had, rest = (f"(SELECT coalesce(sum({x}), 0) FROM f_{m}_{k} WHERE {c})" for x, c in (("tokens", "t >= tokens"), ("t", "t < tokens")))
+            out.append(f"f_{m}_{k + 1} AS MATERIALIZED (SELECT {m}, tokens, wanted, CASE WHEN t >= tokens THEN tokens ELSE t * CASE WHEN {rest} > 0 THEN (wanted - {had}) / {rest} ELSE 1 END END AS t FROM f_{m}_{k})")
+    last = raking.FILL_STEPS
+    joins = " ".join(f"JOIN f_{m}_{last} t_{m} ON c.{m} IS NOT DISTINCT FROM t_{m}.{m}" for m in margins)
+    out.append(f"s0 AS (SELECT c.*, {', '.join(f't_{m}.t AS t_{m}' for m in margins)}, {KEEP_SHARE}::DOUBLE AS p FROM cells c {joins})")
     step = 0
     for _ in range(SWEEPS):
         for m in margins:
-            now = f"sum(tokens * f) OVER (PARTITION BY {m})"
-            out.append(
-                f"s{step + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {now} > 0 THEN f * t_{m} * total / {now} ELSE f END AS f) FROM s{step})"
-            )
+            now = f"sum(tokens * p) OVER (PARTITION BY {m})"
+            out.append(f"s{step + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {now} > 0 THEN least(1.0, p * t_{m} / {now}) ELSE p END AS p) FROM s{step})")
             step += 1
-    p = f"least(f / (SELECT max(f) FROM s{step} WHERE tokens > 0), 1.0)"
-    out.append(f"done AS (SELECT source, lang, topic, {p} AS p FROM s{step})")
     u = "(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT / 4503599627370496.0)"
     on = " AND ".join(f"d.{m} IS NOT DISTINCT FROM x.{m}" for m in margins)
-    return ",\n".join(out) + f"\nSELECT d.doc_id, d.topic, d.n_tokens, round(x.p, 6) + 0.0 AS probability, {u} < x.p AS kept FROM counted d JOIN done x ON {on}"
+    return ",\n".join(out) + f"\nSELECT d.doc_id, d.topic_form, d.n_tokens, round(x.p, 6) + 0.0 AS probability, {u} < x.p AS kept FROM counted d JOIN s{step} x ON {on}"
 
 
 @query("op2_mix_sources", _rake_sql())
 def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = raking.mix_documents(table(spark, sf, "documents"), mixing_margins(), temper=TEMPER, sweeps=SWEEPS)
-    return mixed.select("doc_id", "topic", "n_tokens", (F.round("probability", 6) + F.lit(0.0)).alias("probability"), "kept")
+    mixed = raking.mix_documents(table(spark, sf, "documents"), mixing_margins(), temper=TEMPER, sweeps=SWEEPS, keep_share=KEEP_SHARE)
+    return mixed.select("doc_id", "topic_form", "n_tokens", (F.round("probability", 6) + F.lit(0.0)).alias("probability"), "kept")
 
 
 @query("op3_license_scan")
@@ -178,14 +181,15 @@ def _gone_lines(spark: SparkSession, sf: str, **options) -> DataFrame:
     )
 
 
-@query("op9_line_neighbours", _LINES_SQL)
+@query("op9_line_neighbours", _all_lines_sql())
 def op9_line_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return _gone_lines(spark, sf)
 
 
 @query("op9_all_lines", _all_lines_sql())
 def op9_all_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _gone_lines(spark, sf, copy_chars=1)
+    """The same with its bounds spelt out."""
+    return _gone_lines(spark, sf, least_chars=24, copy_chars=1, edits=1)
 
 
 def _divergence_sql() -> str:

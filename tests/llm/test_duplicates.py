@@ -1,6 +1,7 @@
 """Near-duplicate documents and lines against brute force and on awkward tables."""
 
 import random
+import time
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -98,13 +99,13 @@ def test_components(spark):
 
 def brute_lines(rows, least):
     lines = [(k, n, line.strip(" \t\n\v\f\r")) for k, t in rows if t for n, line in enumerate(t.split("\n"))]
-    lines = sorted(x for x in lines if len(x[2]) >= least)
+    lines = sorted(x for x in lines if x[2])
     firsts = {}
     for k, n, body in lines:
         firsts.setdefault(body, (k, n))
     gone = {(k, n) for k, n, body in lines if firsts[body] != (k, n)}
     for x, at in firsts.items():
-        if any(before < at and line_neighbours.within_one_edit(x, y) for y, before in firsts.items()):
+        if len(x) >= least and any(len(y) >= least and before < at and line_neighbours.within_one_edit(x, y) for y, before in firsts.items()):
             gone.add(at)
     return gone
 
@@ -127,6 +128,18 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(rows, line_neighbours.LEAST_CHARS)
 
 
+def test_text_of_many_lines(spark):
+    """100,000 lines, half of them copies, and 100,000 to pick out, in one text."""
+    text = "\n".join(f"a line that stands here in a very long text, number {k % 50_000 * 7919}" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    start = time.time()
+    gone = line_neighbours.repeated_lines(docs)
+    assert gone.where("line >= 50000").count() == 50_000
+    cleaned = line_neighbours.drop_lines(docs, gone).where("doc_id = 1").first()["text"]
+    assert len(cleaned.split("\n")) == 100_000 - gone.count()
+    assert time.time() - start < 60
+
+
 def test_short_copies_and_more_edits(spark):
     """Every line that is not blank joins for equality; the bound of edits is free."""
     rng = random.Random(5)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from swardshift.llm import decontaminate, line_neighbours, lsh_forest, queries
 
-from .odd import documents, no_documents
+from .odd import PROSE, documents, no_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,14 +30,16 @@ def test_stages(spark, tmp_path):
             assert sum(labels.get(d) == 0 for d in after) <= 0.2 * sum(q == 0 for q in labels.values())
         if name == "line dedup":
             rows = sorted((d, r["text"]) for d, r in before.items())
-            seen, want = [], {}
+            seen, copies, want = [], set(), {}
             for d, text in rows:
                 left = []
                 for n, line in enumerate((text or "").split("\n")):
                     body = line.strip(" \t\n\v\f\r")
-                    if len(body) >= line_neighbours.LEAST_CHARS:
-                        dup = any(line_neighbours.within_one_edit(body, s) for s in seen)
-                        seen.append(body)
+                    if body:
+                        long = len(body) >= line_neighbours.LEAST_CHARS
+                        dup = body in copies or (long and any(line_neighbours.within_one_edit(body, s) for s in seen))
+                        copies.add(body)
+                        seen += [body] * long
                         if dup:
                             continue
                     left.append(line)
@@ -58,6 +60,8 @@ def test_stages(spark, tmp_path):
             draws = {r["doc_id"]: r["kept"] for r in queries.raking.mix_documents(spark.createDataFrame(list(before.values()), docs.drop("keep_probability").schema), queries.mixing_margins()).collect()}
             assert set(after) == {d for d, kept in draws.items() if kept}
             assert "keep_probability" in docs.columns
+            words = {d: len((r["text"] or "").split()) for d, r in before.items()}
+            assert abs(sum(words[d] for d in after) / sum(words.values()) - queries.KEEP_SHARE) < 0.1
 
 
 def test_stages_on_awkward_tables(spark):
@@ -69,12 +73,33 @@ def test_stages_on_awkward_tables(spark):
             rows = out.collect()
             assert len(rows) <= docs.count(), name
             if name == "MinHash near-dedup" and rows:
+                # Of the copies of one text that with id 0 stays; texts without words are nobody's copies.
+                assert sorted((r["doc_id"] for r in rows if r["text"] == PROSE)) == [0]
                 assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [0, 2, 3, 4, 5, 6, 7]
 
 
+def test_rows_with_missing_and_repeated_ids(spark):
+    """Different texts under one id, or under none, are documents of their own: only what repeats goes."""
+    passage = " ".join(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(3).collect())
+    clean = ["The mill stands by the river, and nobody has worked there since the spring floods came.", "A letter from the north arrived with news of snow and of the long road to the coast.",
+             "Three boats left the harbour before dawn and came back with nothing but wet nets aboard."]
+    rows = [(own, f"{text}\nOnly in {own}: {text[::-1]}\nThis line is repeated in every single document here.", "en", "a", 1) for own in (7, None) for k, text in enumerate(clean)]
+    rows += [(own, passage, "en", "a", 1) for own in (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = {n: f for n, f in corpus_pipeline.STAGES}
+    cleaned = [r["text"] for r in stages["line dedup"](spark, docs, SF).collect()]
+    assert sum("This line is repeated" in t for t in cleaned) == 1
+    assert all(sum(f"Only in {own}: {text[::-1]}" in t for t in cleaned) == 1 for own in (7, None) for text in clean)
+    assert all(sum(text in t for t in cleaned) == 1 for text in clean)
+    left = stages["benchmark decontamination"](spark, docs, SF).collect()
+    assert sorted(map(str, (r["text"] for r in left))) == sorted(r[1] for r in rows if r[1] != passage)
+    left = [(r["doc_id"], r["text"]) for r in stages["MinHash near-dedup"](spark, docs, SF).collect()]
+    assert (7, passage) in left and (None, passage) not in left and len(left) == 7
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op") and k[2].isdigit()}
     assert corpus_pipeline.run(spark, SF).where(F.col("keep_probability") > 1).count() == 0

@@ -21,11 +21,11 @@ def brute_found(text, items, width=13):
     for item, body in items:
         own = decontaminate.item_words(body)
         size = min(width, len(own))
-        for k in range(len(own) - size + 1 if size and item is not None else 0):
+        for k in range(len(own) - size + 1 if size else 0):
             for at in range(len(words) - size + 1):
                 if words[at : at + size] == own[k : k + size]:
                     hit.update(range(at, at + size))
-                    named.add(str(item))
+                    named.update(() if item is None else (str(item),))
     return len(words), len(hit), decontaminate.digest(list(named))
 
 
@@ -47,7 +47,7 @@ def test_occurrences_on_awkward_tables(spark):
     assert found.count() == len(ROWS)
     judged = {r["doc_id"]: r for r in decontaminate.judge(found).collect()}
     assert judged[2]["n_words"] == 0 and not judged[2]["contaminated"]
-    assert judged[5]["n_words"] == 48_000 and judged[5]["n_hit"] == 3 * 11_999
+    assert judged[5]["n_words"] == 48_000 and judged[5]["n_hit"] == 48_000 - 2  # the item without an id hits too
     assert decontaminate.find_occurrences(no_documents(spark), items).count() == 0
     none = decontaminate.judge(decontaminate.find_occurrences(documents(spark), items.limit(0)))
     assert none.where("n_hit > 0").count() == 0
@@ -58,7 +58,7 @@ def test_mix_reaches_targets(spark):
     rows = [(k, "w " * rng.randint(1, 40), rng.choice("aaab"), rng.choice("xy")) for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     target = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, share double")}
-    mixed = raking.mix_documents(docs, {"source": F.col("source"), "lang": F.col("lang")}, targets=target, sweeps=20).toPandas()
+    mixed = raking.mix_documents(docs, {"source": F.col("source"), "lang": F.col("lang")}, targets=target, sweeps=20, keep_share=0.4).toPandas()
     expected = (mixed.n_tokens * mixed.probability).groupby(mixed.source).sum()
     assert abs(expected["a"] / expected.sum() - 0.5) < 1e-6
     assert mixed.probability.max() <= 1 and mixed.kept.sum() > 1000
@@ -67,6 +67,25 @@ def test_mix_reaches_targets(spark):
     assert abs(share - 0.5) < 0.05
 
 
+def test_mix_keeps_its_share_beside_a_tiny_source(spark):
+    """A source with one short document does not set the rate of the others; what it lacks, they give."""
+    rng = random.Random(3)
+    rows = [(k, "w " * rng.randint(50, 90), "hot" if k % 3 else rng.choice("bcde"), "x") for k in range(6000)] + [(9999, "one two", "tiny", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    margins = {"source": F.col("source"), "lang": F.col("lang")}
+    mixed = raking.mix_documents(docs, margins).toPandas()
+    total = mixed.n_tokens.sum()
+    assert abs((mixed.n_tokens * mixed.probability).sum() / total - 0.5) < 1e-6
+    assert mixed.probability[mixed.source == "tiny"].item() == 1.0
+    expected = (mixed.n_tokens * mixed.probability).groupby(mixed.source).sum()
+    tokens = mixed.groupby("source").n_tokens.sum()
+    even = [expected[s] / tokens[s] ** 0.5 for s in "bcde" if mixed.probability[mixed.source == s].max() < 1]
+    assert max(even, default=1) - min(even, default=1) < 1e-3 * max(even, default=1)
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 500), ("b", "y", 10)], "source string, lang string, tokens long")
+    report = raking.margin_report(raking.rake_cells(cells, ["source", "lang"], sweeps=40), ["source", "lang"]).collect()
+    assert len(report) == 4 and all(abs(r.target - r.expected) < 0.01 * r.target for r in report)
+
+
 def test_mix_on_awkward_tables(spark):
     margins = queries.mixing_margins()
     mixed = raking.mix_documents(documents(spark), margins, sweeps=3)
