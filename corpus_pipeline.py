@@ -1,10 +1,9 @@
 """The training-data pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir) and returns the rows it keeps with the
-columns of ``documents``; the last adds the keep probability. Rows whose id is
-null take part like others where the stage judges rows (quality, lines,
-contamination, mixing) and are never near duplicates. An empty table gives an
-empty table at every stage.
+columns of ``documents``; the last adds the keep probability. Stages judge rows,
+told apart by a number: rows without an id and rows that share one are documents
+like others. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -13,17 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swardshift.llm import decontaminate, line_crf, line_neighbours, lsh_forest, raking
-from swardshift.llm.queries import SWEEPS, TEMPER, mixing_margins
+from swardshift.llm.queries import KEEP_SHARE, SWEEPS, TEMPER, mixing_margins
 from swardshift.stages import write_stage
 
 #: Hundredths of Jaccard similarity at which two documents are one.
 NEAR_PERCENT = 80
+#: Tells rows apart whose ids are missing or repeat.
+ROW = "__row"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id); the ids are written first, so that their size is known when the join is planned."""
-    gone = write_stage(ids.distinct(), "gone").withColumnRenamed("doc_id", "__gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written, so that all that reads it sees the same ones."""
+    return write_stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not among ``gone`` (one column)."""
+    gone = write_stage(gone, "gone").toDF("__gone")
+    return rows.join(gone, rows[ROW] == gone["__gone"], "left_anti").drop(ROW)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,34 +40,46 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out lines that an earlier line repeats (within one edit); a document that loses all its words goes."""
-    cleaned = line_neighbours.drop_lines(docs.withColumn("__had_words", F.col("text").rlike(r"[^\x20\x09-\x0D]")), line_neighbours.repeated_lines(docs))
-    emptied = F.coalesce(F.col("__had_words"), F.lit(False)) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = cleaned.where(~emptied).drop("__had_words")
+    """Take out lines that an earlier line repeats (within one edit); a document that loses all its words goes.
+
+    Earlier is what has the smaller id, then the smaller row number.
+    """
+    words = r"[^\x20\x09-\x0D]"
+    rows = _numbered(docs).withColumn("__key", F.struct("doc_id", ROW))
+    rows = rows.withColumn("__had_words", F.coalesce(F.col("text").rlike(words), F.lit(False)))
+    cleaned = line_neighbours.drop_lines(rows, line_neighbours.repeated_lines(rows, id="__key"), id="__key")
+    kept = cleaned.where(~F.col("__had_words") | F.coalesce(F.col("text").rlike(words), F.lit(False)))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = write_stage(lsh_forest.near_duplicates(docs, percent=NEAR_PERCENT), "near")
-    kept = _without(docs, found.where("NOT kept").select("doc_id"))
-    # Rows that repeat an id are copies too; only they are shuffled.
-    twice = write_stage(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "twice")
-    repeated = F.col("doc_id") == F.col("__twice")
-    return kept.join(twice, repeated, "left_anti").unionByName(kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates one document stays: that of the smallest id, those without an id last."""
+    rows = _numbered(docs)
+    found = lsh_forest.near_duplicates(rows, id=ROW, percent=NEAR_PERCENT).where("component_id is not null and n_shingles > 0")
+    named = write_stage(found.select(ROW, "component_id"), "near").join(rows.select(ROW, "doc_id"), ROW)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    stay = named.groupBy("component_id").agg(F.min(order).alias("stay"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    gone = named.join(stay.select("component_id", F.col("stay")[ROW].alias("__stay")), "component_id").where(F.col(ROW) != F.col("__stay"))
+    return _without(rows, gone.select(ROW))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words at least a twentieth lies in benchmark passages go."""
-    found = decontaminate.judge(decontaminate.find_occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    rows = _numbered(docs)
+    found = decontaminate.judge(decontaminate.find_occurrences(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id=ROW))
+    return _without(rows, found.where("contaminated").select(ROW))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample the documents so that sources, languages and forms have their target shares of the words."""
-    return raking.sample_documents(docs, mixing_margins(), temper=TEMPER, sweeps=SWEEPS)
+    """Sample documents so that sources, languages and forms come near their target shares of the words, half of which stay.
+
+    The draw follows from the id, for documents without one from the text.
+    """
+    draw = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    rows = _numbered(docs)
+    return raking.sample_documents(rows, mixing_margins(), row=ROW, temper=TEMPER, sweeps=SWEEPS, keep_share=KEEP_SHARE, draw=draw).drop(ROW)
 
 
 STAGES = [
