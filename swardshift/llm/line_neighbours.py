@@ -23,7 +23,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -407,12 +406,12 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, id: str = "doc_id", text: st
     return joined.withColumn(text, F.when(F.col("__drop_lines").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
 
 
-@F.pandas_udf(T.StringType())
-def _without_lines(texts: pd.Series, lines: pd.Series) -> pd.Series:
-    def cut(text: str | None, gone) -> str | None:
-        if text is None:
+@F.arrow_udf(T.StringType())
+def _without_lines(texts: pa.Array, lines: pa.Array) -> pa.Array:
+    def cut(text: pa.StringScalar, gone: pa.ListScalar) -> str | None:
+        if not text.is_valid:
             return None
-        drop = set(gone)
-        return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
+        drop = set(gone.as_py())
+        return "\n".join(x for k, x in enumerate(text.as_py().split("\n")) if k not in drop)
 
-    return pd.Series([cut(t, g) for t, g in zip(texts, lines, strict=True)], dtype=object)
+    return pa.array([cut(t, g) for t, g in zip(texts, lines, strict=True)], pa.string())

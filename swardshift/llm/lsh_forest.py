@@ -194,7 +194,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _component_tokens(own: DataFrame) -> DataFrame:
-    """(component, token): the shingles of each component, one row for each task that holds some of its sets."""
+    """(component, token): the shingles of each component, merged by each task that holds some of its sets."""
     schema = T.StructType([own.schema["component"], T.StructField("token", T.LongType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent:
     named = comps.select(F.col("node").alias("rep"), "component")
     own = sets.join(crowded, "rep", "left_semi").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     own = write_stage(own.repartitionByRange("component", "rep"), "crowded-sets")
-    held = write_stage(_component_tokens(own), "component-shingles")
+    held = write_stage(_component_tokens(own).distinct(), "component-shingles")
     df = (
         held.groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lead"), F.max("component").alias("last"))
