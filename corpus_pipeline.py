@@ -2,12 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the rows it keeps with the
 columns of ``documents``; the last adds the keep probability. Stages judge rows,
-told apart by a number: rows without an id and rows that share one are documents
+told apart by a key: rows without an id and rows that share one are documents
 like others. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +23,19 @@ ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, written, so that all that reads it sees the same ones."""
-    return write_stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """``docs`` with a key for each row, the same whenever it is read: its file and its place there.
+
+    Tables that are no files are written first, with a number for each row.
+    """
+    try:
+        place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+        return docs.select("*", F.struct(*place).alias(ROW))
+    except AnalysisException:
+        return write_stage(docs.withColumn(ROW, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "rows")
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose number is not among ``gone`` (one column)."""
+    """The rows whose key is not among ``gone`` (one column)."""
     gone = write_stage(gone, "gone").toDF("__gone")
     return rows.join(gone, rows[ROW] == gone["__gone"], "left_anti").drop(ROW)
 
@@ -56,7 +64,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays: that of the smallest id, those without an id last."""
-    rows = _numbered(docs)
+    rows = _numbered(docs).withColumn(ROW, F.concat_ws(":", F.hex(F.col(ROW)["file"]), F.col(ROW)["at"].cast("string")))
     found = lsh_forest.near_duplicates(rows, id=ROW, percent=NEAR_PERCENT).where("component_id is not null and n_shingles > 0")
     named = write_stage(found.select(ROW, "component_id"), "near").join(rows.select(ROW, "doc_id"), ROW)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
