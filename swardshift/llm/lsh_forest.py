@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,13 +92,13 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "t").mapInArrow(sign, schema)
 
 
-def _filter_bits(wanted: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits that the wanted ids set, as bytes, and their number: 16 for each id, at most ``MOST_BITS``."""
+def _filter_bits(wanted: DataFrame, value: Column) -> tuple[np.ndarray, int]:
+    """Bits that the wanted rows' hashed values set, as bytes, and their number: 16 for each row, at most ``MOST_BITS``."""
     size = 1 << 15
     count = wanted.count()
     while size < min(16 * count, MOST_BITS):
         size *= 2
-    place = F.pmod(F.xxhash64("rep"), F.lit(size))
+    place = F.pmod(value, F.lit(size))
     rows = wanted.select(F.bitmap_bucket_number(place + 1).alias("bucket"), F.bitmap_bit_position(place + 1).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(size // 8, dtype=np.uint8)
     for r in rows.collect():  # 4 KB for each 32,768 bits
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     left out by an exact join of the sets.
     """
     schema = T.StructType([T.StructField("rep", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    bits, size = _filter_bits(wanted)
+    bits, size = _filter_bits(wanted, F.xxhash64("rep"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(NOT_SPACE)
@@ -228,6 +228,24 @@ def _component_tokens(own: DataFrame) -> DataFrame:
     return own.sortWithinPartitions("component").select("component", "shingles").mapInArrow(merge, schema)
 
 
+def _likely_tokens(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, n, component, token) of the shingles that a filter of bounded size takes for wanted ones; it passes all that are."""
+    bits, size = _filter_bits(wanted, F.col("token"))
+    schema = T.StructType([own.schema["rep"], own.schema["n"], own.schema["component"], T.StructField("token", T.LongType())])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            token = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            place = token & (size - 1)
+            through = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+            take = pa.array(row[through])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(3)], pa.array(token[through])], names=schema.names)
+
+    return own.select("rep", "n", "component", "shingles").mapInArrow(likely, schema)
+
+
 def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs of crowded sets in different components that may reach the similarity. Exact: none is left out.
 
@@ -252,8 +270,7 @@ def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent:
     df = write_stage(df, "shared-shingles")
     reach = held.join(df, "token").groupBy("component").agg(F.count(F.lit(1)).alias("held"))
     hopeful = own.join(reach, "component").where(100 * F.col("held") >= percent * F.col("n"))
-    tokens = hopeful.select("rep", "n", "component", F.explode("shingles").alias("token"))
-    shared = tokens.join(df, "token")
+    shared = _likely_tokens(hopeful, df).join(df, "token")
     least = F.expr(f"CAST(ceil({percent} * n / 100.0D) AS BIGINT)")
     per_set = (
         shared.groupBy("rep", "n", "component")
