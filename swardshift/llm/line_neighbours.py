@@ -401,17 +401,10 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, id: str = "doc_id", text: st
     """
     own = dropped.groupBy(F.col("id").alias("__drop_id")).agg(F.collect_set("line").alias("__drop_lines"))
     joined = docs.join(own, docs[id].eqNullSafe(F.col("__drop_id")), "left")
-    # Only texts that change go through Python, and each is split once.
-    left = _without_lines(F.when(F.col("__drop_lines").isNotNull(), F.col(text)), F.col("__drop_lines"))
-    return joined.withColumn(text, F.when(F.col("__drop_lines").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
-
-
-@F.arrow_udf(T.StringType())
-def _without_lines(texts: pa.Array, lines: pa.Array) -> pa.Array:
-    def cut(text: pa.StringScalar, gone: pa.ListScalar) -> str | None:
-        if not text.is_valid:
-            return None
-        drop = set(gone.as_py())
-        return "\n".join(x for k, x in enumerate(text.as_py().split("\n")) if k not in drop)
-
-    return pa.array([cut(t, g) for t, g in zip(texts, lines, strict=True)], pa.string())
+    # A generator holds the split text, so that it is split once; the lines that stay are a difference of numbers.
+    parts = F.when(F.col("__drop_lines").isNotNull(), F.split(F.col(text), "\n", -1))
+    numbers = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k.cast("long"))
+    stay = F.when(parts.isNotNull(), F.array_except(numbers, "__drop_lines"))
+    held = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(parts.alias("__parts"), stay.alias("__stay")))))
+    left = F.array_join(F.transform("__stay", lambda k: F.get("__parts", k.cast("int"))), "\n")
+    return held.withColumn(text, F.when(F.col("__parts").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
