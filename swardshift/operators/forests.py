@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from ..stages import drop_path, shared_folder
 from .ordering import number_rows
 from .profile import regression_metrics
 
@@ -249,52 +253,129 @@ def permutation_importance(forest: Forest, df: DataFrame, id: str, seed: int = 1
     return mse.where("f >= 0").select(names.alias("name"), (F.col("mse") - base).alias("value"))
 
 
+#: Rows that a task walks through the trees at once.
+WALK_ROWS = 65_536
+
+
+def _node_tables(forest: Forest) -> list[tuple[list, ...]]:
+    """Each tree's nodes, numbered from the root: (feature or -1, threshold or left levels, left, right, prediction).
+
+    Read from the model's own files; the model itself lives on the driver already.
+    """
+    spark = SparkSession.active()
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    forest.model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+        "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories",
+    ).toPandas()
+    drop_path(spark, path)
+    out = []
+    for _, tree in nodes.sort_values(["tree", "id"]).groupby("tree"):
+        inner = (tree.leftChild >= 0).to_numpy()
+        test = [
+            None if not i else (float(at[0]) if levels < 0 else frozenset(float(x) for x in at))
+            for i, at, levels in zip(inner, tree.leftCategoriesOrThreshold, tree.numCategories)
+        ]
+        feature = np.where(inner, tree.featureIndex.to_numpy(), -1)
+        out.append((feature.tolist(), test, tree.leftChild.tolist(), tree.rightChild.tolist(), tree.prediction.tolist()))
+    return out
+
+
+def _left(values: np.ndarray, test: float | frozenset) -> np.ndarray:
+    return values <= test if isinstance(test, float) else np.isin(values, list(test))
+
+
+def _walk(tree: tuple[list, ...], x: np.ndarray, grids: dict[int, np.ndarray], total: dict[int, np.ndarray]) -> None:
+    """Add the tree's predictions for all rows (columns of ``x``) to each grid point of each feature.
+
+    A path that has not met a split on a feature predicts the same at all points
+    of its grid. At such a split all rows go both ways, each way with the
+    points that lead there, so a row meets a node once, not once per point.
+    """
+    feature, test, left, right, prediction = tree
+    stack = [(0, np.arange(x.shape[1]), tuple(grids), None)]
+    while stack:
+        node, rows, free, points = stack.pop()
+        j = feature[node]
+        if j < 0:
+            for f in free:
+                if points is None:
+                    total[f] += prediction[node] * len(rows)
+                else:
+                    total[f][points] += prediction[node] * len(rows)
+            continue
+        if j in free:
+            way = _left(grids[j], test[node])
+            here = np.ones(len(way), dtype=bool) if points is None else points
+            for child, mask in ((left[node], here & way), (right[node], here & ~way)):
+                if mask.any():
+                    stack.append((child, rows, (j,), mask))
+            free = tuple(f for f in free if f != j)
+            if not free:
+                continue
+        way = _left(x[j, rows], test[node])
+        for child, some in ((left[node], rows[way]), (right[node], rows[~way])):
+            if len(some):
+                stack.append((child, some, free, points))
+
+
 def partial_dependence(
     forest: Forest, df: DataFrame, features: Sequence[str], points: int = 51
 ) -> DataFrame:
     """``(name, point, value, level, yhat)``: mean prediction with one feature set to a grid of values.
 
     Numeric features take an even grid over their range, text features their
-    levels (in ``level``). Rows fan out over grids within a task and come back
-    as partial means.
+    levels (in ``level``). Rows are not copied per grid point: a task walks its
+    rows once through each tree, following both branches at splits on a feature,
+    and hands on one sum per point. No complete row or no feature gives no rows.
     """
     rows = df.dropna(subset=forest.features)
-    numeric = [f for f in features if f in forest.numeric]
-    ranges = (
-        rows.agg(
-            *[F.min(F.col(f).cast("double")).alias(f"lo{i}") for i, f in enumerate(numeric)],
-            *[F.max(F.col(f).cast("double")).alias(f"hi{i}") for i, f in enumerate(numeric)],
-        ).first()
-        if numeric
-        else None
-    )
-    cells = []
-    for f in features:
+    numeric = [f for f in dict.fromkeys(features) if f in forest.numeric]
+    ranges = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.min(F.col(f).cast("double")).alias(f"lo{i}") for i, f in enumerate(numeric)],
+        *[F.max(F.col(f).cast("double")).alias(f"hi{i}") for i, f in enumerate(numeric)],
+    ).first()
+    cells, grids = [], {}
+    for f in dict.fromkeys(features) if ranges["n"] else ():
         j = forest.features.index(f)
         if f in numeric:
             lo, hi = ranges[f"lo{numeric.index(f)}"], ranges[f"hi{numeric.index(f)}"]
             values = [(lo + (hi - lo) * p / (points - 1), None) for p in range(points)]
         else:
             values = [(float(p), level) for p, level in enumerate(forest.levels(f))]
-        for p, (v, level) in enumerate(values):
-            cells.append((j, f, p, v, level))
-    grid = F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("j"), F.lit(p).alias("point"), F.lit(v).alias("value")
-            )
-            for j, _, p, v, _ in cells
-        ]
-    )
-    fanned = forest.coded(rows).select("__x", F.inline(grid))
-    fixed = fanned.withColumn(
-        "__x", F.transform("__x", lambda v, i: F.when(i == F.col("j"), F.col("value")).otherwise(v))
-    )
-    means = forest.score(fixed).groupBy("j", "point", "value").agg(F.avg("pred").alias("yhat"))
-    labels = df.sparkSession.createDataFrame(
-        [(j, p, f, level) for j, f, p, _, level in cells], "j int, point int, name string, level string"
-    )
-    value = F.when(F.col("level").isNull(), F.col("value"))
-    return means.join(labels, ["j", "point"]).select(
-        "name", "point", value.alias("value"), "level", "yhat"
-    )
+        grids[j] = np.array([v for v, _ in values])
+        cells += [(len(cells) + p, f, p, None if level is not None else v, level) for p, (v, level) in enumerate(values)]
+    labels = df.sparkSession.createDataFrame(cells, "cell long, name string, point int, value double, level string")
+    if not cells:
+        return labels.select("name", "point", "value", "level", F.lit(None).cast("double").alias("yhat"))
+    trees = _node_tables(forest)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {j: np.zeros(len(g)) for j, g in grids.items()}
+        held, n = [], 0
+
+        def through() -> None:
+            x = np.ascontiguousarray(np.concatenate(held).T)
+            for tree in trees:
+                _walk(tree, x, grids, total)
+
+        for batch in batches:
+            width = len(forest_features)
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+            n += batch.num_rows
+            if n >= WALK_ROWS:
+                through()
+                held, n = [], 0
+        if n:
+            through()
+        sums = np.concatenate(list(total.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["cell", "total"])
+
+    forest_features = list(forest.features)
+    # Walking costs far more than moving the rows: an even share of them for each task.
+    spread = forest.coded(rows).select("__x").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = spread.mapInArrow(walk, "cell long, total double").groupBy("cell").agg(F.sum("total").alias("total"))
+    yhat = F.col("total") / F.lit(float(ranges["n"] * len(trees)))
+    return sums.join(labels, "cell").select("name", "point", "value", "level", yhat.alias("yhat"))

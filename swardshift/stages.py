@@ -37,8 +37,13 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def drop_stages(*written: DataFrame) -> None:
     """Delete the files of tables that ``write_stage`` returned, once all that is made of them is written too."""
     for df in written:
-        target, files = _place(df.sparkSession, df.stage_path)
-        files.delete(target, True)
+        drop_path(df.sparkSession, df.stage_path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written below ``path`` in the shared folder."""
+    target, files = _place(spark, path)
+    files.delete(target, True)
 
 
 def _place(spark: SparkSession, path: str) -> tuple:

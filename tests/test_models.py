@@ -85,3 +85,26 @@ def test_levels_with_separators_get_their_weight(spark, sites):
     coded, source = tr.coded_for_distance(rows, NUM, TXT, "point_id")
     assert source == {"soil_Other": "soil", "soil_loam": "soil", "soil_sand_fine": "soil"}
     assert coded.selectExpr("min(soil_Other + soil_loam + soil_sand_fine)").first()[0] == 1
+
+
+def test_partial_dependence_equals_predicting_each_grid_point(spark, sites):
+    """One walk per row and tree against the whole table predicted again for every point, missing inputs left out."""
+    from pyspark.sql import functions as F
+
+    holes = sites.withColumn("clay", F.when(F.rand(3) > 0.1, F.col("clay")))
+    forest = fo.fit_forest(holes, "obs", NUM, TXT, **SMALL)
+    complete = holes.dropna(subset=[*NUM, *TXT])
+    got = fo.partial_dependence(forest, holes, [*NUM, *TXT], 5).collect()
+    assert len(got) == 5 * len(NUM) + sum(len(forest.levels(c)) for c in TXT)
+    for r in got:
+        value = F.lit(r["level"]) if r["level"] is not None else F.lit(r["value"])
+        want = forest.predict(complete.withColumn(r["name"], value)).agg(F.avg("pred")).first()[0]
+        assert r["yhat"] == pytest.approx(want), r
+
+
+def test_partial_dependence_without_complete_rows(spark, sites):
+    from pyspark.sql import functions as F
+
+    forest = fo.fit_forest(sites, "obs", NUM, TXT, **SMALL)
+    empty = fo.partial_dependence(forest, sites.withColumn("clay", F.lit(None).cast("double")), ["clay", "soil"], 5)
+    assert empty.columns == ["name", "point", "value", "level", "yhat"] and empty.isEmpty()
