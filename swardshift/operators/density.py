@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.measures import interval_index
 from ..functions.strict import nan_to_null
@@ -58,7 +60,9 @@ def kde_table(
 
     With ``bins`` each value is first shared between its two nearest bin
     centres, so the kernel is applied to at most ``bins`` points per group
-    however long the table is. ``bins=None`` applies it to every distinct value.
+    however long the table is; a group's bins are one list, which a task works
+    through in place, so nothing is copied per grid point before the result.
+    ``bins=None`` applies the kernel to every distinct value.
     """
     keys = list(groups)
     rows = df.select(*keys, nan_to_null(F.col(value).cast("double")).alias("v")).where("v is not null")
@@ -77,11 +81,13 @@ def kde_table(
         )
         mass = (
             _beside_shape(rows, shape, keys, ["lo", "hi"])
-            .select(*keys, "lo", width.alias("__width"), F.inline(halves))
-            .groupBy(*keys, "lo", "__width", "bin")
+            .select(*keys, F.inline(halves))
+            .groupBy(*keys, "bin")
             .agg(F.sum("w").alias("w"))
-            .select(*keys, (F.col("lo") + F.col("bin") * F.col("__width")).alias("v"), "w")
+            .groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.struct("bin", "w"))).alias("__mass"))  # at most ``bins`` entries
         )
+        return _curves(_beside_shape(mass, shape, keys, ["n", "lo", "hi", "bw", "median"]), keys, points, bins)
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     on_grid = (
         _beside_shape(mass, shape, keys, ["n", "lo", "hi", "bw", "median"])
@@ -94,6 +100,39 @@ def kde_table(
     return out.select(*keys, "point", "x", "density", "median")
 
 
+def _curves(shaped: DataFrame, keys: Sequence[str], points: int, bins: int) -> DataFrame:
+    """The density of each group, a row per group with its binned values, at each grid point."""
+    read = shaped.select(*keys, "median", "n", "lo", "hi", "bw", "__mass")
+    out = [*[read.schema[k] for k in [*keys, "median"]], T.StructField("__x", T.ArrayType(T.DoubleType())), T.StructField("__y", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType(out)
+    own = len(keys) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            n, lo, hi, bw = (c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns[own : own + 4])
+            mass = batch.column(own + 4)
+            at, inner = mass.offsets.to_numpy() - mass.offsets[0].as_py(), mass.flatten()
+            bin, w = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("bin", "w"))
+            x, y = np.empty((rows, points)), np.empty((rows, points))
+            for k in range(rows):
+                here = slice(at[k], at[k + 1])
+                x[k] = lo[k] + np.arange(points) * ((hi[k] - lo[k]) / (points - 1))
+                centres = lo[k] + bin[here] * ((hi[k] - lo[k]) / (bins - 1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    z = (x[k][:, None] - centres[None, :]) / bw[k]
+                    y[k] = np.exp(-0.5 * z * z) @ w[here] / (n[k] * bw[k] * math.sqrt(2 * math.pi))
+            ends = pa.array(np.arange(rows + 1) * points, pa.int32())
+            missing = np.isnan(y).reshape(-1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:own], pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))), pa.ListArray.from_arrays(ends, pa.array(y.reshape(-1), mask=missing))],
+                names=schema.names,
+            )
+
+    curves = read.mapInArrow(run, schema).select(*keys, "median", F.posexplode(F.arrays_zip("__x", "__y")).alias("point", "__at"))
+    return curves.select(*keys, "point", F.col("__at.__x").alias("x"), F.col("__at.__y").alias("density"), "median")
+
+
 def histogram_by_breaks(
     df: DataFrame, value: str, breaks: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
