@@ -56,8 +56,10 @@ def spearman_pairs(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) ->
 
     Ranks must be taken among the rows where *both* columns are present. A
     column whose partner is present wherever it is itself can use its own
-    ranks, so only pairs that really lose rows get ranks of their own; without
-    missing values that makes one ranking per column instead of one per pair.
+    ranks, and partners that are present in the same rows share theirs, so
+    rankings grow with the patterns of presence, not with the pairs: one per
+    column without missing values, and one per column and source where columns
+    that come from one source are missing together.
     The ranks travel back to their rows once, as one list per row, and tasks
     sum the products of all pairs. Rows are told apart by number: ``ids`` only
     says which columns are no measures, and may repeat.
@@ -70,8 +72,11 @@ def spearman_pairs(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) ->
     both = _presence(clean, cols)
     sets: dict[tuple[int, int | None], int] = {}
 
+    # The first column that is present in just the same rows stands for all of them.
+    pattern = [next(k for k in range(len(cols)) if both[k, k] == both[c, c] == both[k, c]) for c in range(len(cols))]
+
     def rank_set(a: int, b: int) -> int:
-        return sets.setdefault((a, None if both[a, b] == both[a, a] else b), len(sets))
+        return sets.setdefault((a, None if both[a, b] == both[a, a] else pattern[b]), len(sets))
 
     used = np.array([(rank_set(a, b), rank_set(b, a)) for a, b in pairs]).reshape(-1, 2)
     entries = [

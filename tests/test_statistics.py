@@ -352,3 +352,38 @@ def test_wide_correlations_with_missing_values(spark):
         ranks = both.rank()
         assert n == len(both)
         assert rho is None if b == "e" else rho == pytest.approx(ranks[a].corr(ranks[b]))
+
+
+def test_rankings_are_shared_by_columns_missing_together(spark):
+    """Columns of one source are missing in the same rows; pairs within and between sources against pandas."""
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({f"c{k}": rng.integers(0, 40, 400).astype(float) for k in range(24)})
+    for source in range(4):
+        frame.loc[rng.random(400) < 0.15, [f"c{k}" for k in range(24) if k % 4 == source]] = np.nan
+    frame["id"] = range(400)
+    names = [c for c in frame if c != "id"]
+    got = {(r["var1"], r["var2"]): r["rho"] for r in co.spearman_pairs(spark.createDataFrame(frame), ["id"], names).collect()}
+    want = frame[names].corr(method="spearman")
+    assert len(got) == 24 * 23 // 2
+    assert all(rho == pytest.approx(want.loc[a, b]) for (a, b), rho in got.items())
+
+
+def test_densities_of_many_groups(spark):
+    """Each group's curve against the sum of its binned kernels; a missing group is one, a group of one row has no curve."""
+    rng = np.random.default_rng(8)
+    groups = [*[f"g{k}" for k in range(300)], None]
+    data = [(g, float(v)) for g in groups for v in rng.normal(0, 3, 12)] + [("alone", 1.0), ("flat", 2.0), ("flat", 2.0), ("alone", None)]
+    found = de.kde_table(spark.createDataFrame(data, "g string, x double"), "x", ["g"], 16, bins=64).collect()
+    assert len(found) == 16 * 303
+    for g in [None, "g0", "g299"]:
+        v = np.array([x for h, x in data if h == g])
+        q1, median, q3 = np.quantile(v, [0.25, 0.5, 0.75])
+        bw = 0.9 * min(v.std(ddof=1), (q3 - q1) / 1.34) * len(v) ** -0.2
+        at = (v - v.min()) / ((v.max() - v.min()) / 63)
+        left = np.minimum(np.floor(at), 62)
+        mass = np.bincount(left.astype(int), 1 - (at - left), 64) + np.bincount(left.astype(int) + 1, at - left, 64)
+        centres, grid = np.linspace(v.min(), v.max(), 64), np.linspace(v.min(), v.max(), 16)
+        want = np.exp(-0.5 * ((grid[:, None] - centres) / bw) ** 2) @ mass / (len(v) * bw * np.sqrt(2 * np.pi))
+        curve = sorted((r for r in found if r["g"] == g), key=lambda r: r["point"])
+        assert [r["density"] for r in curve] == pytest.approx(list(want)) and curve[0]["median"] == pytest.approx(median)
+    assert all(r["density"] is None for r in found if r["g"] in ("alone", "flat"))
