@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -171,11 +172,54 @@ def test_base_spans_of_the_tables(spark):
 def test_trees_add_what_looks_alike(spark):
     rows = [(k, f"Please call our office by phone at +1 (415) 555-{1000 + k} today.") for k in range(300)]
     rows += [(300 + k, f"The order of {k + 1000000} pieces and {k} boxes came in.") for k in range(300)]
-    rows += [(1000 + k, f"Please call our office by phone at 1 (415) 555-{4000 + k} today.") for k in range(5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    added = {r["doc_id"]: r["n"] for r in boosted_pii.find_personal_data(docs).select("doc_id", F.size("added").alias("n")).collect()}
-    assert all(n == 0 for k, n in added.items() if k < 1000)
-    assert set(added) == {k for k, _ in rows}
+    rows += [(600 + k, f"Write to us by mail at person{k}@example.org or knock.") for k in range(200)]
+    rows += [(800 + k, f"The event of 12-04-{1900 + k} drew {k} people.") for k in range(100)]
+    loose = [(1000 + k, f"Please call our office by phone at 1 (415) 555-{4000 + k} today.") for k in range(5)]
+    loose += [(2000 + k, f"Write to us by mail at other{k} (at) example (dot) org or knock.") for k in range(5)]
+    docs = spark.createDataFrame(rows + loose, "doc_id long, text string")
+    added = {r["doc_id"]: r["added"] for r in boosted_pii.find_personal_data(docs).select("doc_id", "added").collect()}
+    assert all(not a for k, a in added.items() if k < 1000)
+    assert set(added) == {k for k, _ in rows + loose}
+    for k, text in loose:
+        assert [text[x["b"] : x["e"]].strip() for x in added[k]] == [re.search(r"1 \(415\) [0-9-]+|other[0-9] \(at\) example \(dot\) org", text)[0]]
+
+
+def test_disproved_candidates_are_never_added(spark):
+    docs = spark.createDataFrame([(k, f"card 4539 1488 0343 646{k % 10} host 300.1.{k}.1 tel +44 20 7946 0{100 + k}") for k in range(60)], "doc_id long, text string")
+    found = boosted_pii.scan(docs).select(F.explode("found").alias("x")).select("x.*").withColumn("label", boosted_pii.evidence())
+    labels = {(r["kind"], r["v"], r["label"]) for r in found.collect()}
+    cards = {v: label for kind, v, label in labels if kind == "card"}
+    assert len(cards) == 10 and all(label == float(luhn(re.sub("[^0-9]", "", v))) for v, label in cards.items())
+    assert ("ip", "300.1.7.1", 0.0) in labels and ("phone", "+44 20 7946 0100", 1.0) in labels
+
+
+def test_contexts_and_overlaps(spark):
+    text = "é" * 505 + " a@b.cc " + "x" * 700 + " +49 30 1234567"
+    found = boosted_pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.explode("found").alias("x")).select("x.*").collect()
+    assert {(r["kind"], r["v"]) for r in found} == {("email", "a@b.cc"), ("phone", "+49 30 1234567")}
+    for r in found:
+        b, e = r["b"], r["e"]
+        assert (r["v"], r["left"], r["right"]) == (text[b:e], text[max(b - 32, 0) : b], text[e : e + 32])
+    rng = np.random.default_rng(4)
+    tables = [[sorted({(int(b), int(b + 1 + rng.integers(0, 9))) for b in rng.integers(0, 400, n)}) for n in (60, m)] for m in (0, 1, 20, 700)]
+    spans = spark.createDataFrame([(k, a, o) for k, (a, o) in enumerate(tables)], "k int, a array<struct<b:bigint,e:bigint>>, o array<struct<b:bigint,e:bigint>>")
+    for r in spans.select("k", boosted_pii._touching(F.col("a"), F.col("o")).alias("hit")).collect():
+        a, o = tables[r["k"]]
+        assert r["hit"] == [any(b < y and x < e for x, y in o) for b, e in a]
+
+
+def test_a_text_of_many_spans(spark):
+    """50,000 spans in one text, far under what a pass over all spans for each would take."""
+    text = "".join(f"u{k}@ex.org 10.0.{k % 256}.{k % 200}\n" for k in range(25_000))
+    docs = spark.createDataFrame([(1, text), (2, "order 1234567 pieces")], "doc_id long, text string")
+    begun = time.perf_counter()
+    assert boosted_pii.scan(docs).select(F.size("base").alias("n")).agg(F.sum("n")).first()[0] == 50_000
+    assert time.perf_counter() - begun < 30
+    found = boosted_pii.find_personal_data(docs)
+    got = {r["doc_id"]: r["s"] for r in found.select("doc_id", boosted_pii.span_text(F.col("base")).alias("s")).collect()}
+    assert got[1] == ",".join(brute_spans(text)) and got[2] == ""
+    clean = {r["doc_id"]: r["text"] for r in boosted_pii.redact(docs, found).collect()}
+    assert clean[1] == "[email] [ip]\n" * 25_000
 
 
 def test_personal_data_on_awkward_tables(spark):
