@@ -48,6 +48,24 @@ def test_points_in_odd_shapes(spark):
         assert rows(sp.points_in_polygons(points, edges, ["id"], ["poly"], size)) == want
 
 
+def test_no_table_of_cells_is_broadcast(spark, monkeypatch):
+    """Rows spread over cells look small to Spark: joins must not send them to the driver, however small they are taken for."""
+    edges = spark.createDataFrame(ring("a", [(0, 0), (3, 0), (3, 3), (0, 3)]) + ring("b", [(1, 1), (1, 2), (2, 2), (2, 1)]), EDGE)
+    pts = [(i, 0.013 * i, 1.01 + 0.001 * i) for i in range(300)]
+    points = spark.createDataFrame(pts, "id long, lon double, lat double")
+    monkeypatch.setattr(sp, "CELL_POINTS", 4, raising=False)  # most cells are dealt to several pieces
+    sent = []
+    inside_ = sp.points_in_polygons(points, edges, ["id"], ["poly"])
+    near = sp.nearest_polygons(points, edges, ["id"], ["poly"], 20_000.0, apart=inside_.select("id").distinct())
+    for df in (inside_, near):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sent += [line for line in plan.splitlines() if "BroadcastExchange" in line]
+        assert "SortMergeJoin" in plan
+    assert len(sent) <= 2  # the counts of points per cell, a row for each cell with points
+    want = sorted((i, name) for i, x, y in pts for name, lo, hi in (("a", 0, 3), ("b", 1, 2)) if lo < x < hi and lo < y < hi)
+    assert rows(inside_) == want
+
+
 def test_boundary_points_are_outside(spark):
     edges = spark.createDataFrame(ring("box", [(0, 0), (1, 0), (1, 1), (0, 1)]), EDGE)
     pts = [(1, 0.0, 0.5), (2, 0.5, 0.0), (3, 1.0, 0.5), (4, 0.5, 1.0), (5, 0.0, 0.0), (6, 0.5, 0.5)]
