@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .joins import with_group_count
 from .profile import scale_parameters, scaled
 from .quantiles import exact_quantiles
 
 #: Rows of a tile of distances, and of a fragment that a cell of the grid holds.
 TILE_ROWS, FRAGMENT_ROWS = 512, 16_384
+#: Bytes of the rows in a block; two blocks meet in a task.
+BLOCK_BYTES = 1 << 24
 #: Training rows that a leaf of the tree aims at, leaves (larger tables have larger leaves), and rows sampled for each.
 LEAF_ROWS, MOST_LEAVES, SAMPLE_PER_LEAF = 1024, 4096, 16
 #: Tasks that look for nearest rows; beyond that a task takes several cells one after the other.
@@ -138,6 +141,75 @@ def train_distances(train: DataFrame, n: int, side: int | None = None) -> DataFr
     )
 
 
+def _packed_block(table: pa.Table) -> pa.Table:
+    flat = _matrix(table).tobytes()
+    shares, copies = (table.column(c).to_numpy().astype(float).tobytes() for c in ("share", "copies"))
+    return pa.table({"block": table.column("block").slice(0, 1), "vecs": pa.array([flat], pa.large_binary()).cast(pa.binary()), "shares": [shares], "copies": [copies]})
+
+
+def _block_sum(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> float:
+    """Sum of all distances between the rows of a and b, times share of the one and copies of the other, both ways round."""
+    na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    ones = np.ones
+    # One product gives the squares: |x|^2 + |y|^2 - 2xy.
+    left, right = np.column_stack([-2.0 * a, na, ones(len(a))]), np.column_stack([b, ones(len(b)), nb])
+    total = 0.0
+    for i in range(0, len(a), TILE_ROWS):
+        x = slice(i, i + TILE_ROWS)
+        for j in range(0, len(b), TILE_ROWS):
+            y = slice(j, j + TILE_ROWS)
+            sq = left[x] @ right[y].T
+            # Near-coincident pairs are worked out again without cancellation.
+            close = sq < (1e-4 * (na[x] + nb[y].max()))[:, None]
+            if close.any():
+                k, m = np.nonzero(close)
+                for lo in range(0, len(k), 65536):
+                    kk, mm = k[lo:lo + 65536], m[lo:lo + 65536]
+                    d = a[x][kk] - b[y][mm]
+                    sq[kk, mm] = (d * d).sum(axis=1)
+            np.sqrt(sq, out=sq)
+            total += sa[x] @ (sq @ cb[y]) + ca[x] @ (sq @ sb[y])
+    return total
+
+
+def mean_train_distance(train: DataFrame) -> float | None:
+    """Mean over the ids of ``(id, vec)`` of an id's mean distance to all other rows.
+
+    The mean needs every pair of different rows; equal rows are one, with their
+    number. Different rows are packed into blocks of bounded size, written once, and
+    every two blocks meet in a task that hands on one number: what is written
+    grows with the rows, not with the pairs.
+    """
+    own = with_group_count(train.select("id", "vec"), ["id"], "of_id").groupBy("vec").agg(
+        F.count(F.lit(1)).alias("copies"), F.sum(1.0 / F.col("of_id")).alias("share")
+    )
+    own = cut_lineage(own)
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.sum("share").alias("ids"), F.max(F.size("vec")).alias("width")).first()
+    if not size["rows"] or size["rows"] < 2:
+        return None
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = size["n"]
+    blocks = max(math.ceil(8 * size["width"] * n / BLOCK_BYTES), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n / TILE_ROWS)))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int"))
+    packed = cut_lineage(dealt.groupBy("block").applyInArrow(_packed_block, "block int, vecs binary, shares binary, copies binary"))
+    left, right = (packed.repartitionByRange(blocks, "block").select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
+    # Every pair of partitions is a task that reads both; nothing is copied to files for it, and no side is broadcast.
+    met = left.hint("shuffle_replicate_nl").join(right.hint("shuffle_replicate_nl"), F.col("a_block") <= F.col("b_block"))
+
+    def total(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                get = lambda c, k=k, batch=batch: np.frombuffer(batch.column(c)[k].as_buffer(), dtype=float)
+                a, b = (get(f"{s}_copies") for s in "ab")
+                va, vb = get("a_vecs").reshape(len(a), -1), get("b_vecs").reshape(len(b), -1)
+                found = _block_sum(va, vb, get("a_shares"), get("b_shares"), a, b)
+                same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([found / 2 if same else found])], names=["total"])
+
+    summed = met.mapInArrow(total, "total double").agg(F.sum("total")).first()[0]
+    return summed / ((size["rows"] - 1) * size["ids"])
+
+
 class BoxTree:
     """A binary tree of boxes over training rows. The cuts come from a sample, the boxes from all rows of a leaf."""
 
@@ -261,7 +333,7 @@ def _next_visits(state: DataFrame, tree: BoxTree, first: int, last: int) -> Data
     return state.select("id", "vec", "best").mapInArrow(visits, schema)
 
 
-def _nearest_cell(left: pa.Table, right: pa.Table) -> pa.Table:
+def _nearest_cell(left: pa.Table, right: pa.Table, others: bool) -> pa.Table:
     if left.num_rows == 0 or right.num_rows == 0:
         return pa.table({"id": left.column("id").slice(0, 0), "d": pa.array([], pa.float64())})
     a, b = _matrix(left), _matrix(right)
@@ -269,12 +341,15 @@ def _nearest_cell(left: pa.Table, right: pa.Table) -> pa.Table:
     for i in range(0, len(a), TILE_ROWS):
         for j in range(0, len(b), TILE_ROWS):
             own = slice(i, i + TILE_ROWS)
-            least[own] = np.minimum(least[own], _distances(a[own], b[j:j + TILE_ROWS]).min(axis=1))
+            d = _distances(a[own], b[j:j + TILE_ROWS])
+            if others:
+                d[d == 0] = np.inf
+            least[own] = np.minimum(least[own], d.min(axis=1))
     return pa.table({"id": left.column("id"), "d": pa.array(least)})
 
 
-def _visit(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(id, d)``: each visit's least distance to the rows of its leaf.
+def _visit(asked: DataFrame, rows: DataFrame, others: bool = False) -> DataFrame:
+    """``(id, d)``: each visit's least distance to the rows of its leaf, with ``others`` to those at another place.
 
     Leaves with many rows are cut into pieces and many visits into slices, so a
     cell holds a bounded number of either; every slice meets every piece.
@@ -295,10 +370,10 @@ def _visit(asked: DataFrame, rows: DataFrame) -> DataFrame:
         return spread.select(*keys, *names).repartition(min(cells, MOST_TASKS), *keys).groupBy(*keys)
 
     id_type = asked.schema["id"].dataType.simpleString()
-    return dealt(asked, "id", "slice", "piece").cogroup(dealt(rows, "vec", "piece", "slice")).applyInArrow(_nearest_cell, f"id {id_type}, d double")
+    return dealt(asked, "id", "slice", "piece").cogroup(dealt(rows, "vec", "piece", "slice")).applyInArrow(lambda left, right: _nearest_cell(left, right, others), f"id {id_type}, d double")
 
 
-def nearest_train_distance(new: DataFrame, train: DataFrame, n_train: int, visits: list[int] | None = None) -> DataFrame:
+def nearest_train_distance(new: DataFrame, train: DataFrame, n_train: int, visits: list[int] | None = None, others: bool = False) -> DataFrame:
     """``(id, min_dist)``: exact distance of each new row to its nearest training row.
 
     Training rows lie in the leaves of a tree of boxes. A new row first visits
@@ -306,7 +381,7 @@ def nearest_train_distance(new: DataFrame, train: DataFrame, n_train: int, visit
     farther than the best distance so far: 4 of them, then 16 more, 64 more and so
     on while any is left, so the rounds grow with the logarithm of the leaves.
     Equal training rows are one. The copies of new rows in each round are appended
-    to ``visits``.
+    to ``visits``. With ``others`` training rows at a row's own place do not count.
     """
     rows = cut_lineage(train.select("vec").distinct())
     tree = box_tree(rows, n_train)
@@ -323,7 +398,7 @@ def nearest_train_distance(new: DataFrame, train: DataFrame, n_train: int, visit
         if visits is not None and count:
             visits.append(count)
         if count:
-            found = _visit(asked, placed).groupBy(F.col("id").alias("fid")).agg(F.min("d").alias("d"))
+            found = _visit(asked, placed, others).groupBy(F.col("id").alias("fid")).agg(F.min("d").alias("d"))
             state = cut_lineage(
                 state.join(found, F.col("id") == F.col("fid"), "left").select("id", "vec", F.least("best", F.coalesce("d", F.lit(math.inf))).alias("best"))
             )
@@ -334,6 +409,22 @@ def nearest_train_distance(new: DataFrame, train: DataFrame, n_train: int, visit
     return state.select("id", F.when(F.col("best") < F.lit(math.inf), F.col("best")).alias("min_dist"))
 
 
+def _at_places(rows: DataFrame, train: DataFrame, n_train: int, others: bool = False) -> DataFrame:
+    """Rows (id, vec) with ``min_dist``, their distance to the nearest training row; equal rows are looked up once."""
+    places = cut_lineage(rows.select("vec").distinct().withColumn("id", F.monotonically_increasing_id()))
+    found = nearest_train_distance(places, train, n_train, others=others)
+    known = cut_lineage(places.join(found, "id").drop("id"))
+    return rows.join(known.hint("merge"), "vec").select("id", "vec", "min_dist")
+
+
+def _own_distances(train: DataFrame, n_train: int) -> DataFrame:
+    """``(id, min_dist)`` of each training row to its nearest other one: 0 if another row is equal."""
+    copies = train.groupBy("vec").agg((F.count(F.lit(1)) > 1).alias("twin"))
+    alone = _at_places(train, train, n_train, others=True)
+    least = F.when(F.col("twin"), F.lit(0.0)).otherwise(F.col("min_dist"))
+    return alone.join(copies.hint("merge"), "vec").groupBy("id").agg(F.min(least).alias("min_dist"))
+
+
 def area_of_applicability(
     new: DataFrame,
     train: DataFrame,
@@ -363,13 +454,17 @@ def area_of_applicability(
     train_v = cut_lineage(train.select(F.col(id).alias("id"), vec.alias("vec"), *extra))
     new_v = cut_lineage(new.select(F.col(id).alias("id"), vec.alias("vec")))
     n_train = train_v.count()
-    own = cut_lineage(train_distances(train_v, n_train))
-    mean_dist = own.agg(F.avg("mean_dist")).first()[0]
+    if cluster:
+        own = cut_lineage(train_distances(train_v, n_train))
+        mean_dist = own.agg(F.avg("mean_dist")).first()[0]
+    else:
+        own = _own_distances(train_v, n_train)
+        mean_dist = mean_train_distance(train_v)
     limit = exact_quantiles(own, [], "min_dist", [threshold], ["q"]).first()
     limit = None if limit is None or limit["q"] is None or not mean_dist else limit["q"] / mean_dist
     if limit is None:
         raise ValueError("training rows are too few or all alike: no distance scale")
-    nearest = nearest_train_distance(new_v, train_v, n_train)
+    nearest = _at_places(new_v, train_v, n_train)
     di = F.col("min_dist") / F.lit(mean_dist)
     return nearest.select(
         F.col("id").alias(id), di.alias("di"), F.when(di > F.lit(limit), 0).otherwise(1).alias("aoa")

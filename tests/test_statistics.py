@@ -249,6 +249,25 @@ def test_distances_copy_rows_by_the_grids_side(spark):
     assert [(r.mean_dist, r.min_dist) for r in one] == [(None, None)]
 
 
+@pytest.mark.parametrize("block", [1 << 24, 600])
+def test_mean_distance_of_rows_that_repeat(spark, block, monkeypatch):
+    """Every pair counts, equal rows and far ones too; what the blocks write does not grow with the pairs."""
+    monkeypatch.setattr(aoa, "BLOCK_BYTES", block)
+    monkeypatch.setattr(aoa, "TILE_ROWS", 7)
+    rng = np.random.default_rng(14)
+    rows = rng.normal(size=(120, 3))
+    rows[30:80] = rows[2]
+    rows[100] = rows[5] + 1e-9
+    rows[119] *= 1e5
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, vec array<double>")
+    d = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(-1))
+    assert aoa.mean_train_distance(df) == pytest.approx(d.sum() / (120 * 119), rel=1e-12)
+    np.fill_diagonal(d, np.inf)
+    got = aoa._own_distances(df, 120).toPandas().sort_values("id")
+    assert got.min_dist.to_numpy() == pytest.approx(d.min(axis=1), rel=1e-9, abs=0)
+    assert aoa.mean_train_distance(df.limit(1)) is None
+
+
 def test_train_against_itself_is_inside(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(50, 3)), columns=list("xyz")).assign(id=range(50)))
