@@ -24,7 +24,11 @@ from .quantiles import exact_quantiles
 #: Rows of a tile of distances, and of a fragment that a cell of the grid holds.
 TILE_ROWS, FRAGMENT_ROWS = 512, 16_384
 #: Bytes of the rows in a block; two blocks meet in a task.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 22
+#: Rows below which a piece of a block is not cut further; most terms of the sum that stands for the distances of two pieces, and rows for each.
+PIECE_ROWS, MOST_TERMS, ROWS_PER_TERM = 1024, 200, 64
+#: The terms end at this share of the pieces' distance; rows of a piece that are checked against what the terms give, and what they may differ by.
+TERM_SHARE, CHECKED_ROWS, CHECK_SHARE = 1e-10, 16, 1e-9
 #: Training rows that a leaf of the tree aims at, leaves (larger tables have larger leaves), and rows sampled for each.
 LEAF_ROWS, MOST_LEAVES, SAMPLE_PER_LEAF = 1024, 4096, 16
 #: Tasks that look for nearest rows; beyond that a task takes several cells one after the other.
@@ -141,14 +145,40 @@ def train_distances(train: DataFrame, n: int, side: int | None = None) -> DataFr
     )
 
 
+def _halves(lo: int, hi: int) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """The two pieces of a block's rows from ``lo`` to before ``hi``, or none if they are few."""
+    middle = (lo + hi) // 2
+    return None if hi - lo <= PIECE_ROWS else ((lo, middle), (middle, hi))
+
+
+def _piece_order(rows: np.ndarray) -> np.ndarray:
+    """An order of the rows in which both halves of every piece lie apart along its widest variable."""
+    order, stack = np.arange(len(rows)), [(0, len(rows))]
+    while stack:
+        lo, hi = stack.pop()
+        halves = _halves(lo, hi)
+        if halves is None:
+            continue
+        own = rows[order[lo:hi]]
+        axis = int((own.max(axis=0) - own.min(axis=0)).argmax())
+        order[lo:hi] = order[lo:hi][np.argpartition(own[:, axis], halves[0][1] - lo)]
+        stack += halves
+    return order
+
+
 def _packed_block(table: pa.Table) -> pa.Table:
-    flat = _matrix(table).tobytes()
-    shares, copies = (table.column(c).to_numpy().astype(float).tobytes() for c in ("share", "copies"))
-    return pa.table({"block": table.column("block").slice(0, 1), "vecs": pa.array([flat], pa.large_binary()).cast(pa.binary()), "shares": [shares], "copies": [copies]})
+    rows = _matrix(table)
+    order = _piece_order(rows)
+    shares, copies = (table.column(c).to_numpy().astype(float)[order].tobytes() for c in ("share", "copies"))
+    flat = pa.array([rows[order].tobytes()], pa.large_binary()).cast(pa.binary())
+    return pa.table({"block": table.column("block").slice(0, 1), "vecs": flat, "shares": [shares], "copies": [copies]})
 
 
 def _block_sum(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> float:
     """Sum of all distances between the rows of a and b, times share of the one and copies of the other, both ways round."""
+    # Squares are taken around the middle of b, so that little cancels.
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
     na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
     ones = np.ones
     # One product gives the squares: |x|^2 + |y|^2 - 2xy.
@@ -161,24 +191,161 @@ def _block_sum(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, ca:
             sq = left[x] @ right[y].T
             # Near-coincident pairs are worked out again without cancellation.
             close = sq < (1e-4 * (na[x] + nb[y].max()))[:, None]
-            if close.any():
+            many = np.count_nonzero(close)
+            if many > close.size // 64:
+                sq[:] = 0.0
+                for p, q in zip(a[x].T, b[y].T, strict=True):
+                    d = p[:, None] - q[None, :]
+                    d *= d
+                    sq += d
+            elif many:
                 k, m = np.nonzero(close)
-                for lo in range(0, len(k), 65536):
-                    kk, mm = k[lo:lo + 65536], m[lo:lo + 65536]
-                    d = a[x][kk] - b[y][mm]
-                    sq[kk, mm] = (d * d).sum(axis=1)
+                d = a[x][k] - b[y][m]
+                sq[k, m] = (d * d).sum(axis=1)
             np.sqrt(sq, out=sq)
             total += sa[x] @ (sq @ cb[y]) + ca[x] @ (sq @ sb[y])
     return total
 
 
+def _from_one(row: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Distances of a row to all rows of a table that is given by its columns."""
+    sq = np.zeros(columns.shape[1])
+    for value, column in zip(row, columns, strict=True):
+        d = column - value
+        d *= d
+        sq += d
+    return np.sqrt(sq, out=sq)
+
+
+class _Block:
+    """A block's rows in the order of its pieces, with the box of each piece."""
+
+    def __init__(self, rows: np.ndarray, shares: np.ndarray, copies: np.ndarray) -> None:
+        self.rows, self.shares, self.copies = rows, shares, copies
+        self.columns = np.ascontiguousarray(rows.T)
+        self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self._box((0, len(rows)))
+
+    def _box(self, piece: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        halves = _halves(*piece)
+        if halves is None:
+            own = self.rows[slice(*piece)]
+            box = own.min(axis=0), own.max(axis=0)
+        else:
+            (low, high), (other_low, other_high) = (self._box(half) for half in halves)
+            box = np.minimum(low, other_low), np.maximum(high, other_high)
+        self.boxes[piece] = box
+        return box
+
+    def width(self, piece: tuple[int, int]) -> float:
+        low, high = self.boxes[piece]
+        return float(np.sqrt(((high - low) ** 2).sum()))
+
+
+def _term_sum(a: _Block, x: tuple[int, int], b: _Block, y: tuple[int, int], far: float) -> float | None:
+    """:func:`_block_sum` of two pieces that lie apart, or none if few terms do not give their distances.
+
+    Distances between far pieces are smooth, so a few rows and columns of their
+    table give all others (adaptive cross approximation, Bebendorf 2000): terms
+    are added until the next one is below ``TERM_SHARE`` of the largest distance
+    ``far``. Rows spread over the piece are then compared with their true distances.
+    """
+    own, other = slice(*x), slice(*y)
+    left, right = a.columns[:, own], b.columns[:, other]
+    rows, columns = a.rows[own], b.rows[other]
+    sa, ca, sb, cb = a.shares[own], a.copies[own], b.shares[other], b.copies[other]
+    most = min(MOST_TERMS, min(len(rows), len(columns)) // ROWS_PER_TERM)
+    u, v = np.empty((most, len(rows))), np.empty((most, len(columns)))
+    used, i, terms, small = np.zeros(len(rows), dtype=bool), len(rows) // 2, 0, 0
+    while small < 2:
+        used[i] = True
+        rest = _from_one(rows[i], right) - u[:terms, i] @ v[:terms]
+        j = int(np.abs(rest).argmax())
+        if abs(rest[j]) <= TERM_SHARE * far * 1e-2:  # this row is given already
+            small += 1
+            i = int(np.where(used, -1.0, (np.arange(len(rows)) * 7919 + 13) % len(rows)).argmax())
+            if used.all():
+                break
+            continue
+        if terms == most:
+            return None
+        v[terms] = rest / rest[j]
+        u[terms] = _from_one(columns[j], left) - v[:terms, j] @ u[:terms]
+        left_over = np.abs(u[terms])
+        terms += 1
+        if terms == most // 2 and left_over.max() > TERM_SHARE**0.5 * far:  # not half way: it would not end in time
+            return None
+        small = small + 1 if left_over.max() <= TERM_SHARE * far else 0
+        left_over[used] = -1.0
+        i = int(left_over.argmax())
+        if used[i]:
+            break
+    for k in np.linspace(0, len(rows) - 1, CHECKED_ROWS).astype(int):
+        if np.abs(_from_one(rows[k], right) - u[:terms, k] @ v[:terms]).max() > CHECK_SHARE * far:
+            return None
+    u, v = u[:terms], v[:terms]
+    return float((u @ sa) @ (v @ cb) + (u @ ca) @ (v @ sb))
+
+
+def _pieces_sum(a: _Block, b: _Block, same: bool) -> float:
+    """Sum of the distances of two blocks, or of a block to itself: far pieces by terms, near ones pair by pair."""
+    total, stack = 0.0, [((0, len(a.rows)), (0, len(b.rows)))]
+    while stack:
+        x, y = stack.pop()
+        halves, other_halves = _halves(*x), _halves(*y)
+        if same and x == y:
+            if halves is None:
+                own = slice(*x)
+                some = (a.rows[own], a.shares[own], a.copies[own])
+                total += _block_sum(some[0], some[0], some[1], some[1], some[2], some[2]) / 2
+            else:
+                stack += [(halves[0], halves[0]), (halves[1], halves[1]), halves]
+            continue
+        (low, high), (other_low, other_high) = a.boxes[x], b.boxes[y]
+        gap = np.sqrt((np.maximum(np.maximum(other_low - high, low - other_high), 0.0) ** 2).sum())
+        widths = a.width(x), b.width(y)
+        if gap > 0 and min(widths) <= gap and (x[1] - x[0]) * (y[1] - y[0]) > 4 * PIECE_ROWS**2:
+            found = _term_sum(a, x, b, y, float(gap + sum(widths)))
+            if found is not None:
+                total += found
+                continue
+        if halves and (widths[0] >= widths[1] or not other_halves):
+            stack += [(half, y) for half in halves]
+        elif other_halves:
+            stack += [(x, half) for half in other_halves]
+        else:
+            own, other = slice(*x), slice(*y)
+            total += _block_sum(a.rows[own], b.rows[other], a.shares[own], b.shares[other], a.copies[own], b.copies[other])
+    return total
+
+
+def _in_blocks(own: DataFrame, n: int, width: int) -> tuple[DataFrame, int]:
+    """Rows with a ``block`` of rows that lie together, of bounded size, and the number of blocks."""
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, BLOCK_BYTES // (8 * max(1, width)))
+    wanted = max(math.ceil(n / most), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n / TILE_ROWS)))
+    placed = cut_lineage(_placed(own, box_tree(own, n, wanted)))
+    # The tree comes from a sample: leaves that are larger than a block are dealt to several.
+    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * most)).cast("int").alias("parts")).collect()
+    first, blocks = {}, 0
+    for r in parts:
+        first[r["leaf"]] = blocks
+        blocks += r["parts"]
+    spread = own.sparkSession.createDataFrame([(r["leaf"], r["parts"], first[r["leaf"]]) for r in parts], "leaf int, parts int, first int")
+    block = F.col("first") + F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int")
+    return placed.join(spread, "leaf").select("vec", "copies", "share", block.alias("block")), blocks
+
+
 def mean_train_distance(train: DataFrame) -> float | None:
     """Mean over the ids of ``(id, vec)`` of an id's mean distance to all other rows.
 
-    The mean needs every pair of different rows; equal rows are one, with their
-    number. Different rows are packed into blocks of bounded size, written once, and
-    every two blocks meet in a task that hands on one number: what is written
-    grows with the rows, not with the pairs.
+    The mean takes in every pair of different rows; equal rows are one, with their
+    number. Different rows are packed into blocks of bounded size that lie together,
+    written once, and every two blocks meet in a task that hands on one number.
+    Within it, near pieces of blocks are worked out pair by pair; the distances of
+    far ones follow from few rows and columns of their table, to ten digits and
+    more. So the time grows with the pairs of near rows, not with all pairs,
+    unless the variables that weigh are many.
     """
     own = with_group_count(train.select("id", "vec"), ["id"], "of_id").groupBy("vec").agg(
         F.count(F.lit(1)).alias("copies"), F.sum(1.0 / F.col("of_id")).alias("share")
@@ -187,10 +354,7 @@ def mean_train_distance(train: DataFrame) -> float | None:
     size = own.agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.sum("share").alias("ids"), F.max(F.size("vec")).alias("width")).first()
     if not size["rows"] or size["rows"] < 2:
         return None
-    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = size["n"]
-    blocks = max(math.ceil(8 * size["width"] * n / BLOCK_BYTES), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n / TILE_ROWS)))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int"))
+    dealt, blocks = _in_blocks(own, size["n"], size["width"])
     packed = cut_lineage(dealt.groupBy("block").applyInArrow(_packed_block, "block int, vecs binary, shares binary, copies binary"))
     left, right = (packed.repartitionByRange(blocks, "block").select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
     # Every pair of partitions is a task that reads both; nothing is copied to files for it, and no side is broadcast.
@@ -200,11 +364,10 @@ def mean_train_distance(train: DataFrame) -> float | None:
         for batch in batches:
             for k in range(batch.num_rows):
                 get = lambda c, k=k, batch=batch: np.frombuffer(batch.column(c)[k].as_buffer(), dtype=float)
-                a, b = (get(f"{s}_copies") for s in "ab")
-                va, vb = get("a_vecs").reshape(len(a), -1), get("b_vecs").reshape(len(b), -1)
-                found = _block_sum(va, vb, get("a_shares"), get("b_shares"), a, b)
+                copies = [get(f"{s}_copies") for s in "ab"]
+                a, b = (_Block(get(f"{s}_vecs").reshape(len(c), -1), get(f"{s}_shares"), c) for s, c in zip("ab", copies, strict=True))
                 same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([found / 2 if same else found])], names=["total"])
+                yield pa.RecordBatch.from_arrays([pa.array([_pieces_sum(a, b, same)])], names=["total"])
 
     summed = met.mapInArrow(total, "total double").agg(F.sum("total")).first()[0]
     return summed / ((size["rows"] - 1) * size["ids"])
@@ -285,9 +448,9 @@ class BoxTree:
         return row[order], leaf[order], gap[order]
 
 
-def box_tree(train: DataFrame, n: int) -> BoxTree:
+def box_tree(train: DataFrame, n: int, leaves: int | None = None) -> BoxTree:
     """Tree over the rows' ``vec``; a bounded sample of rows and the leaves' boxes come to the driver."""
-    leaves = min(MOST_LEAVES, max(1, math.ceil(n / LEAF_ROWS)))
+    leaves = min(MOST_LEAVES, leaves or max(1, math.ceil(n / LEAF_ROWS)))
     wanted = SAMPLE_PER_LEAF * leaves
     # A draw by hash, so that a lost executor draws the same rows again.
     drawn = train.where(F.pmod(F.xxhash64(F.lit(3), "vec"), F.lit(1 << 30)) < F.lit(min(1 << 30, int(2.0 * wanted / max(n, 1) * (1 << 30)) + 1)))

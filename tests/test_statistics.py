@@ -275,6 +275,31 @@ def test_train_against_itself_is_inside(spark):
     assert (got.di == 0).all() and (got.aoa == 1).all()
 
 
+def test_far_pieces_are_not_worked_out_pair_by_pair(monkeypatch):
+    """Most pairs of rows lie far apart: their distances come from few terms, and the sum is that of all pairs."""
+    rng = np.random.default_rng(5)
+    rows = np.column_stack([rng.normal(size=24_000), 1e-4 * rng.random(24_000), 1e-4 * rng.integers(0, 2, 24_000)])
+    rows = rows[aoa._piece_order(rows)]
+    shares, copies = rng.random(len(rows)), rng.integers(1, 4, len(rows)).astype(float)
+    direct, pairs = aoa._block_sum, []
+    whole = direct(rows, rows, shares, shares, copies, copies) / 2
+    monkeypatch.setattr(aoa, "_block_sum", lambda a, b, *rest: pairs.append(len(a) * len(b)) or direct(a, b, *rest))
+    block = aoa._Block(rows, shares, copies)
+    assert aoa._pieces_sum(block, block, True) == pytest.approx(whole, rel=1e-10)
+    assert sum(pairs) < len(rows) ** 2 / 4
+    cut = [aoa._Block(rows[s], shares[s], copies[s]) for s in (slice(0, 9_000), slice(9_000, None))]
+    parts = [aoa._pieces_sum(cut[i], cut[j], i == j) for i, j in ((0, 0), (0, 1), (1, 1))]
+    assert sum(parts) == pytest.approx(whole, rel=1e-10)
+
+
+def test_pieces_whose_distances_need_many_terms_are_worked_out_in_full():
+    rng = np.random.default_rng(6)
+    left, right = rng.random((4_000, 12)), rng.random((4_000, 12)) + 1.5
+    a, b = (aoa._Block(x[aoa._piece_order(x)], np.ones(len(x)), np.ones(len(x))) for x in (left, right))
+    want = aoa._block_sum(a.rows, b.rows, a.shares, b.shares, a.copies, b.copies)
+    assert aoa._pieces_sum(a, b, False) == pytest.approx(want, rel=1e-10)
+
+
 def test_applicability_refuses_bad_input(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 1.0)], "id long, x double")
     with pytest.raises(ValueError):
