@@ -21,6 +21,8 @@ COUNT_OF_BITS = np.searchsorted(POISSON_ONE, (np.arange(2**LANE_BITS) + 0.5) / 2
 # Replicates held at once per batch, and groups held per task before handing sums on.
 CHUNK = 126
 HELD_GROUPS = 64
+# Rows whose draws are made at once, and mean rows of a group from which on its rows are summed by products.
+SUM_ROWS, LONG_GROUP = 1024, 64
 
 
 def _counts(row_hash: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
@@ -42,6 +44,48 @@ def _counts(row_hash: np.ndarray, first: int, last: int, seed: int) -> np.ndarra
     return out.reshape(len(row_hash), -1)[:, : last - first]
 
 
+def _replicate_sums(row_hash: np.ndarray, x: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Sums of the weights and of weight times value for each replicate, over a group's rows, with the weights of :func:`_counts`.
+
+    Few rows at a time stay in the processor's cache; a product sums them.
+    """
+    words = np.arange(-(-replicates // LANES), dtype=np.uint64)
+    step, mask = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**LANE_BITS - 1)
+    with np.errstate(over="ignore"):
+        salt = (words + np.uint64(1)) * step + np.uint64(seed) * step
+    sums = np.zeros((2, len(words), LANES))
+    for lo in range(0, len(x), SUM_ROWS):
+        own = np.stack([np.ones(len(x[lo : lo + SUM_ROWS])), x[lo : lo + SUM_ROWS]])
+        for w0 in range(0, len(words), CHUNK // LANES):
+            mixed = row_hash[lo : lo + SUM_ROWS, None] ^ salt[None, w0 : w0 + CHUNK // LANES]
+            bits = mixed >> np.uint64(30)
+            with np.errstate(over="ignore"):
+                mixed ^= bits
+                mixed *= np.uint64(0xBF58476D1CE4E5B9)
+                np.right_shift(mixed, np.uint64(27), out=bits)
+                mixed ^= bits
+                mixed *= np.uint64(0x94D049BB133111EB)
+            np.right_shift(mixed, np.uint64(31), out=bits)
+            mixed ^= bits
+            for lane in range(LANES):
+                np.right_shift(mixed, np.uint64(lane * LANE_BITS), out=bits)
+                bits &= mask
+                counts = COUNT_OF_BITS.take(bits.view(np.int64), mode="clip").astype(float)
+                sums[:, w0 : w0 + CHUNK // LANES, lane] += own @ counts
+    return sums.reshape(2, -1)[:, :replicates]
+
+
+def _short_group_sums(row_hash: np.ndarray, x: np.ndarray, starts: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """:func:`_replicate_sums` of several groups of few rows, which begin at ``starts``: groups x 2 x replicates."""
+    sums = np.empty((len(starts), 2, replicates))
+    for lo in range(0, replicates, CHUNK):
+        hi = min(lo + CHUNK, replicates)
+        w = _counts(row_hash, lo, hi, seed).astype(float)
+        sums[:, 0, lo:hi] = np.add.reduceat(w, starts, axis=0)
+        sums[:, 1, lo:hi] = np.add.reduceat(w * x[:, None], starts, axis=0)
+    return sums
+
+
 def _accumulator(replicates: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -69,18 +113,12 @@ def _accumulator(replicates: int, seed: int):
             # A few groups at a time, so that the sums held follow the replicates alone.
             for g0 in range(0, len(starts), HELD_GROUPS):
                 first, last = starts[g0 : g0 + HELD_GROUPS], ends[g0 : g0 + HELD_GROUPS]
-                row0, row1 = first[0], last[-1]
-                w_all, wx_all = np.empty((2, len(first), replicates))
-                for lo in range(0, replicates, CHUNK):
-                    hi = min(lo + CHUNK, replicates)
-                    w = _counts(h[row0:row1], lo, hi, seed).astype(float)
-                    w_all[:, lo:hi] = np.add.reduceat(w, first - row0, axis=0)
-                    wx_all[:, lo:hi] = np.add.reduceat(w * x[row0:row1, None], first - row0, axis=0)
-                for i, g in enumerate(labels[first]):
-                    if g in held:
-                        held[g] = (held[g][0] + w_all[i], held[g][1] + wx_all[i])
-                    else:
-                        held[g] = (w_all[i], wx_all[i])
+                if last[-1] - first[0] >= LONG_GROUP * len(first):
+                    sums = [_replicate_sums(h[lo:hi], x[lo:hi], replicates, seed) for lo, hi in zip(first, last, strict=True)]
+                else:
+                    sums = _short_group_sums(h[first[0] : last[-1]], x[first[0] : last[-1]], first - first[0], replicates, seed)
+                for g, own in zip(labels[first], sums, strict=True):
+                    held[g] = held[g] + own if g in held else own
                     if len(held) >= HELD_GROUPS:
                         yield flush()
         if held:

@@ -332,6 +332,28 @@ def test_bootstrap_is_stable_and_sensible(spark):
     assert len(every) == 1 and every.n[0] == 800
 
 
+def test_replicate_sums_of_long_and_short_groups_agree():
+    """The draws of a row are the same whichever way its group is summed, over row pieces and incomplete lanes too."""
+    rng = np.random.default_rng(8)
+    h, x = rng.integers(0, 2**63, 2_500).astype(np.uint64), rng.normal(size=2_500)
+    for replicates in (1, 7, 126, 200):
+        w = bs._counts(h, 0, replicates, 5).astype(float)
+        want = np.stack([w.sum(axis=0), (w * x[:, None]).sum(axis=0)])
+        assert bs._replicate_sums(h, x, replicates, 5) == pytest.approx(want, rel=1e-9, abs=1e-9)
+        short = bs._short_group_sums(h, x, np.array([0, 900, 901]), replicates, 5)
+        assert short.sum(axis=0) == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_long_groups_are_summed_without_a_table_of_draws(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a table of rows x replicates")
+
+    monkeypatch.setattr(bs, "_counts", refuse)
+    batch = pd.DataFrame({"grp": ["=a"] * 300 + ["=b"] * 200, "h": np.arange(500), "x": np.ones(500)})
+    out = pd.concat(bs._accumulator(50, 1)(iter([batch, batch])))
+    assert list(out["grp"]) == ["=a", "=b"] and all((w == wx).all() for w, wx in zip(out["w"], out["wx"]))
+
+
 def test_replicate_weights_are_poisson():
     h = np.arange(40000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     w = bs._counts(h, 0, 12, 5)
