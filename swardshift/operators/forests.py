@@ -133,7 +133,8 @@ def fit_forest(
         featureSubsetStrategy=str(mtry or default_mtry(len(numeric) + len(text))),
         seed=seed,
         bootstrap=bootstrap,
-        cacheNodeIds=False,
+        # Rows keep the node they are in, so a level does not walk them down from the root again.
+        cacheNodeIds=True,
         maxMemoryInMB=1024,
     )
     if weight:

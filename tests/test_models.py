@@ -108,3 +108,8 @@ def test_partial_dependence_without_complete_rows(spark, sites):
     forest = fo.fit_forest(sites, "obs", NUM, TXT, **SMALL)
     empty = fo.partial_dependence(forest, sites.withColumn("clay", F.lit(None).cast("double")), ["clay", "soil"], 5)
     assert empty.columns == ["name", "point", "value", "level", "yhat"] and empty.isEmpty()
+
+
+def test_trees_do_not_walk_from_the_root_at_each_level(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i)) for i in range(60)], "x double, y double")
+    assert fo.fit_forest(df, "y", ["x"], trees=2, depth=3).model.getCacheNodeIds()
