@@ -113,3 +113,21 @@ def test_partial_dependence_without_complete_rows(spark, sites):
 def test_trees_do_not_walk_from_the_root_at_each_level(spark):
     df = spark.createDataFrame([(float(i % 7), float(i)) for i in range(60)], "x double, y double")
     assert fo.fit_forest(df, "y", ["x"], trees=2, depth=3).model.getCacheNodeIds()
+
+
+def test_model_quality_joins_its_table_once(spark, monkeypatch):
+    """What the fits, the ranking and the metrics read is a written table, not the join."""
+    from verification import models
+
+    class Seen(Exception):
+        pass
+
+    def fit(rows, *_, **__):
+        raise Seen(rows.inputFiles())
+
+    joined = spark.createDataFrame([(1, 2.0)], "o_orderkey long, price double")
+    monkeypatch.setattr(models, "order_table", lambda *_: joined)
+    monkeypatch.setattr(models, "fit_forest", fit)
+    with pytest.raises(Seen) as seen:
+        models.model_quality(spark, "nowhere")
+    assert seen.value.args[0]

@@ -23,6 +23,7 @@ from swardshift.operators.forests import (
 )
 from swardshift.operators.profile import regression_metrics
 from swardshift.plans.transfer import effect_rows, explain_effects, transfer_direction, transfer_effects
+from swardshift.session import cut_lineage
 from swardshift.stages import shared_folder
 from swardshift.operators.bootstrap import bootstrap_mean_ci
 
@@ -162,7 +163,8 @@ def kfold_rows(spark, sf):
 )
 def model_quality(spark, sf):
     """Price follows quantity: the forest explains most of it and ranks quantity first."""
-    rows = order_table(spark, sf)
+    # Read by the fits, the ranking and the metrics: joined once.
+    rows = cut_lineage(order_table(spark, sf))
     forest = fit_forest(rows, "price", NUMERIC, TEXT, **SIZE)
     top = permutation_importance(forest, rows, "o_orderkey").orderBy(F.desc("value")).first()["name"]
     fit = regression_metrics(forest.predict(rows), "price", "pred").select(F.lit("fit").alias("what"), "r2")
