@@ -30,7 +30,7 @@ from .joins import beside_each
 from .ordering import top_k
 
 DEPTH = 24
-STEP = 2
+STEP = 1
 LEAF_LOCATIONS = 64
 CUBE = ["lev", "cx", "cy", "cz"]
 BOX = ["x0", "x1", "y0", "y1", "z0", "z1"]
@@ -168,13 +168,15 @@ def nearest_other_class(
 
     leaf = ["cls", *CUBE]
     queries_at = placed.select(*[F.col(c).alias("q" + c) for c in leaf], "lon", "lat")
-    refs_at = placed.select(
-        *[F.col(c).alias("r" + c) for c in leaf], F.col("lon").alias("lon"), F.col("lat").alias("lat"), F.explode("ids").alias("id")
+    # A leaf's partners are one list, so what is shuffled and sorted is a row for each pair of leaves.
+    refs_at = (
+        placed.select(*[F.col(c).alias("r" + c) for c in leaf], "lon", "lat", F.explode("ids").alias("id"))
+        .groupBy(*["r" + c for c in leaf]).agg(F.collect_list(F.struct("lon", "lat", "id")).alias("held"))
     )
     # One copy of the partners per query leaf, not per query point.
     partners = pairs.select(*["q" + c for c in leaf], *["r" + c for c in leaf]).join(
         refs_at, ["r" + c for c in leaf]
-    ).select(*[F.col("q" + c).alias("p" + c) for c in leaf], "rcls", "lon", "lat", "id")
+    ).select(*[F.col("q" + c).alias("p" + c) for c in leaf], "rcls", "held")
     types = {f: points.schema[c].dataType.simpleString() for f, c in (("cls", cls), ("id", id))}
     return (
         queries_at.groupBy(*["q" + c for c in leaf])
@@ -199,12 +201,15 @@ def _nearest_in_leaf(k: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lon, lat = (np.radians(left.column(c).to_numpy()) for c in ("lon", "lat"))
-        ids = right.column("id").combine_chunks()
+        lists = right.column("held").combine_chunks()
+        held = lists.flatten()
+        ids = held.field("id")
         # Position of each partner in id order: the tie-break, whatever type ids have.
         place = np.empty(len(ids), dtype=np.int64)
         place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        rlon, rlat = (np.radians(right.column(c).to_numpy()) for c in ("lon", "lat"))
-        codes = pc.dictionary_encode(right.column("rcls").combine_chunks())
+        rlon, rlat = (np.radians(held.field(c).to_numpy()) for c in ("lon", "lat"))
+        rcls = right.column("rcls").combine_chunks().take(pc.list_parent_indices(lists))
+        codes = pc.dictionary_encode(rcls)
         of_class = codes.indices.to_numpy(zero_copy_only=False)
         own, other = vectors(lon, lat), vectors(rlon, rlat)
         found = []
@@ -235,8 +240,8 @@ def _nearest_in_leaf(k: int):
                 "cls": left.column("qcls").take(q),
                 "lon": left.column("lon").take(q),
                 "lat": left.column("lat").take(q),
-                "partner_cls": right.column("rcls").take(p),
-                "partner_id": right.column("id").take(p),
+                "partner_cls": rcls.take(p),
+                "partner_id": ids.take(p),
                 "dist_m": d,
                 "rank": rank,
             }

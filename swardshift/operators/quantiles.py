@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strict import nan_to_null
+from ..session import cut_lineage
 from .joins import null_safe_inner, null_safe_left
 from .ordering import running_total
 
@@ -24,8 +25,20 @@ def exact_quantiles(
     statistics (infinities, say) the quantile is that value.
     """
     groups = list(groups)
-    clean = df.select(*groups, nan_to_null(F.col(value).cast("double")).alias(value)).where(F.col(value).isNotNull())
-    counts = clean.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = _value_counts(df, groups, value).where(F.col(value).isNotNull())
+    return _quantiles_of_counts(counts, groups, value, probs, names)
+
+
+def _value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, value, __n): rows of each distinct value, missing ones as NULL."""
+    clean = df.select(*groups, nan_to_null(F.col(value).cast("double")).alias(value))
+    return clean.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _quantiles_of_counts(
+    counts: DataFrame, groups: list[str], value: str, probs: Sequence[float], names: Sequence[str] | None
+) -> DataFrame:
+    """Quantiles from the counts of a group's distinct values."""
     ranked = running_total(counts, groups, [value], F.col("__n"), "__upto")
     # The running count ends at the group's size.
     totals = ranked.groupBy(*groups).agg(F.max("__upto").alias("__total"))
@@ -68,11 +81,15 @@ def strict_medians(
 
 
 def strict_quantile(df: DataFrame, groups: Sequence[str], value: str, prob: float, name: str) -> DataFrame:
-    """As :func:`exact_quantiles`, but NULL for a group with any missing value."""
+    """As :func:`exact_quantiles`, but NULL for a group with any missing value.
+
+    The rows are read once: both which groups are complete and the quantiles
+    follow from the counts of the distinct values.
+    """
     groups = list(groups)
-    v = nan_to_null(F.col(value).cast("double"))
-    complete = df.groupBy(*groups).agg((F.count(v) == F.count(F.lit(1))).alias("__complete"))
-    q = exact_quantiles(df, groups, value, [prob], ["__q"])
+    counts = cut_lineage(_value_counts(df, groups, value))
+    complete = counts.groupBy(*groups).agg((F.count(value) == F.count(F.lit(1))).alias("__complete"))
+    q = _quantiles_of_counts(counts.where(F.col(value).isNotNull()), groups, value, [prob], ["__q"])
     if not groups:
         return q.select(F.when(complete.scalar(), F.col("__q")).alias(name))
     return null_safe_left(complete, q, groups).select(*groups, F.when(F.col("__complete"), F.col("__q")).alias(name))

@@ -244,6 +244,29 @@ def test_neighbour_features_are_strict(spark):
     assert got[1]["median_dist"] == pytest.approx(6371010 * math.radians(0.15), abs=0.01)
 
 
+def test_leaves_meet_lists_of_partners(spark, monkeypatch):
+    """What a leaf is given is a row for each partner leaf, not for each partner; leaves hold more than a few points."""
+    rng = random.Random(3)
+    pts = [(i, rng.uniform(0, 30), rng.uniform(30, 50), "ab"[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(pts, "id long, lon double, lat double, cls string")
+    leaves, given = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    real = nb._nearest_in_leaf
+
+    def counted(k):
+        run = real(k)
+
+        def nearest(left, right):
+            leaves.add(1)
+            given.add(right.num_rows)
+            return run(left, right)
+
+        return nearest
+
+    monkeypatch.setattr(nb, "_nearest_in_leaf", counted)
+    assert len(nb.nearest_other_class(df, 5, "id", "lon", "lat", "cls").collect()) == 5 * len(pts)
+    assert leaves.value < len(pts) / 8 and given.value < 20 * leaves.value
+
+
 def test_no_product_of_all_pairs_in_plans(spark):
     edges = spark.createDataFrame(ring("AA", [(0, 0), (1, 0), (1, 1)]), EDGE)
     points = spark.createDataFrame([(1, 0.5, 0.2)], "id long, lon double, lat double")

@@ -31,6 +31,24 @@ def test_quantiles_both_ways(spark):
     assert strict[0] == ("cold", None) and strict[1][1] == pytest.approx(np.median(hot))
 
 
+def test_strict_quantiles_read_rows_once(spark):
+    """What lies before the rows, a join of neighbours say, is worked out once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    data = [("a", float(k % 7)) for k in range(200)] + [("b", None), ("b", 1.0), (None, 2.0), (None, 4.0), ("c", float("nan"))]
+    df = spark.createDataFrame(data, "g string, x double").mapInArrow(passed, "g string, x double")
+    assert rows(qu.strict_quantile(df, ["g"], "x", 0.5, "m")) == [("a", 3.0), ("b", None), ("c", None), (None, 3.0)]
+    assert seen.value == len(data)
+    assert qu.strict_quantile(df.where("g = 'a'"), [], "x", 0.5, "m").first()["m"] == 3.0
+    assert qu.strict_quantile(df, [], "x", 0.5, "m").first()["m"] is None
+    assert qu.strict_quantile(df.where("g = 'z'"), [], "x", 0.5, "m").first()["m"] is None
+
+
 def test_profile_counts_missing_and_levels(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), "a"), (None, "b"), (4.0, None)], "x double, s string")
     p = {r["name"]: r for r in pr.profile_columns(df, robust=True).collect()}
