@@ -29,6 +29,8 @@ TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 MOST_BITS = 1 << 28
 #: Shingles of a component that a task holds.
 MERGED_TOKENS = 1 << 22
+#: Shingles whose frequencies every task knows, at most (4 MB).
+MOST_FREQUENT = 1 << 18
 #: Sets that a region may hold before its prefix is deepened.
 REGION = 32
 _SALT = np.uint64(0x632BE59BD9B4E019)
@@ -228,57 +230,89 @@ def _component_tokens(own: DataFrame) -> DataFrame:
     return own.sortWithinPartitions("component").select("component", "shingles").mapInArrow(merge, schema)
 
 
-def _likely_tokens(own: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, n, component, token) of the shingles that a filter of bounded size takes for wanted ones; it passes all that are."""
-    bits, size = _filter_bits(wanted, F.col("token"))
-    schema = T.StructType([own.schema["rep"], own.schema["n"], own.schema["component"], T.StructField("token", T.LongType())])
+def _frequent(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of (token, df), sorted, and their frequencies: all from that power of two on which leaves at most ``MOST_FREQUENT``."""
+    power = F.floor(F.log2("df")).cast("int")
+    left, least = MOST_FREQUENT, None
+    for r in sorted(df.groupBy(power.alias("power")).count().collect(), reverse=True):  # a row for each power of two
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["power"]
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = df.where(power >= least).select("token", "df").toArrow()
+    token, often = (found.column(c).to_numpy() for c in ("token", "df"))
+    order = np.argsort(token)
+    return token[order], often[order]
+
+
+def _rarest_shared(own: DataFrame, df: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, component, c, pos, token): the rarest of each set's shingles that others may share, c in all, by place.
+
+    Of the c shingles that a filter of bounded size takes for those in ``df``
+    (it passes all that are), a partner at the similarity shares
+    ``ceil(share * n)`` or more, so one of the first ``c - ceil(share * n) + 1``
+    in an order that is the same for all sets: frequent ones last, by their
+    frequency, then by value. Only these become rows.
+    """
+    bits, size = _filter_bits(df, F.col("token"))
+    known, often = _frequent(df)
+    schema = T.StructType([
+        own.schema["rep"], own.schema["n"], own.schema["component"], T.StructField("c", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("token", T.LongType()),
+    ])
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            token = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            place = token & (size - 1)
-            through = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
-            take = pa.array(row[through])
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(3)], pa.array(token[through])], names=schema.names)
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in range(0, whole.num_rows, 256):
+                batch = whole.slice(part, 256)
+                lists = batch.column(3)
+                token = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                place = token & (size - 1)
+                through = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+                token, row = token[through], row[through]
+                df_of = np.zeros(len(token), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                    df_of = np.where(known[at] == token, often[at], 0)
+                order = np.lexsort((token, df_of, row))
+                token, row = token[order], row[order]
+                c = np.bincount(row, minlength=len(lists))
+                pos = np.arange(len(row)) - (np.cumsum(c) - c)[row]
+                least = -(-percent * batch.column(1).to_numpy() // 100)
+                first = np.flatnonzero(pos < (c - least + 1)[row])
+                take = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(take) for k in range(3)], pa.array(c[row[first]]), pa.array(pos[first].astype(np.int32)), pa.array(token[first])],
+                    names=schema.names,
+                )
 
-    return own.select("rep", "n", "component", "shingles").mapInArrow(likely, schema)
+    return own.select("rep", "n", "component", "shingles").mapInArrow(rarest, schema)
 
 
 def _rare_pairs(sets: DataFrame, crowded: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs of crowded sets in different components that may reach the similarity. Exact: none is left out.
 
     Only shingles that two components hold can be shared between them. They are
-    found from the shingles of whole components, of which copies have few; a set
-    of which too few shingles are in its component's shared ones has no partner.
-    Of the others, a pair at the similarity shares one of each set's
-    ``n - ceil(share * n) + 1`` rarest shingles. The number of shareable shingles
-    bounds the similarity of a set with any partner of a given size, so a set only
-    looks into the size classes that it can reach; and the place of a shared
-    shingle in both orders bounds what can still be shared.
+    found from the shingles of whole components, of which copies have few. A pair
+    at the similarity shares one of each set's ``c - ceil(share * n) + 1`` rarest
+    ones, c being how many of its n shingles can be shared; a set with fewer than
+    ``share * n`` has no partner. Tasks pick them from whole sets, so only the
+    rarest become rows. The number of shareable shingles bounds the similarity of
+    a set with any partner of a given size, so a set only looks into the size
+    classes that it can reach; and the place of a shared shingle in both orders
+    bounds what can still be shared.
     """
     named = comps.select(F.col("node").alias("rep"), "component")
     own = sets.join(crowded, "rep", "left_semi").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     own = write_stage(own.repartitionByRange("component", "rep"), "crowded-sets")
-    held = write_stage(_component_tokens(own).distinct(), "component-shingles")
     df = (
-        held.groupBy("token")
+        _component_tokens(own).distinct().groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lead"), F.max("component").alias("last"))
         .where("lead <> last").select("token", "df", "lead")
     )
     df = write_stage(df, "shared-shingles")
-    reach = held.join(df, "token").groupBy("component").agg(F.count(F.lit(1)).alias("held"))
-    hopeful = own.join(reach, "component").where(100 * F.col("held") >= percent * F.col("n"))
-    shared = _likely_tokens(hopeful, df).join(df, "token")
-    least = F.expr(f"CAST(ceil({percent} * n / 100.0D) AS BIGINT)")
-    per_set = (
-        shared.groupBy("rep", "n", "component")
-        .agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.struct("df", "token", "lead"))).alias("s"))
-        .withColumn("take", F.col("c") - least + 1).where("take > 0")
-        .select("rep", "n", "component", "c", F.expr("posexplode(slice(s, 1, CAST(take AS INT))) AS (pos, x)"))
-        .select("rep", "n", "component", "c", "pos", "x.token", "x.lead")
-    )
+    per_set = _rarest_shared(own, df, percent).join(df.select("token", "lead"), "token")
     placed = write_stage(per_set.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(1.03))).cast("int")), "rare")
     # Of two sets of different components at least one is not of a shingle's lead component.
     probes = placed.where("component <> lead").drop("lead")

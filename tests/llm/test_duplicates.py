@@ -70,6 +70,43 @@ def test_forest_finds_all_components(spark):
     assert got == {k: (c, n, c == k) for k, (c, n) in enumerate(zip(comps, sizes, strict=True))}
 
 
+def test_only_the_rarest_shared_shingles_become_rows(spark, monkeypatch):
+    """80 sets of 250 shingles share 200: a partner shares one of the few rarest, whether frequencies are known or not."""
+    rng = random.Random(6)
+    shared = {rng.getrandbits(62): 80 for _ in range(190)} | {rng.getrandbits(62): 3 for _ in range(10)}
+    sets = [(k, 250, k // 2, sorted([*shared, *(rng.getrandbits(62) for _ in range(50))])) for k in range(80)]
+    sets.append((80, 100, 80, sorted([*list(shared)[:40], *(rng.getrandbits(62) for _ in range(60))])))  # shares too little
+    own = spark.createDataFrame(sets, "rep long, n long, component long, shingles array<long>").repartition(3)
+    df = spark.createDataFrame(list(shared.items()), "token long, df long")
+    for most in (1 << 18, 12, 0):
+        monkeypatch.setattr(lsh_forest, "MOST_FREQUENT", most)
+        found = defaultdict(list)
+        for r in lsh_forest._rarest_shared(own, df, 80).collect():
+            found[r["rep"]].append((r["pos"], r["token"], r["c"]))
+        assert set(found) == set(range(80))
+        for k, rare in found.items():
+            c = rare[0][2]
+            assert 200 <= c < 210 and [p for p, _, _ in sorted(rare)] == list(range(c - 199))
+            passed = [t for _, t, _ in sorted(rare)]
+            if most == 1 << 18:  # shingles of no known frequency come first
+                least = min((v, t) for t, v in shared.items())[1]
+                assert passed[-1] == least
+
+
+def test_forest_is_exact_without_frequencies(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(80)]
+    base = passage + [f"w{rng.randrange(4000)}" for _ in range(60)]
+    texts = [" ".join(edited(rng, base, rng.randint(0, 9))) for _ in range(90)]
+    texts += [" ".join(passage + [f"v{rng.randrange(4000)}" for _ in range(rng.randint(2, 60))]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    comps, _ = brute_components(texts, 85)
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(lsh_forest, "MOST_FREQUENT", most)
+        got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(docs, percent=85, region=4).collect()}
+        assert got == dict(enumerate(comps))
+
+
 def test_forest_on_awkward_tables(spark):
     rows = by_row(lsh_forest.near_duplicates(documents(spark)), "doc_id", "component_id", "kept")
     assert len(rows) == len(ROWS)
