@@ -29,10 +29,14 @@ BLOCK_BYTES = 1 << 22
 PIECE_ROWS, MOST_TERMS, ROWS_PER_TERM = 1024, 200, 64
 #: The terms end at this share of the pieces' distance; rows of a piece that are checked against what the terms give, and what they may differ by.
 TERM_SHARE, CHECKED_ROWS, CHECK_SHARE = 1e-10, 16, 1e-9
+#: Rows lie on planes where all but at most so many variables have few values each: most values, and most planes. Most numbers that stand for all planes' rows, nodes of a plane, and nodes along a variable.
+FREE_VARIABLES, LEVEL_VALUES, MOST_PLANES, MOST_MOMENTS, MOST_NODES, MOST_ALONG = 2, 64, 2048, 1 << 23, 1 << 13, 1 << 10
+#: What a number interpolated between planes may be off, as a share of the largest distance; seconds of a pair of rows, and of a multiplication in a product of matrices.
+NODE_SHARE, PAIR_S, PRODUCT_S = 1e-12, 1e-8, 2e-10
 #: Training rows that a leaf of the tree aims at, leaves (larger tables have larger leaves), and rows sampled for each.
 LEAF_ROWS, MOST_LEAVES, SAMPLE_PER_LEAF = 1024, 4096, 16
-#: Tasks that look for nearest rows; beyond that a task takes several cells one after the other.
-MOST_TASKS = 10_000
+#: Tasks that look for nearest rows; beyond that a task takes several cells one after the other, as where they hold fewer pairs.
+MOST_TASKS, TASK_PAIRS = 10_000, 1 << 27
 
 
 def importance_weights(
@@ -336,16 +340,272 @@ def _in_blocks(own: DataFrame, n: int, width: int) -> tuple[DataFrame, int]:
     return placed.join(spread, "leaf").select("vec", "copies", "share", block.alias("block")), blocks
 
 
+def _sum_by_blocks(own: DataFrame, n: int, width: int) -> float:
+    """Sum of the distances of all pairs: rows are packed into blocks, and every two blocks meet in a task."""
+    dealt, blocks = _in_blocks(own, n, width)
+    packed = cut_lineage(dealt.groupBy("block").applyInArrow(_packed_block, "block int, vecs binary, shares binary, copies binary"))
+    left, right = (packed.repartitionByRange(blocks, "block").select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
+    # Every pair of partitions is a task that reads both; nothing is copied to files for it, and no side is broadcast.
+    met = left.hint("shuffle_replicate_nl").join(right.hint("shuffle_replicate_nl"), F.col("a_block") <= F.col("b_block"))
+    return met.withColumn("apart", F.lit(0.0)).mapInArrow(_met_blocks, "total double").agg(F.sum("total")).first()[0]
+
+
+def _met_blocks(batches):
+    """The sum of each pair of blocks; ``apart`` is a distance that all their rows have besides, at right angles."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            get = lambda c, k=k, batch=batch: np.frombuffer(batch.column(c)[k].as_buffer(), dtype=float)
+            copies = [get(f"{s}_copies") for s in "ab"]
+            rows = [get(f"{s}_vecs").reshape(len(c), -1) for s, c in zip("ab", copies, strict=True)]
+            if apart := batch.column("apart")[k].as_py():
+                rows = [np.column_stack([x, np.full(len(x), end)]) for x, end in zip(rows, (0.0, apart), strict=True)]
+            a, b = (_Block(x, get(f"{s}_shares"), c) for s, x, c in zip("ab", rows, copies, strict=True))
+            same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([_pieces_sum(a, b, same)])], names=["total"])
+
+
+def _bernstein(apart: float, half: float) -> int:
+    """Chebyshev nodes on an interval of a half-width for a function whose nearest singularity lies ``apart`` beside it."""
+    if half <= 0:
+        return 1
+    rho = apart / half + math.sqrt(1.0 + (apart / half) ** 2)
+    return max(2, math.ceil((math.log(1.0 / NODE_SHARE) + math.log(4.0 / (rho - 1.0))) / math.log(rho)))
+
+
+class _Nodes:
+    """Chebyshev nodes of an interval, and the shares that a place between them takes of each."""
+
+    def __init__(self, lo: float, hi: float, n: int) -> None:
+        self.middle, self.half, self.n = (lo + hi) / 2, (hi - lo) / 2, n
+        angle = (2 * np.arange(n) + 1) * math.pi / (2 * n)
+        self.at = self.middle + self.half * np.cos(angle)
+        # From Chebyshev sums to the nodes' shares.
+        self.shares_of = 2.0 / n * np.cos(angle[:, None] * np.arange(n)[None, :])
+        self.shares_of[:, 0] /= 2.0
+
+    def polynomials(self, x: np.ndarray) -> np.ndarray:
+        """T_k at each place, a row for each k."""
+        t = np.clip((x - self.middle) / self.half if self.half else np.zeros(len(x)), -1.0, 1.0)
+        out = np.ones((self.n, len(x)))
+        if self.n > 1:
+            out[1] = t
+        for k in range(2, self.n):
+            np.multiply(out[k - 1], 2.0 * t, out=out[k])
+            out[k] -= out[k - 2]
+        return out
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        return self.shares_of @ self.polynomials(x)
+
+
+class _Planes:
+    """Which rows' distances are interpolated: those of rows on planes that lie ``apart`` or more, through ``free`` nodes on each plane and ``square`` ones between squared distances of planes."""
+
+    def __init__(self, squares: np.ndarray, counts: np.ndarray, spans: list[tuple[float, float]]) -> None:
+        self.squares, self.spans, self.seconds = squares, spans, math.inf
+        planes = len(counts)
+        upper = np.triu_indices(planes)
+        apart, pairs = squares[upper], np.outer(counts, counts)[upper].astype(float)
+        pairs[upper[0] == upper[1]] /= 2
+        self.all_pairs_s = float(pairs.sum()) * PAIR_S
+        order = np.argsort(apart, kind="stable")
+        apart, before = apart[order], np.concatenate([[0.0], np.cumsum(pairs[order])[:-1]]) * PAIR_S
+        starts = np.flatnonzero(np.concatenate([[False], np.diff(apart) > 1e-9 * apart[1:]]))
+        if not len(starts):
+            return
+        tried = np.searchsorted(apart[starts], np.geomspace(apart[starts[0]], apart[-1], 256))
+        for k in starts[np.unique(np.minimum(tried, len(starts) - 1))]:
+            free, square = self._sizes(apart[k], apart[-1])
+            nodes = math.prod(free)
+            products = square * (planes * nodes * nodes + planes * planes * nodes) + counts.sum() * nodes
+            seconds = before[k] + products * PRODUCT_S
+            if planes * nodes <= MOST_MOMENTS and nodes <= MOST_NODES and max(free) <= MOST_ALONG and seconds < self.seconds:
+                self.seconds, self.least, self.most = seconds, apart[k], apart[-1]
+
+    def _sizes(self, least: float, most: float) -> tuple[list[int], int]:
+        free = [_bernstein(math.sqrt(least), (hi - lo) / 2) for lo, hi in self.spans]
+        return free, _bernstein(math.pi, math.log(most / least) / 2)
+
+    def settle(self) -> bool:
+        """Take the nodes, and more of them until distances at places drawn at random come out right."""
+        self.least *= 1 - 1e-12  # a hair of slack, so that rounding splits no group of equal squares
+        free, square = self._sizes(self.least, self.most)
+        rng = np.random.default_rng(11)
+        for _ in range(6):
+            self.free = [_Nodes(lo, hi, n) for (lo, hi), n in zip(self.spans, free, strict=True)]
+            self.square = _Nodes(math.log(self.least), math.log(self.most), square)
+            worst, largest = 0.0, math.sqrt(self.most + sum((hi - lo) ** 2 for lo, hi in self.spans))
+            places = [[rng.uniform(lo, hi, 48) for lo, hi in self.spans] for _ in range(2)]
+            shares = [self._moments(p, np.eye(48)) for p in places]
+            nodes = shares[0].shape[1]
+            by_square = [
+                sum(shares[0][:, lo:lo + 256] @ (self._kernel(k, slice(lo, lo + 256)) @ shares[1].T) for lo in range(0, nodes, 256)) for k in range(self.square.n)
+            ]
+            for u in (self.least, self.most, *np.exp(rng.uniform(math.log(self.least), math.log(self.most), 6))):
+                true = np.sqrt(u + sum((a[:, None] - b[None, :]) ** 2 for a, b in zip(*places, strict=True)))
+                got = sum(w * x for w, x in zip(self.square.shares(np.array([math.log(u)]))[:, 0], by_square, strict=True))
+                worst = max(worst, float(np.abs(true - got).max()))
+            if worst <= 10 * NODE_SHARE * largest:
+                return True
+            free, square = [math.ceil(1.1 * n) + 1 for n in free], square if self.most <= self.least else math.ceil(1.1 * square) + 1
+        return False
+
+    def _kernel(self, k: int, rows: slice) -> np.ndarray:
+        """Distances between nodes of two planes at the k-th squared distance: some rows of the table."""
+        grid = [g.ravel() for g in np.meshgrid(*[f.at for f in self.free], indexing="ij")]
+        sq = np.full((len(grid[0][rows]), len(grid[0])), math.exp(self.square.at[k]))
+        for g in grid:
+            d = g[rows][:, None] - g[None, :]
+            d *= d
+            sq += d
+        return np.sqrt(sq, out=sq)
+
+    def _moments(self, places: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+        """What rows at some places, with weights (a row for each sum), give to the nodes of their plane."""
+        out = []
+        polynomials = [f.polynomials(x) for f, x in zip(self.free, places, strict=True)]
+        for w in weights:
+            if len(polynomials) == 1:
+                out.append(self.free[0].shares_of @ (polynomials[0] @ w))
+            else:
+                sums = (polynomials[0] * w) @ polynomials[1].T
+                out.append((self.free[0].shares_of @ sums @ self.free[1].shares_of.T).ravel())
+        return np.array(out)
+
+    def moments(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """:meth:`_moments` of any number of rows, a slice after the other."""
+        total = 0.0
+        step = max(64, (1 << 20) // max(f.n for f in self.free))
+        for lo in range(0, len(rows), step):
+            own = slice(lo, lo + step)
+            total = total + self._moments(list(rows[own].T), weights[:, own])
+        return total
+
+    def far_sum(self, k: int, rows: slice, shares: np.ndarray, copies: np.ndarray) -> float:
+        """The part of the sum over pairs on planes far apart that falls to a squared distance's node and some rows of its table."""
+        far = self.squares >= self.least
+        weight = np.zeros(self.squares.shape)
+        squares = np.log(self.squares[far])
+        for lo in range(0, len(squares), 65536):
+            squares[lo:lo + 65536] = self.square.shares_of[k] @ self.square.polynomials(squares[lo:lo + 65536])
+        weight[far] = squares
+        return float(((self._kernel(k, rows) @ (weight @ copies).T) * shares[:, rows].T).sum())
+
+
+def _on_planes(own: DataFrame, n: int, width: int) -> tuple[_Planes, list[int], dict[bytes, int], list[int]] | None:
+    """The planes that rows lie on, their free variables, numbers by their fixed values, and rows; or none if that is not worth it."""
+    if n * float(n) / 2 * PAIR_S < 1.0 or not width:
+        return None
+    at = [F.col("vec")[i] for i in range(width)]
+    seen = own.agg(*[f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate(at) for f in (F.approx_count_distinct, F.min, F.max)]).first()
+    free = [i for i in range(width) if seen[f"approx_count_distinct_{i}"] > LEVEL_VALUES]
+    fixed = [i for i in range(width) if i not in free]
+    spans = [(seen[f"min_{i}"], seen[f"max_{i}"]) for i in free]
+    if not 1 <= len(free) <= FREE_VARIABLES or not fixed or not np.isfinite(spans).all():
+        return None
+    found = own.groupBy(F.array(*[at[i] for i in fixed]).alias("fixed")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_PLANES + 1).collect()
+    if len(found) > MOST_PLANES:
+        return None
+    levels, counts = np.array([r["fixed"] for r in found]) + 0.0, np.array([r["n"] for r in found])
+    squares = np.zeros((len(levels), len(levels)))
+    for column in levels.T:
+        squares += (column[:, None] - column[None, :]) ** 2
+    planes = _Planes(squares, counts, spans)
+    if planes.seconds > planes.all_pairs_s / 3 or not planes.settle():
+        return None
+    return planes, free, {row.tobytes(): g for g, row in enumerate(levels)}, [int(c) for c in counts]
+
+
+def _sum_by_planes(own: DataFrame, n: int, width: int) -> float | None:
+    """Sum of the distances of all pairs where rows lie on planes, or none where they do not, or few pairs make that needless.
+
+    With all but two variables fixed to few values (0/1 columns of categories),
+    rows of two planes are ``sqrt(u + dx^2 + dy^2)`` apart, ``u`` the planes'
+    squared distance. Where it is not small, that is smooth in x, y and log(u), so
+    the rows' distances follow from those of Chebyshev nodes, to ``NODE_SHARE`` of
+    the largest: a row gives to its plane's nodes once, whatever the other rows.
+    Planes close to each other, and each with itself, are worked out by blocks.
+    """
+    found = _on_planes(own, n, width)
+    if found is None:
+        return None
+    planes, free, number, counts = found
+    fixed = [i for i in range(width) if i not in free]
+    first = np.concatenate([[0], np.cumsum([-(-c // FRAGMENT_ROWS) for c in counts])])
+
+    def place(batches):
+        for batch in batches:
+            rows = _matrix(pa.Table.from_batches([batch]))
+            if len(rows):
+                plane = np.array([number[row.tobytes()] for row in rows[:, fixed] + 0.0], dtype="int32")
+                parts = np.diff(first)[plane]
+                block = first[plane] + batch.column("h").to_numpy() % parts
+                at = [pa.array(np.ascontiguousarray(rows[:, i])) for i in free]
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype("int32")), pa.array(plane), *at, batch.column("share"), batch.column("copies")], names=names)
+
+    names = ["block", "plane", *[f"x{i}" for i in range(len(free))], "share", "copies"]
+    schema = "block int, plane int, " + ", ".join(f"x{i} double" for i in range(len(free))) + ", share double, copies bigint"
+
+    def pack(table: pa.Table) -> pa.Table:
+        rows = np.column_stack([table.column(f"x{i}").to_numpy() for i in range(len(free))])
+        order = _piece_order(rows)
+        rows = rows[order]
+        weights = np.array([table.column(c).to_numpy().astype(float)[order] for c in ("share", "copies")])
+        packed = [rows.tobytes(), weights[0].tobytes(), weights[1].tobytes(), planes.moments(rows, weights).tobytes()]
+        return pa.table({"block": table.column("block").slice(0, 1), "plane": table.column("plane").slice(0, 1)} | dict(zip(("vecs", "shares", "copies", "moments"), ([x] for x in packed), strict=True)))
+
+    placed = own.withColumn("h", F.pmod(F.xxhash64("vec"), F.lit(1 << 30))).mapInArrow(place, schema)
+    packed = cut_lineage(placed.groupBy("block").applyInArrow(pack, "block int, plane int, vecs binary, shares binary, copies binary, moments binary"))
+    spark = own.sparkSession
+
+    # Planes far apart: the nodes of all planes are bounded in number.
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), dtype=float) for x in table.column("moments"))
+        return pa.table({"plane": table.column("plane").slice(0, 1), "moments": [total.tobytes()]})
+
+    nodes = math.prod(f.n for f in planes.free)
+    shares, copies = (np.zeros((len(counts), nodes)) for _ in range(2))
+    for r in packed.select("plane", "moments").groupBy("plane").applyInArrow(added, "plane int, moments binary").toLocalIterator():
+        shares[r["plane"]], copies[r["plane"]] = np.frombuffer(r["moments"]).reshape(2, -1)
+    slices = max(1, math.ceil(nodes / max(512, len(counts))))
+    height = -(-nodes // slices)
+    sent = spark.sparkContext.broadcast((shares, copies))
+
+    def far(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                lo = k % slices * height
+                yield pa.RecordBatch.from_arrays([pa.array([planes.far_sum(k // slices, slice(lo, lo + height), *sent.value)])], names=["total"])
+
+    parts = slices * planes.square.n
+    total = spark.range(0, parts, 1, min(parts, MOST_TASKS)).mapInArrow(far, "total double").agg(F.sum("total")).first()[0]
+    sent.unpersist()
+    # Each plane with itself and with those near it, block by block.
+    near = [
+        (a, b, math.sqrt(planes.squares[g, h]))
+        for g, h in zip(*(x.tolist() for x in np.nonzero(np.triu(planes.squares < planes.least))), strict=True)
+        for a in range(first[g], first[g + 1]) for b in range(first[h], first[h + 1]) if a <= b
+    ]
+    pairs = spark.createDataFrame([(int(a), int(b), float(d)) for a, b, d in near], "a_block int, b_block int, apart double")
+    for side in "ab":
+        rows = packed.select(*[F.col(c).alias(f"{side}_{c}") for c in ("block", "vecs", "shares", "copies")])
+        pairs = pairs.join(rows.hint("merge"), f"{side}_block")
+    worked = sum(counts[g] * counts[h] for g, h in zip(*np.nonzero(np.triu(planes.squares < planes.least)), strict=True))
+    tasks = min(len(near), MOST_TASKS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(near) / 64), math.ceil(worked / TASK_PAIRS)))
+    pairs = pairs.repartition(tasks, "a_block", "b_block")
+    return total + pairs.mapInArrow(_met_blocks, "total double").agg(F.sum("total")).first()[0]
+
+
 def mean_train_distance(train: DataFrame) -> float | None:
     """Mean over the ids of ``(id, vec)`` of an id's mean distance to all other rows.
 
     The mean takes in every pair of different rows; equal rows are one, with their
-    number. Different rows are packed into blocks of bounded size that lie together,
-    written once, and every two blocks meet in a task that hands on one number.
-    Within it, near pieces of blocks are worked out pair by pair; the distances of
-    far ones follow from few rows and columns of their table, to ten digits and
-    more. So the time grows with the pairs of near rows, not with all pairs,
-    unless the variables that weigh are many.
+    number. Where all but two variables have few values, rows on planes far apart
+    meet through nodes of their planes. Else, and for planes close together, rows
+    are packed into blocks of bounded size that lie together, written once, and
+    two blocks meet in a task that hands on one number. Within it, near pieces of
+    blocks are worked out pair by pair; the distances of far ones follow from few
+    rows and columns of their table, to ten digits and more.
     """
     own = with_group_count(train.select("id", "vec"), ["id"], "of_id").groupBy("vec").agg(
         F.count(F.lit(1)).alias("copies"), F.sum(1.0 / F.col("of_id")).alias("share")
@@ -354,31 +614,22 @@ def mean_train_distance(train: DataFrame) -> float | None:
     size = own.agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.sum("share").alias("ids"), F.max(F.size("vec")).alias("width")).first()
     if not size["rows"] or size["rows"] < 2:
         return None
-    dealt, blocks = _in_blocks(own, size["n"], size["width"])
-    packed = cut_lineage(dealt.groupBy("block").applyInArrow(_packed_block, "block int, vecs binary, shares binary, copies binary"))
-    left, right = (packed.repartitionByRange(blocks, "block").select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
-    # Every pair of partitions is a task that reads both; nothing is copied to files for it, and no side is broadcast.
-    met = left.hint("shuffle_replicate_nl").join(right.hint("shuffle_replicate_nl"), F.col("a_block") <= F.col("b_block"))
-
-    def total(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                get = lambda c, k=k, batch=batch: np.frombuffer(batch.column(c)[k].as_buffer(), dtype=float)
-                copies = [get(f"{s}_copies") for s in "ab"]
-                a, b = (_Block(get(f"{s}_vecs").reshape(len(c), -1), get(f"{s}_shares"), c) for s, c in zip("ab", copies, strict=True))
-                same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([_pieces_sum(a, b, same)])], names=["total"])
-
-    summed = met.mapInArrow(total, "total double").agg(F.sum("total")).first()[0]
+    summed = _sum_by_planes(own, size["n"], size["width"])
+    if summed is None:
+        summed = _sum_by_blocks(own, size["n"], size["width"])
     return summed / ((size["rows"] - 1) * size["ids"])
 
 
 class BoxTree:
     """A binary tree of boxes over training rows. The cuts come from a sample, the boxes from all rows of a leaf."""
 
-    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+    def __init__(self, sample: np.ndarray, leaves: int, apart: float = math.inf) -> None:
+        """Variables of two values more than ``apart`` from each other are cut first."""
         self.axis, self.cut, self.kids, self.leaf_of = [], [], [], []
         self.leaves = 0
+        low, high = (sample.min(axis=0), sample.max(axis=0)) if len(sample) else (np.zeros(0), np.zeros(0))
+        self.two = np.flatnonzero((high - low > apart) & ((sample == low) | (sample == high)).all(axis=0))
+        self.halfway = (low + high)[self.two] / 2
         self._grow(sample, leaves)
         self.axis, self.cut, self.kids, self.leaf_of = np.array(self.axis), np.array(self.cut), np.array(self.kids).reshape(-1, 2), np.array(self.leaf_of)
 
@@ -392,12 +643,19 @@ class BoxTree:
             self.leaf_of[node] = self.leaves
             self.leaves += 1
             return node
-        # The widest variable is cut at its median, or, where that holds the largest value, at its mean (0/1 columns).
-        axis = int(spread.argmax())
-        values = rows[:, axis]
-        cut = float(np.median(values))
-        if not (values > cut).any():
-            cut = float(values.mean())
+        share = (rows[:, self.two] > self.halfway).mean(axis=0)
+        share = np.minimum(share, 1 - share)
+        if len(share) and share.max() * leaves >= 0.5:
+            pick = int(share.argmax())
+            axis, cut = int(self.two[pick]), float(self.halfway[pick])
+            values = rows[:, axis]
+        else:
+            # The widest variable is cut at its median, or, where that holds the largest value, at its mean (0/1 columns).
+            axis = int(spread.argmax())
+            values = rows[:, axis]
+            cut = float(np.median(values))
+            if not (values > cut).any():
+                cut = float(values.mean())
         below = values <= cut
         share = max(1, min(leaves - 1, round(leaves * below.mean())))
         self.axis[node], self.cut[node] = axis, cut
@@ -448,8 +706,24 @@ class BoxTree:
         return row[order], leaf[order], gap[order]
 
 
-def box_tree(train: DataFrame, n: int, leaves: int | None = None) -> BoxTree:
-    """Tree over the rows' ``vec``; a bounded sample of rows and the leaves' boxes come to the driver."""
+def _usual_gap(sample: np.ndarray) -> float:
+    """Distance within which most rows have their nearest other one: that of rows of a sample, which lie farther apart."""
+    some = sample[np.unique(np.linspace(0, len(sample) - 1, 256).astype(int))] if len(sample) else sample
+    least = np.full(len(some), np.inf)
+    for j in range(0, len(sample), 4096):
+        d = _distances(some, sample[j:j + 4096])
+        d[d == 0] = np.inf
+        least = np.minimum(least, d.min(axis=1))
+    least = least[np.isfinite(least)]
+    return float(np.median(least)) if len(least) else math.inf
+
+
+def box_tree(train: DataFrame, n: int, leaves: int | None = None, gaps_first: bool = False) -> BoxTree:
+    """Tree over the rows' ``vec``; a bounded sample of rows and the leaves' boxes come to the driver.
+
+    With ``gaps_first`` it is cut where no row's nearest lies across: between the
+    two values of a variable that are farther apart than near rows are.
+    """
     leaves = min(MOST_LEAVES, leaves or max(1, math.ceil(n / LEAF_ROWS)))
     wanted = SAMPLE_PER_LEAF * leaves
     # A draw by hash, so that a lost executor draws the same rows again.
@@ -457,7 +731,7 @@ def box_tree(train: DataFrame, n: int, leaves: int | None = None) -> BoxTree:
     sample = _matrix(drawn.select("vec").limit(wanted).toArrow())
     if not len(sample):
         sample = _matrix(train.select("vec").limit(wanted).toArrow())
-    return BoxTree(sample, leaves)
+    return BoxTree(sample, leaves, _usual_gap(sample) if gaps_first else math.inf)
 
 
 def _placed(rows: DataFrame, tree: BoxTree) -> DataFrame:
@@ -484,8 +758,7 @@ def _next_visits(state: DataFrame, tree: BoxTree, first: int, last: int) -> Data
             best = batch.column("best").to_numpy(zero_copy_only=False).astype(float)
             best = np.where(np.isnan(best), np.inf, best)
             home = tree.place(rows)
-            # A hair of slack keeps rounding from leaving out a box that ties.
-            row, leaf, _ = tree.within(rows, best * (1 + 1e-9) + 1e-12)
+            row, leaf, _ = tree.within(rows, _reach(best))
             other = leaf != home[row]
             row, leaf = row[other], leaf[other]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -496,9 +769,10 @@ def _next_visits(state: DataFrame, tree: BoxTree, first: int, last: int) -> Data
     return state.select("id", "vec", "best").mapInArrow(visits, schema)
 
 
-def _nearest_cell(left: pa.Table, right: pa.Table, others: bool) -> pa.Table:
-    if left.num_rows == 0 or right.num_rows == 0:
-        return pa.table({"id": left.column("id").slice(0, 0), "d": pa.array([], pa.float64())})
+def _nearest_cell(key: tuple, left: pa.Table, right: pa.Table, others: bool, tree: BoxTree | None) -> pa.Table:
+    """Least distances of the left rows to the right ones; with a tree, of rows at home, also ``vec`` of those that other leaves may hold a nearer row for."""
+    if left.num_rows == 0:
+        return pa.table({"id": left.column("id"), "d": pa.array([], pa.float64())} | ({"vec": left.column("vec")} if tree else {}))
     a, b = _matrix(left), _matrix(right)
     least = np.full(len(a), np.inf)
     for i in range(0, len(a), TILE_ROWS):
@@ -508,84 +782,116 @@ def _nearest_cell(left: pa.Table, right: pa.Table, others: bool) -> pa.Table:
             if others:
                 d[d == 0] = np.inf
             least[own] = np.minimum(least[own], d.min(axis=1))
-    return pa.table({"id": left.column("id"), "d": pa.array(least)})
+    found = pa.table({"id": left.column("id"), "d": pa.array(least)})
+    if tree is None:
+        return found
+    more = np.isinf(least)
+    known = np.flatnonzero(~more)
+    if tree.leaves > 1 and len(known):
+        row, leaf, _ = tree.within(a[known], _reach(least[known]))
+        more[known[row[leaf != key[0].as_py()]]] = True
+    at = np.where(more, np.arange(len(a)), -1)
+    return found.append_column("vec", left.column("vec").take(pa.array(at, mask=at < 0)))
+
 
+def _reach(best: np.ndarray) -> np.ndarray:
+    """A hair of slack keeps rounding from leaving out a box that ties."""
+    return best * (1 + 1e-9) + 1e-12
 
-def _visit(asked: DataFrame, rows: DataFrame, others: bool = False) -> DataFrame:
+
+def _visit(asked: DataFrame, rows: DataFrame, others: bool = False, tree: BoxTree | None = None) -> DataFrame:
     """``(id, d)``: each visit's least distance to the rows of its leaf, with ``others`` to those at another place.
 
     Leaves with many rows are cut into pieces and many visits into slices, so a
-    cell holds a bounded number of either; every slice meets every piece.
+    cell holds a bounded number of either; every slice meets every piece. With a
+    ``tree`` rows are at home: they come back even from leaves without rows, and
+    with their ``vec`` where other leaves are to be visited too.
     """
-    both = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / FRAGMENT_ROWS).cast("int").alias("slices")).join(
-        rows.groupBy(F.col("leaf").alias("l2")).agg(F.ceil(F.count(F.lit(1)) / FRAGMENT_ROWS).cast("int").alias("pieces")), F.col("leaf") == F.col("l2")
+    both = asked.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).join(
+        rows.groupBy(F.col("leaf").alias("l2")).agg(F.count(F.lit(1)).alias("n2")), F.col("leaf") == F.col("l2"), "left" if tree else "inner"
     )
-    sizes = cut_lineage(both.select(F.col("leaf").alias("sl"), "slices", "pieces"))
-    cells = sizes.agg(F.sum(F.col("slices") * F.col("pieces"))).first()[0]
+    fragments = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(n), F.lit(0)) / FRAGMENT_ROWS).cast("int"))
+    sizes = cut_lineage(both.select(F.col("leaf").alias("sl"), fragments("n").alias("slices"), fragments("n2").alias("pieces"), (F.col("n") * F.col("n2")).alias("pairs")))
+    total = sizes.agg(F.sum(F.col("slices") * F.col("pieces")).alias("cells"), F.sum(F.col("pairs").cast("double")).alias("pairs")).first()
+    cells = total["cells"]
+    id_type = asked.schema["id"].dataType.simpleString()
+    schema = f"id {id_type}, d double" + (", vec array<double>" if tree else "")
     if not cells:
-        return asked.where(F.lit(False)).select("id", F.lit(0.0).alias("d"))
+        return asked.sparkSession.createDataFrame([], schema)
+    # The cells are asked for by number: few bytes, but much work. Small ones share a task.
+    partitions = 2 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(cells, MOST_TASKS, max(partitions, math.ceil((total["pairs"] or 0) / TASK_PAIRS)))
 
     def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        cut = df.join(sizes, F.col("leaf") == F.col("sl")).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"))
+        cut = df.join(sizes.drop("pairs"), F.col("leaf") == F.col("sl")).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"))
         spread = cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
         names = [c for c in ("id", "vec") if c in df.columns]
         keys = ["leaf", "slice", "piece"]
-        return spread.select(*keys, *names).repartition(min(cells, MOST_TASKS), *keys).groupBy(*keys)
+        return spread.select(*keys, *names).repartition(tasks, *keys).groupBy(*keys)
 
-    id_type = asked.schema["id"].dataType.simpleString()
-    return dealt(asked, "id", "slice", "piece").cogroup(dealt(rows, "vec", "piece", "slice")).applyInArrow(lambda left, right: _nearest_cell(left, right, others), f"id {id_type}, d double")
+    return dealt(asked, "id", "slice", "piece").cogroup(dealt(rows, "vec", "piece", "slice")).applyInArrow(lambda key, left, right: _nearest_cell(key, left, right, others, tree), schema)
 
 
-def nearest_train_distance(new: DataFrame, train: DataFrame, n_train: int, visits: list[int] | None = None, others: bool = False) -> DataFrame:
+def nearest_train_distance(new: DataFrame, train: DataFrame, n_train: int, visits: list[int] | None = None, others: bool = False, unique: bool = False) -> DataFrame:
     """``(id, min_dist)``: exact distance of each new row to its nearest training row.
 
     Training rows lie in the leaves of a tree of boxes. A new row first visits
     the leaf it falls into; then, nearest box first, the leaves whose box is no
     farther than the best distance so far: 4 of them, then 16 more, 64 more and so
     on while any is left, so the rounds grow with the logarithm of the leaves.
-    Equal training rows are one. The copies of new rows in each round are appended
-    to ``visits``. With ``others`` training rows at a row's own place do not count.
+    Rows that no other leaf may hold a nearer one for take part in the first visit
+    only. Equal training rows are one, and are so already if they are ``unique``.
+    The copies of new rows in each round are appended to ``visits``. With
+    ``others`` training rows at a row's own place do not count.
     """
-    rows = cut_lineage(train.select("vec").distinct())
-    tree = box_tree(rows, n_train)
+    rows = train.select("vec") if unique else cut_lineage(train.select("vec").distinct())
+    tree = box_tree(rows, n_train, gaps_first=True)
     placed = cut_lineage(_placed(rows, tree))
     width = len(train.select("vec").first()["vec"]) if n_train else 0
     ends = lambda pick: F.array(*[pick(F.col("vec")[i]) for i in range(width)])
     boxes = placed.groupBy("leaf").agg(ends(F.min).alias("lo"), ends(F.max).alias("hi")).collect()
     tree.set_boxes({r["leaf"]: np.array(r["lo"]) for r in boxes}, {r["leaf"]: np.array(r["hi"]) for r in boxes}, width)
-    state = cut_lineage(new.select("id", "vec", F.lit(math.inf).alias("best")))
-    asked = cut_lineage(_placed(state.select("id", "vec"), tree))
+    asked = cut_lineage(_placed(new.select("id", "vec"), tree))
+    if visits is not None and (count := asked.count()):
+        visits.append(count)
+    home = cut_lineage(_visit(asked, placed, others, tree))
+    found = home.select("id", "d")
+    # Left are the rows that other leaves are to be visited for.
+    state = cut_lineage(home.where("vec is not null").groupBy("id").agg(F.first("vec").alias("vec"), F.min("d").alias("best")).select("id", "vec", "best"))
     first, step = 0, 4
-    while True:
+    while tree.leaves > 1:
+        asked = cut_lineage(_next_visits(state, tree, first, first + step))
         count = asked.count()
-        if visits is not None and count:
-            visits.append(count)
-        if count:
-            found = _visit(asked, placed, others).groupBy(F.col("id").alias("fid")).agg(F.min("d").alias("d"))
-            state = cut_lineage(
-                state.join(found, F.col("id") == F.col("fid"), "left").select("id", "vec", F.least("best", F.coalesce("d", F.lit(math.inf))).alias("best"))
-            )
-        if tree.leaves == 1 or first and not count:
+        if not count:
             break
-        asked = cut_lineage(_next_visits(state, tree, first, first + step))
+        if visits is not None:
+            visits.append(count)
+        seen = cut_lineage(_visit(asked, placed, others).groupBy("id").agg(F.min("d").alias("d")))
+        found = found.unionByName(seen)
+        nearer = seen.select(F.col("id").alias("fid"), "d")
+        state = cut_lineage(
+            state.join(nearer, F.col("id") == F.col("fid"), "left").select("id", "vec", F.least("best", F.coalesce("d", F.lit(math.inf))).alias("best"))
+        )
         first, step = first + step, step * 4
-    return state.select("id", F.when(F.col("best") < F.lit(math.inf), F.col("best")).alias("min_dist"))
+    return found.groupBy("id").agg(F.min("d").alias("d")).select("id", F.when(F.col("d") < F.lit(math.inf), F.col("d")).alias("min_dist"))
 
 
-def _at_places(rows: DataFrame, train: DataFrame, n_train: int, others: bool = False) -> DataFrame:
+def _at_places(rows: DataFrame, train: DataFrame, n_train: int) -> DataFrame:
     """Rows (id, vec) with ``min_dist``, their distance to the nearest training row; equal rows are looked up once."""
     places = cut_lineage(rows.select("vec").distinct().withColumn("id", F.monotonically_increasing_id()))
-    found = nearest_train_distance(places, train, n_train, others=others)
+    found = nearest_train_distance(places, train, n_train)
     known = cut_lineage(places.join(found, "id").drop("id"))
     return rows.join(known.hint("merge"), "vec").select("id", "vec", "min_dist")
 
 
 def _own_distances(train: DataFrame, n_train: int) -> DataFrame:
     """``(id, min_dist)`` of each training row to its nearest other one: 0 if another row is equal."""
-    copies = train.groupBy("vec").agg((F.count(F.lit(1)) > 1).alias("twin"))
-    alone = _at_places(train, train, n_train, others=True)
+    counted = train.groupBy("vec").agg((F.count(F.lit(1)) > 1).alias("twin"))
+    places = cut_lineage(counted.withColumn("id", F.monotonically_increasing_id()))
+    found = nearest_train_distance(places, places, n_train, others=True, unique=True)
     least = F.when(F.col("twin"), F.lit(0.0)).otherwise(F.col("min_dist"))
-    return alone.join(copies.hint("merge"), "vec").groupBy("id").agg(F.min(least).alias("min_dist"))
+    known = cut_lineage(places.join(found, "id").select("vec", least.alias("min_dist")))
+    return train.join(known.hint("merge"), "vec").groupBy("id").agg(F.min("min_dist").alias("min_dist"))
 
 
 def area_of_applicability(
@@ -621,7 +927,7 @@ def area_of_applicability(
         own = cut_lineage(train_distances(train_v, n_train))
         mean_dist = own.agg(F.avg("mean_dist")).first()[0]
     else:
-        own = _own_distances(train_v, n_train)
+        own = cut_lineage(_own_distances(train_v, n_train))
         mean_dist = mean_train_distance(train_v)
     limit = exact_quantiles(own, [], "min_dist", [threshold], ["q"]).first()
     limit = None if limit is None or limit["q"] is None or not mean_dist else limit["q"] / mean_dist

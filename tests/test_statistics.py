@@ -471,3 +471,40 @@ def test_densities_of_many_groups(spark):
         curve = sorted((r for r in found if r["g"] == g), key=lambda r: r["point"])
         assert [r["density"] for r in curve] == pytest.approx(list(want)) and curve[0]["median"] == pytest.approx(median)
     assert all(r["density"] is None for r in found if r["g"] in ("alone", "flat"))
+
+
+def test_rows_on_planes_meet_through_nodes(spark, monkeypatch):
+    """0/1 columns beside two measures: planes far apart are not worked out pair by pair, and the mean is that of all pairs."""
+    monkeypatch.setattr(aoa, "PAIR_S", 1e-3)  # as if there were many more rows
+    monkeypatch.setattr(aoa, "FRAGMENT_ROWS", 90)
+    rng = np.random.default_rng(21)
+    n = 2500
+    hot = np.column_stack([np.eye(4)[rng.integers(0, 4, n)] * 1.3, np.eye(2)[rng.integers(0, 2, n)] * 0.2])
+    rows = np.column_stack([rng.normal(size=n) * 2, hot, rng.random(n) - 40])
+    rows[40:60] = rows[3]
+    given = [(i if i != 9 else 8, [float(x) for x in r]) for i, r in enumerate(rows)]  # an id that comes twice
+    df = spark.createDataFrame(given, "id long, vec array<double>").repartition(3)
+    d = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(-1))
+    ids = pd.Series(d.sum(axis=1)).groupby([i for i, _ in given]).mean() / (n - 1)
+    pairs = spark.sparkContext.accumulator(0)
+    real = aoa._block_sum
+    monkeypatch.setattr(aoa, "_block_sum", lambda a, b, *rest: pairs.add(len(a) * len(b)) or real(a, b, *rest))
+    assert aoa.mean_train_distance(df) == pytest.approx(ids.mean(), rel=1e-11)
+    assert 0 < pairs.value < n * n / 3
+
+
+def test_rows_settled_at_home_make_no_further_visits(spark, monkeypatch):
+    """Leaves are cut between values that near rows do not differ in: few rows look beyond their own leaf."""
+    monkeypatch.setattr(aoa, "LEAF_ROWS", 60)
+    rng = np.random.default_rng(22)
+
+    def rows(n):
+        return np.column_stack([rng.random((n, 2)) * [6.0, 3.0], np.eye(8)[rng.integers(0, 8, n)] * 1.3, np.eye(5)[rng.integers(0, 5, n)] * 1.2])
+
+    train, new = rows(8000), rows(900)
+    new[5] += 30.0
+    frame = lambda m: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, vec array<double>")
+    visits = []
+    got = aoa.nearest_train_distance(frame(new), frame(train), len(train), visits).toPandas().sort_values("id")
+    assert got.min_dist.to_numpy() == pytest.approx(np.sqrt(((new[:, None] - train[None]) ** 2).sum(-1)).min(axis=1), abs=1e-9)
+    assert visits[0] == len(new) and sum(visits[1:]) < len(new)
