@@ -66,6 +66,27 @@ def test_no_table_of_cells_is_broadcast(spark, monkeypatch):
     assert rows(inside_) == want
 
 
+@pytest.mark.parametrize("at_once", [7, 1 << 20])
+def test_points_and_edges_of_a_cell_meet_as_lists(spark, monkeypatch, at_once):
+    """Many overlapping polygons: no pair of a point and an edge becomes a row; which points lie in any polygon of a group is asked for alone."""
+    monkeypatch.setattr(sp, "PAIRS_AT_ONCE", at_once, raising=False)
+    rng = random.Random(11)
+    polys = {}
+    for k in range(60):
+        x, y, w = rng.uniform(-2, 2), rng.uniform(-2, 2), rng.uniform(0.2, 1.4)
+        polys[f"p{k}", k % 3] = ring(f"p{k}", [(x, y + w), (x - w, y), (x, y - w), (x + w, y)]) + ring(f"p{k}", [(x, y + w / 4), (x + w / 4, y), (x, y - w / 4), (x - w / 4, y)])
+    pts = [(i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(250)] + [(None, -0.3, 0.2), (900, None, 0.1)]
+    edges = spark.createDataFrame([(p, g, *e[1:]) for (p, g), es in polys.items() for e in es], "poly string, grp int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame(pts, "id long, lon double, lat double")
+    want = {(i, p, g) for i, x, y in pts if x is not None for (p, g), es in polys.items() if inside(x, y, es)}
+    found = sp.points_in_polygons(points, edges, ["id"], ["poly", "grp"])
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    some = [tuple(r) for r in sp.points_in_polygons(points, edges, ["id"], ["poly", "grp"], any_of=["grp"]).collect()]
+    assert len(some) == len(set(some)) and set(some) == {(i, g) for i, _, g in want}
+
+
 def test_boundary_points_are_outside(spark):
     edges = spark.createDataFrame(ring("box", [(0, 0), (1, 0), (1, 1), (0, 1)]), EDGE)
     pts = [(1, 0.0, 0.5), (2, 0.5, 0.0), (3, 1.0, 0.5), (4, 0.5, 1.0), (5, 0.0, 0.0), (6, 0.5, 0.5)]
